@@ -6,6 +6,13 @@ hot group is cut across many tasks, number rows locally and add per-partition
 offsets.  The offsets table has at most (partitions x groups-in-partition)
 rows and is itself aggregated with map-side combine.
 
+Range bounds are sampled per plan branch, so two branches over the same
+``repartitionByRange`` may see different partitionings.  The range-sorted
+data is therefore checkpointed (to the shared folder named by
+``spark.checkpoint.dir``) before it is numbered: both the counting branch and
+the numbering branch read the same partitions, and a lost executor never
+changes a position.
+
 For top-k (k small) plain ``row_number() <= k`` is used on purpose: Catalyst
 plans a partial ``WindowGroupLimit`` before the shuffle, so at most k rows
 per group leave each map task.
@@ -18,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _n_partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -33,18 +42,19 @@ def global_position(df: DataFrame, order_cols: list, out: str = "pos",
     partition, so broadcasting it is size-bounded by the partition count.
     """
     n = _n_partitions(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
+              .checkpoint()
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = counts.withColumn(
         "_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    offsets = offsets.select("_pid", "_first", F.coalesce("_off", F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + local)
-            .drop("_pid", "_mid", "_off"))
+            .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first"))
+            .drop("_pid", "_mid", "_off", "_first"))
 
 
 def position_within(df: DataFrame, group_cols: list[str], order_cols: list,
@@ -55,9 +65,11 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list,
     order, exactly as ``row_number`` would give them.
     """
     n = _n_partitions(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in group_cols] + list(order_cols)
     ranged = (df.repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
+              .checkpoint()
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     stats = ranged.groupBy("_pid", *group_cols).agg(

@@ -34,7 +34,11 @@ def scan_files(spark: SparkSession, root: str,
            .load(root))
     root_uri = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _glob_escape(root_uri.lstrip("/")), "")
-    content = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "�", "")
+    raw_text = F.col("content").cast("string")
+    # errors="ignore": only files with invalid bytes lose them; a valid file
+    # keeps any U+FFFD it really contains.
+    content = F.when(F.expr("is_valid_utf8(cast(content as string))"), raw_text) \
+        .otherwise(F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "\ufffd", ""))
     out = raw.select(rel.alias("path"), content.alias("content"))
     return out.filter(tx.has_extension("path", exts)).select(
         "path", tx.file_kind("path").alias("kind"), "content")
@@ -46,9 +50,8 @@ def _glob_escape(s: str) -> str:
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """S3: JSON array of {query, expected_file, expected_logic}; a query id
-    is the position in the file order (``monotonically_increasing_id`` is
-    not used: ids must survive recomputation)."""
+    """S3: JSON array of {query, expected_file, expected_logic}; ``query_id``
+    is a hash of the query text, so it is stable across recomputation."""
     df = spark.read.schema(schemas.GOLDEN).option("multiLine", "true").json(path)
     return df.withColumn("query_id", F.xxhash64("query"))
 
