@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .parallel import spread
+
 LONG_LINE = 120
 
 
@@ -28,13 +30,17 @@ def structural_chunks(df: DataFrame, id_col: str, text_col: str,
     """
     is_boundary = is_boundary or long_line_boundary()
     lines = F.split(F.col(text_col), "\n", -1)
-    with_lines = df.select(F.col(id_col), lines.alias("_lines"))
+    with_lines = spread(df.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), lines.alias("_lines"))
     n = F.size("_lines")
     starts = F.filter(F.sequence(F.lit(0), n - 1),
                       lambda i: (i == 0) | is_boundary(F.get(F.col("_lines"), i)))
     segs = F.transform(starts, lambda s, j: F.struct(
         (j + 1).alias("seg"), s.alias("s0"),
         F.coalesce(F.try_element_at(starts, j + 2) - 1, n - 1).alias("e0")))
+    # Boundaries are small int structs; the line array is exploded alongside
+    # them (no lambda reads it, so Catalyst never re-splits the text per
+    # segment).  Cost is linear for ordinary texts; a text made only of long
+    # lines pays one array copy per segment.
     ex = with_lines.select(F.col(id_col), "_lines", F.inline(segs))
     text = F.array_join(F.slice("_lines", F.col("s0") + 1, F.col("e0") - F.col("s0") + 1), "\n")
     return ex.select(F.col(id_col), F.col("seg").cast("int"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .parallel import spread
 from .search import valid_vector
 
 __all__ = ["hash_bucket", "hash_embed_long", "hash_embed", "embed_with_model", "valid_vector"]
@@ -34,7 +35,8 @@ def hash_bucket(token, dim: int):
 def hash_embed_long(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """Dense hashed embedding in long form: ``id, dim, value`` for every
     dimension 0..dim-1 (rows without tokens get zeros)."""
-    toks = df.select(F.col(id_col).alias("_id"), F.explode_outer(tx.tokenize(text_col)).alias("_t"))
+    toks = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col)), ["_id"]) \
+        .select("_id", F.explode_outer(tx.tokenize(text_col)).alias("_t"))
     counts = (toks.withColumn("_b", F.when(F.col("_t").isNotNull(), hash_bucket("_t", dim)))
               .groupBy("_id", "_b").agg(F.count("_t").alias("_n")))
     per_row = counts.groupBy("_id").agg(
@@ -55,7 +57,8 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int,
     The per-row bucket map is at most ``dim`` entries, so the second
     aggregation is bounded per row whatever the text length.
     """
-    toks = df.select(F.col(id_col).alias("_id"), F.explode_outer(tx.tokenize(text_col)).alias("_t"))
+    toks = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col)), ["_id"]) \
+        .select("_id", F.explode_outer(tx.tokenize(text_col)).alias("_t"))
     counts = (toks.withColumn("_b", F.when(F.col("_t").isNotNull(), hash_bucket("_t", dim)))
               .groupBy("_id", "_b").agg(F.count("_t").alias("_n")))
     per_row = counts.groupBy("_id").agg(

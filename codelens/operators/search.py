@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import materialize
+from .parallel import spread
 from .ranking import global_position, top_k
 
 # BM25-Okapi parameters (fixed values of the public algorithm's defaults).
@@ -132,35 +134,51 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
 # BM25 index
 # ---------------------------------------------------------------------------
 class BM25Index:
-    """Persistable BM25 tables over a corpus of (id, text).
-
-    ``postings(id, term, tf, dl)``, ``terms(term, df, idf_raw, idf)`` and the
-    scalars ``n_docs`` / ``avgdl`` as scalar-subquery Columns.  Tokens are
-    exploded row-locally; ``tf`` and ``df`` are aggregations with map-side
-    combine, so a term present in every document costs one partial row per
-    map task before the shuffle.
+    """BM25 tables over a corpus of (id, text), built once and kept.
+
+    ``postings(id, term, tf, dl)``, ``docs(id, dl)``, ``terms(term, df,
+    idf_raw, idf)`` and the scalars ``n_docs`` / ``avgdl`` / ``mean_idf``.
+    Tokens are exploded row-locally and ``tf`` / ``df`` are aggregations with
+    map-side combine, so a term present in every document costs one partial
+    row per map task before the shuffle.  Texts are tokenized exactly once:
+    postings and terms are written as Parquet under the shared checkpoint
+    folder (:func:`codelens.session.materialize`), so scoring any number of
+    query tables never re-reads the corpus.  ``n_docs`` is the corpus row
+    count (ids are unique, see :func:`dedupe_by_id`), ``avgdl`` is
+    ``sum(tf) / n_docs``; the scalars are single-row aggregates fetched once.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content"):
-        base = docs.select(F.col(id_col).alias("id"), tx.tokenize(text_col).alias("_toks"))
-        self.docs = base.select("id", F.size("_toks").alias("dl"))
-        self.n_docs = self.docs.select(F.count(F.lit(1))).scalar()
-        self.avgdl = self.docs.select(F.avg(F.col("dl").cast("double"))).scalar()
-        self.postings = (base.select("id", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
-                         .groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+        corpus = docs.select(F.col(id_col).alias("id"), F.col(text_col))
+        # Per-document values are computed before the explode, so the
+        # generator never carries (or recomputes over) the token array.
+        base = spread(corpus, ["id"]).select("id", tx.tokenize(text_col).alias("_toks")) \
+            .select("id", F.coalesce(F.size("_toks"), F.lit(0)).alias("dl"), "_toks")
+        # explode_outer + an explicit filter: a plain explode makes Catalyst
+        # infer size(tokens) > 0 and push it into the scan, re-tokenizing
+        # every text there before the spread.
+        rows = (base.select("id", "dl", F.explode_outer("_toks").alias("term"))
+                .filter(F.col("term").isNotNull())
+                .groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+        self.postings = materialize(rows, "postings")
+        self.doc_ids = corpus.select("id")
+        self.n_docs = int(self.doc_ids.count())
+        total = self.postings.agg(F.sum("tf")).first()[0] or 0
+        self.avgdl = float(total) / self.n_docs if self.n_docs else 0.0
         df_ = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf_raw = F.ln(self.n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        with_raw = df_.withColumn("idf_raw", idf_raw)
-        mean_idf = with_raw.select(F.avg("idf_raw")).scalar()
+        with_raw = materialize(df_.withColumn(
+            "idf_raw", F.ln(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
+        mean = with_raw.agg(F.avg("idf_raw")).first()[0]
+        self.mean_idf = float(mean) if mean is not None else 0.0
         self.terms = with_raw.withColumn(
-            "idf", F.when(F.col("idf_raw") < 0, F.lit(BM25_EPSILON) * mean_idf)
-            .otherwise(F.col("idf_raw")))
+            "idf", F.when(F.col("idf_raw") < 0, F.lit(BM25_EPSILON * self.mean_idf)).otherwise(F.col("idf_raw")))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query") -> DataFrame:
     """(query_id, term, qtf): repeated query terms count each time."""
     return (queries.select(F.col(query_id).alias("query_id"),
-                           F.explode(tx.tokenize(text_col)).alias("term"))
+                           F.explode_outer(tx.tokenize(text_col)).alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
@@ -178,7 +196,7 @@ def bm25_scores(index: BM25Index, queries: DataFrame, query_id: str = "query_id"
     joined = qt.join(index.terms.select("term", "idf"), "term").join(index.postings, "term")
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / \
-        (tf + k1 * (1 - b + b * F.col("dl") / index.avgdl))
+        (tf + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
     return joined.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
@@ -210,11 +228,10 @@ def bm25_topk(index: BM25Index, queries: DataFrame, n: int, query_id: str = "que
                     F.coalesce("_nz", F.lit(0)).alias("_nz"))
             .filter(F.col("_pos") < n)
             .withColumn("_m", F.lit(n) - F.col("_pos")))
-    n_docs = index.n_docs
     cand = need.select("query_id", F.explode(F.sequence(
         F.lit(0).cast("long"),
-        F.least(F.col("_m") + F.col("_nz"), n_docs).cast("long") - 1)).alias("_g"))
-    by_pos = global_position(index.docs.select("id"), [F.col("id")], out="_g")
+        F.least(F.col("_m") + F.col("_nz"), F.lit(index.n_docs)).cast("long") - 1)).alias("_g"))
+    by_pos = global_position(index.doc_ids, [F.col("id")], out="_g")
     zeros = (cand.join(by_pos, "_g")
              .join(nonzero.select("query_id", "id"), ["query_id", "id"], "left_anti")
              .select("query_id", "id", F.lit(0.0).alias("score")))

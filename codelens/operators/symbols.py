@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .parallel import spread
 from .graph import build_nodes, edge_keys, resolve_calls, symbol_table
 
 EXTRACT_SCHEMA = T.StructType([
@@ -127,7 +128,7 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_symbols(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """C1/C2/C4/I4 raw rows (``EXTRACT_SCHEMA``) for a table of files."""
     src = files.select(F.col(path_col).alias("file_path"), F.col(content_col).alias("content"))
-    return src.mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    return spread(src).mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 
 # ---------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..operators import delta, evaluate, graph, render, rules, search
 from ..operators.chunking import structural_chunks
 from ..operators.embed import hash_embed_long
+from ..operators.parallel import spread
 from .views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,9 +101,9 @@ def q_hook_tag(spark, sf_dir):
 
 @query("tokenize")
 def q_tokenize(spark, sf_dir):
-    d = _v(spark, sf_dir).t("documents")
-    return d.select("doc_id", F.posexplode(tx.tokenize("text")).alias("pos", "token")) \
-        .select("doc_id", F.col("pos").cast("long"), "token")
+    d = spread(_v(spark, sf_dir).t("documents"))
+    return d.select("doc_id", F.posexplode_outer(tx.tokenize("text")).alias("pos", "token")) \
+        .filter(F.col("token").isNotNull()).select("doc_id", F.col("pos").cast("long"), "token")
 
 
 @query("simple_name")

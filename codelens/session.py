@@ -76,6 +76,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+def materialize(df, label: str = "table"):
+    """Write ``df`` as Parquet into a fresh folder under the shared checkpoint
+    folder and return a DataFrame reading it back.
+
+    This cuts lineage like ``checkpoint()`` but the copy is columnar: later
+    reads prune columns and push filters, and the files survive the loss of
+    any executor.
+    """
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/codelens-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
