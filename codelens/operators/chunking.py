@@ -30,7 +30,7 @@ def structural_chunks(df: DataFrame, id_col: str, text_col: str,
     """
     is_boundary = is_boundary or long_line_boundary()
     lines = F.split(F.col(text_col), "\n", -1)
-    with_lines = spread(df.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), lines.alias("_lines"))
+    with_lines = spread(df.select(F.col(id_col), F.col(text_col)), [id_col]).select(F.col(id_col), lines.alias("_lines"))
     n = F.size("_lines")
     starts = F.filter(F.sequence(F.lit(0), n - 1),
                       lambda i: (i == 0) | is_boundary(F.get(F.col("_lines"), i)))

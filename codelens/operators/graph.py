@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from .ranking import position_within
 
 NODE_ATTRS = ["type", "name", "doctype", "parent_class", "hook_type"]
@@ -138,9 +138,11 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str =
     """Nodes within k hops of the seeds: ``node_id, depth`` (min depth; seeds
     at 0).  ``direction`` is ``down`` (follow src->dst), ``up`` or ``both``.
 
-    Each round joins the frontier to the edges and anti-joins the visited
-    set; every ``checkpoint_every`` rounds the visited set is checkpointed to
-    the shared folder named by ``spark.checkpoint.dir`` to cut lineage.
+    The distinct adjacency is written once as Parquet under the shared
+    checkpoint folder; each round joins the frontier to it and anti-joins the
+    visited set; every ``checkpoint_every`` rounds the visited set is
+    checkpointed to the shared folder named by ``spark.checkpoint.dir`` to
+    cut lineage.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
     if direction == "down":
@@ -152,7 +154,8 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str =
             edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to")))
     else:
         raise ValueError(direction)
-    adj = adj.distinct()
+    # The adjacency is read once per round: materialize it once.
+    adj = materialize(adj.distinct(), "adjacency")
     visited = seeds.select(F.col("node_id")).distinct().withColumn("depth", F.lit(0))
     frontier = visited.select("node_id")
     for d in range(1, k + 1):

@@ -13,12 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Repartition to the session's parallelism when the input has fewer
-    partitions.  With ``keys`` the rows are hash-partitioned on them, which
-    also satisfies a following aggregation keyed by (a superset of) the keys,
-    so that aggregation needs no second shuffle."""
+def spread(df: DataFrame, keys: list[str], min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition on ``keys`` to the session's parallelism when the
+    input has fewer partitions.
+
+    Hash (not round-robin) partitioning: round-robin sorts every input
+    partition first to stay deterministic on retry, which is costly for one
+    big split.  It also satisfies a following aggregation keyed by (a
+    superset of) the keys, so that aggregation needs no second shuffle.
+    """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *keys) if keys else df.repartition(target)
+        return df.repartition(target, *keys)
     return df

@@ -7,11 +7,12 @@ offsets.  The offsets table has at most (partitions x groups-in-partition)
 rows and is itself aggregated with map-side combine.
 
 Range bounds are sampled per plan branch, so two branches over the same
-``repartitionByRange`` may see different partitionings.  The range-sorted
-data is therefore checkpointed (to the shared folder named by
-``spark.checkpoint.dir``) before it is numbered: both the counting branch and
-the numbering branch read the same partitions, and a lost executor never
-changes a position.
+``repartitionByRange`` may see different partitionings.  The partition id and
+the in-partition sequence number are therefore computed once, in the job that
+writes the range-sorted rows as Parquet under the shared checkpoint folder
+(:func:`codelens.session.materialize`); the counting branch and the
+numbering branch both read those files, so positions are consistent and a
+lost executor never changes one.
 
 For top-k (k small) plain ``row_number() <= k`` is used on purpose: Catalyst
 plans a partial ``WindowGroupLimit`` before the shuffle, so at most k rows
@@ -25,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def _n_partitions(df: DataFrame, n: int | None) -> int:
@@ -42,12 +43,10 @@ def global_position(df: DataFrame, order_cols: list, out: str = "pos",
     partition, so broadcasting it is size-bounded by the partition count.
     """
     n = _n_partitions(df, num_partitions)
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .checkpoint()
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = materialize(df.repartitionByRange(n, *order_cols)
+                         .sortWithinPartitions(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = counts.withColumn(
         "_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
@@ -65,13 +64,11 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list,
     order, exactly as ``row_number`` would give them.
     """
     n = _n_partitions(df, num_partitions)
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in group_cols] + list(order_cols)
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .checkpoint()
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = materialize(df.repartitionByRange(n, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     stats = ranged.groupBy("_pid", *group_cols).agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

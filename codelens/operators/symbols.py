@@ -128,7 +128,7 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_symbols(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """C1/C2/C4/I4 raw rows (``EXTRACT_SCHEMA``) for a table of files."""
     src = files.select(F.col(path_col).alias("file_path"), F.col(content_col).alias("content"))
-    return spread(src).mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    return spread(src, ["file_path"]).mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 
 # ---------------------------------------------------------------------------

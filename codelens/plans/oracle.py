@@ -414,6 +414,6 @@ def oracle_sql() -> dict[str, str]:
     s["rule_intercompany"] = _with(["v_items", "v_invoice", "v_credit", "v_allowed"], _rules_ctes()) + \
         f"""SELECT invoice_id, {_q(rules.ERR_INTER_COMPANY)} AS code FROM inv
         WHERE coalesce(inter_company_ref, '') = '' AND is_internal AND NOT allowed"""
-    s["validate_pipeline"] = _with(["v_items", "v_invoice", "v_credit", "v_allowed"], _rules_ctes()) + \
+    s["validate_rules"] = _with(["v_items", "v_invoice", "v_credit", "v_allowed"], _rules_ctes()) + \
         f"SELECT code, cast(count(*) AS bigint) AS n FROM (SELECT {_outcome(TOL)} AS code FROM inv) GROUP BY 1"
     return s

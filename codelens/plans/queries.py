@@ -101,7 +101,7 @@ def q_hook_tag(spark, sf_dir):
 
 @query("tokenize")
 def q_tokenize(spark, sf_dir):
-    d = spread(_v(spark, sf_dir).t("documents"))
+    d = spread(_v(spark, sf_dir).t("documents"), ["doc_id"])
     return d.select("doc_id", F.posexplode_outer(tx.tokenize("text")).alias("pos", "token")) \
         .filter(F.col("token").isNotNull()).select("doc_id", F.col("pos").cast("long"), "token")
 
@@ -455,7 +455,7 @@ def q_rule_intercompany(spark, sf_dir):
     return out.select("invoice_id", F.col("v.code").alias("code"))
 
 
-@query("validate_pipeline")
-def q_validate_pipeline(spark, sf_dir):
+@query("validate_rules")
+def q_validate_rules(spark, sf_dir):
     p = _pipeline(_v(spark, sf_dir))
     return p.groupBy(rules.violation_code().alias("code")).agg(F.count(F.lit(1)).alias("n"))
