@@ -56,13 +56,46 @@ def global_position(df: DataFrame, order_cols: list, out: str = "pos",
             .drop("_pid", "_mid", "_off", "_first"))
 
 
+# A group is hot when it holds more than max(HOT_MIN_ROWS, rows / HOT_MAX_GROUPS)
+# rows, so there are at most HOT_MAX_GROUPS hot groups: their key table has a
+# proven size bound and is broadcast.
+HOT_MAX_GROUPS = 1024
+HOT_MIN_ROWS = 1 << 20
+
+
 def position_within(df: DataFrame, group_cols: list[str], order_cols: list,
-                    out: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                    out: str = "pos", num_partitions: int | None = None,
+                    hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """0-based ``row_number`` within each group, safe for hot groups.
 
-    Rows equal on every order column get distinct positions in arbitrary
-    order, exactly as ``row_number`` would give them.
+    The input is written once; group sizes are counted with map-side
+    combine.  Ordinary groups (bounded by the hot threshold) are numbered by
+    a plain window; hot groups go through :func:`_ranged_positions`, which
+    cuts each of them across many tasks.  Rows equal on every order column
+    get distinct positions in arbitrary order, exactly as ``row_number``
+    would give them.
     """
+    base = materialize(df, "grouped")
+    total = base.count()
+    threshold = max(hot_min_rows, -(-total // HOT_MAX_GROUPS))
+    hot = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")) \
+        .filter(F.col("_n") > threshold).drop("_n")
+    keys = hot.select([F.col(c).alias(f"_h_{c}") for c in group_cols]).withColumn("_hot", F.lit(True))
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in group_cols])
+    tagged = base.join(F.broadcast(keys), cond, "left").drop(*[f"_h_{c}" for c in group_cols])
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot") \
+        .withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    if keys.isEmpty():
+        return cold
+    hot_rows = tagged.filter(F.col("_hot")).drop("_hot")
+    return cold.unionByName(_ranged_positions(hot_rows, group_cols, order_cols, out, num_partitions))
+
+
+def _ranged_positions(df: DataFrame, group_cols: list[str], order_cols: list,
+                      out: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """Positions by range partitioning on (group, order) keys plus
+    per-partition offsets: a hot group is numbered by many tasks."""
     n = _n_partitions(df, num_partitions)
     keys = [F.col(c) for c in group_cols] + list(order_cols)
     ranged = materialize(df.repartitionByRange(n, *keys)

@@ -218,7 +218,8 @@ def bm25_topk(index: BM25Index, queries: DataFrame, n: int, query_id: str = "que
     scored = bm25_scores(index, queries, query_id, text_col)
     if score_digits is not None:
         scored = scored.withColumn("score", F.round("score", score_digits))
-    nonzero = scored.filter(F.col("score") != 0)
+    # Three consumers read the nonzero scores; the scoring join runs once.
+    nonzero = materialize(scored.filter(F.col("score") != 0), "scores")
     counts = nonzero.groupBy("query_id").agg(
         F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("_pos"),
         F.count(F.lit(1)).alias("_nz"))
@@ -228,14 +229,16 @@ def bm25_topk(index: BM25Index, queries: DataFrame, n: int, query_id: str = "que
                     F.coalesce("_nz", F.lit(0)).alias("_nz"))
             .filter(F.col("_pos") < n)
             .withColumn("_m", F.lit(n) - F.col("_pos")))
-    cand = need.select("query_id", F.explode(F.sequence(
-        F.lit(0).cast("long"),
-        F.least(F.col("_m") + F.col("_nz"), F.lit(index.n_docs)).cast("long") - 1)).alias("_g"))
-    by_pos = global_position(index.doc_ids, [F.col("id")], out="_g")
-    zeros = (cand.join(by_pos, "_g")
-             .join(nonzero.select("query_id", "id"), ["query_id", "id"], "left_anti")
-             .select("query_id", "id", F.lit(0.0).alias("score")))
-    pool = nonzero.select("query_id", "id", "score").unionByName(zeros)
+    pool = nonzero.select("query_id", "id", "score")
+    if not need.isEmpty():
+        cand = need.select("query_id", F.explode(F.sequence(
+            F.lit(0).cast("long"),
+            F.least(F.col("_m") + F.col("_nz"), F.lit(index.n_docs)).cast("long") - 1)).alias("_g"))
+        by_pos = global_position(index.doc_ids, [F.col("id")], out="_g")
+        zeros = (cand.join(by_pos, "_g")
+                 .join(nonzero.select("query_id", "id"), ["query_id", "id"], "left_anti")
+                 .select("query_id", "id", F.lit(0.0).alias("score")))
+        pool = pool.unionByName(zeros)
     ranked = top_k(pool, ["query_id"], [F.col("score").desc(), F.col("id")], n, rank_col)
     return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
 

@@ -118,9 +118,12 @@ def test_knn_corpus_smaller_than_k_and_bad_vectors(spark):
 def test_positions_with_hot_group(spark):
     rows = [(0 if i % 3 else i % 7, i) for i in range(3000)]  # group 0 holds two thirds
     df = spark.createDataFrame(rows, "g long, o long")
-    got = {(r.g, r.o): r.pos for r in position_within(df, ["g"], [F.col("o")], num_partitions=6).collect()}
-    for g in {g for g, _ in rows}:
-        os_ = sorted(o for gg, o in rows if gg == g)
-        assert [got[(g, o)] for o in os_] == list(range(len(os_)))
+    for hot_min in (1 << 20, 10):  # all groups ordinary / group 0 hot
+        got = {(r.g, r.o): r.pos for r in
+               position_within(df, ["g"], [F.col("o")], num_partitions=6, hot_min_rows=hot_min).collect()}
+        assert len(got) == len(rows)
+        for g in {g for g, _ in rows}:
+            os_ = sorted(o for gg, o in rows if gg == g)
+            assert [got[(g, o)] for o in os_] == list(range(len(os_)))
     gp = {r.o: r.pos for r in global_position(df, [F.col("o")], num_partitions=5).collect()}
     assert [gp[o] for o in range(3000)] == list(range(3000))
