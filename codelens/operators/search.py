@@ -104,8 +104,10 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
         .filter(F.col("_qv").isNotNull() & ~F.exists("_qv", lambda x: x.isNull() | F.isnan(x)))
     c = corpus.select(F.col(id_col).alias("_cid"), F.col(vec_col).alias("_cv")) \
         .filter(F.col("_cv").isNotNull() & ~F.exists("_cv", lambda x: x.isNull() | F.isnan(x)))
-    nq = q.count()
-    nc = c.count()
+    sizes = {r["_side"]: r["_n"] for r in
+             q.select(F.lit(0).alias("_side")).unionByName(c.select(F.lit(1).alias("_side")))
+             .groupBy("_side").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    nq, nc = sizes.get(0, 0), sizes.get(1, 0)
     id_type = corpus.schema[id_col].dataType
     qid_type = queries.schema[query_id].dataType
     out_schema = T.StructType([T.StructField("query_id", qid_type),
@@ -154,17 +156,19 @@ class BM25Index:
         # generator never carries (or recomputes over) the token array.
         base = spread(corpus, ["id"]).select("id", tx.tokenize(text_col).alias("_toks")) \
             .select("id", F.coalesce(F.size("_toks"), F.lit(0)).alias("dl"), "_toks")
-        # explode_outer + an explicit filter: a plain explode makes Catalyst
-        # infer size(tokens) > 0 and push it into the scan, re-tokenizing
-        # every text there before the spread.
+        # explode_outer (not explode): a plain explode makes Catalyst infer
+        # size(tokens) > 0 and push it into the scan, re-tokenizing every
+        # text there before the spread.
+        # An empty document keeps one null-term row, so the written table
+        # also yields the document count.
         rows = (base.select("id", "dl", F.explode_outer("_toks").alias("term"))
-                .filter(F.col("term").isNotNull())
-                .groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
-        self.postings = materialize(rows, "postings")
+                .groupBy("id", "term", "dl").agg(F.count("term").alias("tf")))
+        written = materialize(rows, "postings")
+        self.postings = written.filter(F.col("term").isNotNull())
         self.doc_ids = corpus.select("id")
-        self.n_docs = int(self.doc_ids.count())
-        total = self.postings.agg(F.sum("tf")).first()[0] or 0
-        self.avgdl = float(total) / self.n_docs if self.n_docs else 0.0
+        stats = written.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("t")).first()
+        self.n_docs = int(stats["n"])
+        self.avgdl = float(stats["t"] or 0) / self.n_docs if self.n_docs else 0.0
         df_ = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         with_raw = materialize(df_.withColumn(
             "idf_raw", F.ln(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
