@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelens.operators import symbols as sy
 
 A = textwrap.dedent('''\
-    import frappe
+    import toolkit
 
     def helper(x):
         return x
@@ -18,7 +18,7 @@ A = textwrap.dedent('''\
             helper(1)
             self.x.y()
 
-        @frappe.whitelist()
+        @toolkit.expose()
         def decorated(self):
             a().b()
 
