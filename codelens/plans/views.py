@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.parallel import spread
-from ..session import read_table
+from ..session import materialize, read_table
 
 
 class Views:
@@ -115,7 +115,9 @@ class Views:
         supps = sn.select(F.concat(rid, F.lit(":"), F.col("n_name"), F.lit(":"), F.col("s_name")).alias("node_id"),
                           F.lit("function").alias("type"), F.col("s_name").alias("name"),
                           F.col("n_name").alias("parent_class"))
-        return files.unionByName(classes).unionByName(custs).unionByName(supps)
+        # Read by many branches of the graph queries (containment, both ends
+        # of every call edge, node selection): written once, read back.
+        return materialize(files.unionByName(classes).unionByName(custs).unionByName(supps), "nodes")
 
     def _v_contains(self) -> DataFrame:
         from ..operators.graph import contains_edges
