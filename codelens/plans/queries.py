@@ -18,6 +18,7 @@ from ..operators import delta, evaluate, graph, render, rules, search
 from ..operators.chunking import structural_chunks
 from ..operators.embed import hash_embed_long
 from ..operators.parallel import spread
+from ..session import materialize
 from .views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,7 +323,9 @@ def q_bm25_topk(spark, sf_dir):
 
 
 def _vector_corpus(v: Views) -> DataFrame:
-    return v.v_chunks.filter(F.col("vector").isNotNull())
+    """The vector table: chunks with a vector, stored once (as the index job
+    does) so the dense, sparse and render steps all read the same table."""
+    return materialize(v.v_chunks.filter(F.col("vector").isNotNull()), "vector_table")
 
 
 def _hybrid(v: Views) -> DataFrame:

@@ -90,3 +90,29 @@ def test_hash_embed_forms_agree(spark):
         assert arr[k] == pytest.approx(long_[k], abs=1e-6)
     assert sum(v * v for v in arr[1]) == pytest.approx(1.0, abs=1e-6)
     assert arr[2] == [0.0] * 8
+
+
+def test_embed_with_model_keys_by_row(spark):
+    import numpy as np
+    from codelens.operators.embed import embed_with_model
+
+    def model(texts):
+        # a wrong-length result for one row must not shift the others
+        return [np.full(3, len(t), dtype=np.float32) if not t.endswith("bad") else np.zeros(2) for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, "bad"), (3, "abcd")], "id long, text string")
+    out = {r.id: r.vector for r in embed_with_model(df, "text", model, dim=3, prefix="p: ").collect()}
+    assert out[1] == [5.0, 5.0, 5.0] and out[2] is None and out[3] == [7.0, 7.0, 7.0]
+
+
+def test_prefix_and_prompts(spark):
+    from codelens.operators.render import build_prompts
+    df = spark.createDataFrame([("show the flow",), ("",)], "q string")
+    r = df.select(tx.embed_prefix("q", is_query=True).alias("a"),
+                  tx.embed_prefix("q", is_query=True, legacy_prefix=True).alias("b")).first()
+    assert r.a == "search_query: show the flow" and r.b == "search_document: show the flow"
+    p = build_prompts(df, "Sales Invoice", query_col="q").collect()
+    assert p[0].template == "process_flow" and p[1].active_query == "Overview of Sales Invoice"
+    assert p[1].template == "debugging" and "Overview of Sales Invoice" in p[1].prompt
+    assert tx.TEMPLATES["debugging"].format(entity_name="Sales Invoice", user_query="Overview of Sales Invoice",
+                                            context_data="") == p[1].prompt

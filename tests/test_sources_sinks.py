@@ -148,3 +148,12 @@ def test_mermaid_document(spark):
     text = "\n".join(r.value for r in spark.read.text(f"{d}/flow").collect())
     assert text.startswith("### Logic Flow for `Ent`") and text.endswith("```")
     assert text.index('b["b"] --> c') < text.index('a["a"] --> b')
+
+
+def test_graph_xml_export_reads_back(spark):
+    d = _tmp()
+    nodes = spark.createDataFrame([("a", "file", "a"), ("a:f", "function", "f")], "node_id string, type string, name string")
+    edges = spark.createDataFrame([("a", "a:f", "CONTAINS", 0)], "src string, dst string, type string, key int")
+    sinks.export_gexf_parts(nodes, edges, d)
+    back = spark.read.format("xml").option("rowTag", "node").load(f"{d}/nodes_xml")
+    assert {r.node_id for r in back.collect()} == {"a", "a:f"}
