@@ -1,12 +1,14 @@
 """Retrieval: exact vector top-k, BM25 index / score / top-n,
 reciprocal-rank fusion and hybrid search, for a whole table of queries.
 
-Exact kNN never forms a query x corpus cross join.  Queries and corpus rows
+Exact kNN never forms a query x corpus cross join.  When the query matrix
+is proven small (row count x dimension checked against a byte bound), it is
+broadcast and the corpus is scanned where it lies: each task keeps a running
+k best per query and emits only those.  Otherwise queries and corpus rows
 are hashed into blocks; each (query block, corpus block) pair meets in one
 ``cogroup`` task that computes the distance block with numpy and emits only
-its k best rows per query.  A final ``row_number() <= k`` merges at most
-``k x corpus_blocks`` rows per query.  Block sizes come from row counts, so
-memory per task is bounded whatever the table sizes.
+its k best rows per query.  Either way a final ``row_number() <= k`` merges
+at most ``k x tasks`` rows per query, and memory per task is bounded.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ HYBRID_LIMIT = 8
 KNN_QUERY_BLOCK = 4096
 KNN_CORPUS_BLOCK = 65536
 KNN_MIN_CORPUS_BLOCK = 512
+# Queries are broadcast (and the corpus scanned in place) only while the
+# query matrix, as float64, stays under this many bytes.
+KNN_BROADCAST_BYTES = 256 << 20
 _SLICE = 256
 
 
@@ -88,6 +93,45 @@ def _knn_block_fn(k: int, exclude_self: bool):
     return fn
 
 
+def _knn_scan_fn(bc, k: int, exclude_self: bool):
+    """Per corpus partition: running k best rows per broadcast query."""
+    def fn(batches):
+        qids, qv = bc.value
+        best_c, best_d = None, None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            cv = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
+            cids = pdf["_cid"].to_numpy()
+            for s in range(0, len(qids), _SLICE):
+                diff = qv[s:s + _SLICE, None, :] - cv[None, :, :]
+                d = np.einsum("ijk,ijk->ij", diff, diff)
+                if exclude_self:
+                    d[qids[s:s + _SLICE, None] == cids[None, :]] = np.inf
+                ids = np.broadcast_to(cids[None, :], d.shape)
+                if best_d is not None:
+                    d = np.concatenate([best_d[s:s + _SLICE], d], axis=1)
+                    ids = np.concatenate([best_c[s:s + _SLICE], ids], axis=1)
+                # keep the k best by (dist, id) per query row
+                order = np.lexsort((ids, d), axis=1)[:, :k] if d.shape[1] > 0 else None
+                kd = np.take_along_axis(d, order, axis=1)
+                kc = np.take_along_axis(ids, order, axis=1)
+                if best_d is None:
+                    best_d = np.full((len(qids), kd.shape[1]), np.inf)
+                    best_c = np.empty((len(qids), kd.shape[1]), dtype=kc.dtype)
+                if best_d.shape[1] != kd.shape[1]:
+                    pad = kd.shape[1] - best_d.shape[1]
+                    best_d = np.concatenate([best_d, np.full((len(qids), pad), np.inf)], axis=1)
+                    best_c = np.concatenate([best_c, np.empty((len(qids), pad), dtype=best_c.dtype)], axis=1)
+                best_d[s:s + _SLICE] = kd
+                best_c[s:s + _SLICE] = kc
+        if best_d is None:
+            return
+        rows, cols = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({"query_id": qids[rows], "id": best_c[rows, cols], "dist": best_d[rows, cols]})
+    return fn
+
+
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "vector",
              id_col: str = "id", vec_col: str = "vector",
@@ -104,10 +148,13 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
         .filter(F.col("_qv").isNotNull() & ~F.exists("_qv", lambda x: x.isNull() | F.isnan(x)))
     c = corpus.select(F.col(id_col).alias("_cid"), F.col(vec_col).alias("_cv")) \
         .filter(F.col("_cv").isNotNull() & ~F.exists("_cv", lambda x: x.isNull() | F.isnan(x)))
-    sizes = {r["_side"]: r["_n"] for r in
-             q.select(F.lit(0).alias("_side")).unionByName(c.select(F.lit(1).alias("_side")))
-             .groupBy("_side").agg(F.count(F.lit(1)).alias("_n")).collect()}
-    nq, nc = sizes.get(0, 0), sizes.get(1, 0)
+    sizes = {r["_side"]: (r["_n"], r["_dim"]) for r in
+             q.select(F.lit(0).alias("_side"), F.size("_qv").alias("_d"))
+             .unionByName(c.select(F.lit(1).alias("_side"), F.size("_cv").alias("_d")))
+             .groupBy("_side").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dim")).collect()}
+    nq, dim = sizes.get(0, (0, 0))
+    nc = sizes.get(1, (0, 0))[0]
+    dim = dim or 0
     id_type = corpus.schema[id_col].dataType
     qid_type = queries.schema[query_id].dataType
     out_schema = T.StructType([T.StructField("query_id", qid_type),
@@ -115,6 +162,15 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                                T.StructField("dist", T.DoubleType())])
     if nq == 0 or nc == 0:
         return spark.createDataFrame([], out_schema).withColumn(rank_col, F.lit(1))
+    if nq * max(dim, 1) * 8 <= KNN_BROADCAST_BYTES:
+        # Proven small: ship the query matrix to every task and scan the
+        # corpus where it lies -- no shuffle of the vectors at all.
+        qpdf = q.toPandas()
+        qmat = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
+        bc = spark.sparkContext.broadcast((qpdf["_qid"].to_numpy(), qmat))
+        partial = spread(c, ["_cid"]).mapInPandas(_knn_scan_fn(bc, k, exclude_self), out_schema)
+        ranked = top_k(partial, ["query_id"], [F.col("dist"), F.col("id")], k, rank_col)
+        return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
     par = spark.sparkContext.defaultParallelism
     qb = max(1, math.ceil(nq / KNN_QUERY_BLOCK))
     cb = max(math.ceil(nc / KNN_CORPUS_BLOCK),

@@ -96,9 +96,17 @@ def test_knn_exact_with_ties_and_self_exclusion(spark):
     vecs[10] = vecs[11]  # exact duplicate: tie broken by id
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vector array<float>")
     queries = corpus.withColumnRenamed("id", "query_id")
-    for excl in (False, True):
+    cases = [(False, None), (True, None), (False, 0), (True, 0)]  # broadcast scan / blocked cogroup
+    for excl, bound in cases:
+        saved = search.KNN_BROADCAST_BYTES
+        if bound is not None:
+            search.KNN_BROADCAST_BYTES = bound
+        try:
+            rows_ = search.knn_topk(queries, corpus, 5, exclude_self=excl).collect()
+        finally:
+            search.KNN_BROADCAST_BYTES = saved
         got = {}
-        for r in search.knn_topk(queries, corpus, 5, exclude_self=excl).collect():
+        for r in rows_:
             got.setdefault(r.query_id, []).append((r.rank, r.id))
         v64 = vecs.astype(np.float64)
         for q in range(60):
