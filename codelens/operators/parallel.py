@@ -1,4 +1,4 @@
-"""Keep CPU-heavy row-local work parallel.
+"""Keep CPU-heavy row-local work parallel (call on plain scans only).
 
 A scan yields one task per file split / row group.  A corpus stored as a few
 large row groups would put all tokenizing or parsing on a few cores, so
@@ -21,6 +21,11 @@ def spread(df: DataFrame, keys: list[str], min_partitions: int | None = None) ->
     partition first to stay deterministic on retry, which is costly for one
     big split.  It also satisfies a following aggregation keyed by (a
     superset of) the keys, so that aggregation needs no second shuffle.
+
+    Call it on a plain scan: for a DataFrame that already contains a shuffle,
+    asking for its partition count makes adaptive execution run that shuffle
+    eagerly.  The operators therefore never call it themselves; callers that
+    hold a scan (the stand-in views, a stored vector table) do.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:

@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import materialize
-from .parallel import spread
 from .ranking import global_position, top_k
 
 # BM25-Okapi parameters (fixed values of the public algorithm's defaults).
@@ -168,7 +167,7 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
         qpdf = q.toPandas()
         qmat = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         bc = spark.sparkContext.broadcast((qpdf["_qid"].to_numpy(), qmat))
-        partial = spread(c, ["_cid"]).mapInPandas(_knn_scan_fn(bc, k, exclude_self), out_schema)
+        partial = c.mapInPandas(_knn_scan_fn(bc, k, exclude_self), out_schema)
         ranked = top_k(partial, ["query_id"], [F.col("dist"), F.col("id")], k, rank_col)
         return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
     par = spark.sparkContext.defaultParallelism
@@ -210,7 +209,7 @@ class BM25Index:
         corpus = docs.select(F.col(id_col).alias("id"), F.col(text_col))
         # Per-document values are computed before the explode, so the
         # generator never carries (or recomputes over) the token array.
-        base = spread(corpus, ["id"]).select("id", tx.tokenize(text_col).alias("_toks")) \
+        base = corpus.select("id", tx.tokenize(text_col).alias("_toks")) \
             .select("id", F.coalesce(F.size("_toks"), F.lit(0)).alias("dl"), "_toks")
         # explode_outer (not explode): a plain explode makes Catalyst infer
         # size(tokens) > 0 and push it into the scan, re-tokenizing every

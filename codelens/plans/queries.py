@@ -102,7 +102,7 @@ def q_hook_tag(spark, sf_dir):
 
 @query("tokenize")
 def q_tokenize(spark, sf_dir):
-    d = spread(_v(spark, sf_dir).t("documents"), ["doc_id"])
+    d = _v(spark, sf_dir).t("documents")
     return d.select("doc_id", F.posexplode_outer(tx.tokenize("text")).alias("pos", "token")) \
         .filter(F.col("token").isNotNull()).select("doc_id", F.col("pos").cast("long"), "token")
 
@@ -325,7 +325,7 @@ def q_bm25_topk(spark, sf_dir):
 def _vector_corpus(v: Views) -> DataFrame:
     """The vector table: chunks with a vector, stored once (as the index job
     does) so the dense, sparse and render steps all read the same table."""
-    return materialize(v.v_chunks.filter(F.col("vector").isNotNull()), "vector_table")
+    return spread(materialize(v.v_chunks.filter(F.col("vector").isNotNull()), "vector_table"), ["id"])
 
 
 def _hybrid(v: Views) -> DataFrame:

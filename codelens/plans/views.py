@@ -28,7 +28,7 @@ class Views:
 
     # Fact tables and a key to spread them on when a scan yields fewer
     # splits than the session's parallelism (a no-op at scale).
-    SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
+    SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "embeddings": "vec_id"}
 
     def t(self, name: str) -> DataFrame:
         df = read_table(self.spark, self.sf_dir, name)
