@@ -59,8 +59,7 @@ TEMPLATES = {
 
 # Characters Python's ``str.split()`` treats as blanks (it is wider than
 # Java's ASCII ``\s``), as a Java regex character class.
-PY_BLANKS = (r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0  - "
-             r"    　]+")
+PY_BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def _col(c) -> Column:
@@ -197,12 +196,6 @@ def tolerance(precision) -> Column:
     return F.lit(1.0) / F.pow(F.lit(10.0), _col(precision) + 1)
 
 
-def tolerance_decimal(precision, scale: int = 10) -> Column:
-    """Exact decimal tolerance for decimal money columns."""
-    return F.expr(f"cast(1 as decimal(20,{scale}))") / \
-        F.pow(F.lit(10), _col(precision) + 1).cast(f"decimal(20,{scale})")
-
-
 # F17 -----------------------------------------------------------------------
 def violation_text(code, details) -> Column:
     """``code: details``, or ``code`` when details are null or empty."""

@@ -44,17 +44,6 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
                     F.lit("CONTAINS").alias("type")))
 
 
-def contains_edges_from_symbols(symbols: DataFrame) -> DataFrame:
-    """CONTAINS edges of extracted symbols (``file_path, class_name, name,
-    kind``): file->class, file->function, class->method.  A nested class
-    hangs off the file; a function nested in a method hangs off the class."""
-    parent = F.when(F.col("kind") == "class", F.col("file_path")) \
-        .when(F.col("class_name").isNotNull(), tx.qualified_id("file_path", "class_name")) \
-        .otherwise(F.col("file_path"))
-    return symbols.select(parent.alias("src"), F.col("node_id").alias("dst"),
-                          F.lit("CONTAINS").alias("type"), "ordinal", "file_path")
-
-
 # G3 ------------------------------------------------------------------------
 def symbol_table(defs: DataFrame, order_cols: list[str] = ("ordinal",)) -> DataFrame:
     """simple name -> node id, last definition (highest order key) wins."""

@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -347,7 +347,9 @@ def hybrid_search(corpus: DataFrame, queries: DataFrame, limit: int = HYBRID_LIM
     """Dense top-2·limit + BM25 top-2·limit, fused to ``limit`` per query,
     joined back to the corpus rows.
 
-    ``corpus``: ``id, vector, content`` (+ any columns to return);
+    ``corpus``: ``id, vector, content`` (+ any columns to return) with unique
+    ids -- pass it through :func:`dedupe_by_id` first when ids can repeat
+    (R8; a shuffle on id, so it is not done unconditionally);
     ``queries``: ``query_id, query, vector``.
     """
     index = index or BM25Index(corpus, "id", "content")
