@@ -61,7 +61,7 @@ def test_repo_url_and_tokenize(spark):
     got = [r.loc for r in df.select(tx.parse_repo_url("url").alias("loc")).collect()]
     assert got[0].asDict() == {"owner": "o", "repo": "r", "branch": "dev", "path": "a/b/c"}
     assert got[1] is None and got[2] is None
-    text = "A  b\tc d e\x1cf\n\n g.h"
+    text = "A  b\tc d e\x1cf\n\n g.h\u3000i\xa0j k\u200bl"
     toks = spark.createDataFrame([(text,)], "t string").select(tx.tokenize("t").alias("k")).first().k
     assert toks == text.lower().split()
 
