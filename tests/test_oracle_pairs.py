@@ -8,6 +8,7 @@ import __spark_entry__ as E
 from tools.compare import TABLES, table_hash
 
 SF = "/root/testdata/sf0.001"
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +27,11 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[key])
-    ocols = [d[0] for d in res.description]
-    orows = res.fetchall()
+    rel = con.sql(E.oracle_sql()[key])
+    ocols = rel.columns
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    orows = rel.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert len(srows) == len(orows)
     assert table_hash(df.columns, srows) == table_hash(ocols, orows)
