@@ -78,16 +78,20 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list,
     base = materialize(df, "grouped")
     total = base.count()
     threshold = max(hot_min_rows, -(-total // HOT_MAX_GROUPS))
-    hot = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")) \
-        .filter(F.col("_n") > threshold).drop("_n")
-    keys = hot.select([F.col(c).alias(f"_h_{c}") for c in group_cols]).withColumn("_hot", F.lit(True))
+    # At most HOT_MAX_GROUPS groups can exceed the threshold: collecting the
+    # hot keys is bounded, and with none the numbering is a single window.
+    hot_keys = (base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > threshold).drop("_n").collect())
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    if not hot_keys:
+        return base.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    schema = base.select(*group_cols).schema
+    keys = base.sparkSession.createDataFrame(hot_keys, schema) \
+        .select([F.col(c).alias(f"_h_{c}") for c in group_cols]).withColumn("_hot", F.lit(True))
     cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in group_cols])
     tagged = base.join(F.broadcast(keys), cond, "left").drop(*[f"_h_{c}" for c in group_cols])
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     cold = tagged.filter(F.col("_hot").isNull()).drop("_hot") \
         .withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    if keys.isEmpty():
-        return cold
     hot_rows = tagged.filter(F.col("_hot")).drop("_hot")
     return cold.unionByName(_ranged_positions(hot_rows, group_cols, order_cols, out, num_partitions))
 
