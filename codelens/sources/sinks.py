@@ -65,11 +65,13 @@ def mermaid_document(lines: DataFrame, entity: str, order_col: str) -> DataFrame
     return header.unionByName(body).unionByName(footer)
 
 
-def write_mermaid(doc: DataFrame, path: str, num_partitions: int = 1) -> None:
+def write_mermaid(doc: DataFrame, path: str, num_partitions: int | None = None) -> None:
     """K7: range-partition on (part, ord) and sort within partitions; part
-    files in name order then read as the document.  One partition only for
-    small subgraphs."""
-    (doc.repartitionByRange(num_partitions, "part", "ord").sortWithinPartitions("part", "ord")
+    files in name order then read as the document.  ``num_partitions``
+    defaults to the session's shuffle partitions; pass 1 only for a small
+    subgraph that should land in a single file."""
+    n = num_partitions or int(doc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (doc.repartitionByRange(n, "part", "ord").sortWithinPartitions("part", "ord")
      .select("line").write.mode("overwrite").text(path))
 
 
