@@ -213,25 +213,42 @@ class BM25Index:
             .select("id", F.coalesce(F.size("_toks"), F.lit(0)).alias("dl"), "_toks")
         # explode_outer (not explode): a plain explode makes Catalyst infer
         # size(tokens) > 0 and push it into the scan, re-tokenizing every
-        # text there before the spread.
-        # An empty document keeps one null-term row, so the written table
-        # also yields the document count.
+        # text there before the spread.  An empty document keeps one
+        # null-term row, so the written table also yields the document count.
         rows = (base.select("id", "dl", F.explode_outer("_toks").alias("term"))
                 .groupBy("id", "term", "dl").agg(F.count("term").alias("tf")))
-        written = materialize(rows, "postings")
+        self._init_from(materialize(rows, "postings"))
+
+    def _init_from(self, written: DataFrame, terms: DataFrame | None = None) -> None:
+        self._written = written
         self.postings = written.filter(F.col("term").isNotNull())
-        self.doc_ids = corpus.select("id")
+        self.doc_ids = written.select("id").distinct()
         stats = written.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("t")).first()
         self.n_docs = int(stats["n"])
         self.avgdl = float(stats["t"] or 0) / self.n_docs if self.n_docs else 0.0
-        df_ = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        with_raw = materialize(df_.withColumn(
-            "idf_raw", F.ln(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "terms")
-        mean = with_raw.agg(F.avg("idf_raw")).first()[0]
+        if terms is None:
+            df_ = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            terms = materialize(df_.withColumn(
+                "idf_raw", F.ln(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)),
+                "terms")
+        self._raw_terms = terms
+        mean = terms.agg(F.avg("idf_raw")).first()[0]
         self.mean_idf = float(mean) if mean is not None else 0.0
-        self.terms = with_raw.withColumn(
+        self.terms = terms.withColumn(
             "idf", F.when(F.col("idf_raw") < 0, F.lit(BM25_EPSILON * self.mean_idf)).otherwise(F.col("idf_raw")))
 
+    def save(self, path: str) -> None:
+        """Persist the index tables (``postings/``, ``terms/``) under ``path``."""
+        self._written.write.mode("errorifexists").parquet(f"{path}/postings")
+        self._raw_terms.write.mode("errorifexists").parquet(f"{path}/terms")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "BM25Index":
+        """Open an index written by :meth:`save` without touching the corpus."""
+        idx = cls.__new__(cls)
+        idx._init_from(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
+        return idx
+
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query") -> DataFrame:
     """(query_id, term, qtf): repeated query terms count each time."""

@@ -135,3 +135,17 @@ def test_positions_with_hot_group(spark):
             assert [got[(g, o)] for o in os_] == list(range(len(os_)))
     gp = {r.o: r.pos for r in global_position(df, [F.col("o")], num_partitions=5).collect()}
     assert [gp[o] for o in range(3000)] == list(range(3000))
+
+
+def test_bm25_index_save_and_load(spark, tmp_path):
+    texts = _corpus(5, 20, 10, 12) + [""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    q = spark.createDataFrame([(0, "w1 w3")], "query_id long, query string")
+    idx = search.BM25Index(docs)
+    path = f"/tmp/codelens-bm25-{tmp_path.name}"
+    idx.save(path)
+    back = search.BM25Index.load(spark, path)
+    assert (back.n_docs, back.avgdl, back.mean_idf) == (idx.n_docs, idx.avgdl, idx.mean_idf) and idx.n_docs == 21
+    a = {(r.query_id, r.id): r.score for r in search.bm25_topk(idx, q, 25).collect()}
+    b = {(r.query_id, r.id): r.score for r in search.bm25_topk(back, q, 25).collect()}
+    assert a == b and len(a) == 21
