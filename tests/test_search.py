@@ -137,12 +137,13 @@ def test_positions_with_hot_group(spark):
     assert [gp[o] for o in range(3000)] == list(range(3000))
 
 
-def test_bm25_index_save_and_load(spark, tmp_path):
+def test_bm25_index_save_and_load(spark):
+    import tempfile
     texts = _corpus(5, 20, 10, 12) + [""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
     q = spark.createDataFrame([(0, "w1 w3")], "query_id long, query string")
     idx = search.BM25Index(docs)
-    path = f"/tmp/codelens-bm25-{tmp_path.name}"
+    path = tempfile.mkdtemp(prefix="codelens-bm25-", dir="/tmp") + "/index"
     idx.save(path)
     back = search.BM25Index.load(spark, path)
     assert (back.n_docs, back.avgdl, back.mean_idf) == (idx.n_docs, idx.avgdl, idx.mean_idf) and idx.n_docs == 21
