@@ -131,21 +131,35 @@ def intercompany_violation(ref="inter_company_ref", internal="is_internal") -> C
 
 
 # V5 ------------------------------------------------------------------------
-def validate(invoices: DataFrame, items: DataFrame | None, credit: DataFrame,
-             allowed: DataFrame, invoice_key: str = "invoice_id", item_key: str | None = None,
-             credit_keys: tuple[str, ...] = ("customer",), use_tolerance: bool = True,
-             allowed_is_list: bool = False) -> DataFrame:
-    """All four rules; adds ``v_pos, v_credit, v_dropship, v_intercompany``
-    and ``violation`` (first failure in rule order, null when none)."""
+def attach_lookups(invoices: DataFrame, items: DataFrame | None, credit: DataFrame,
+                   allowed: DataFrame, invoice_key: str = "invoice_id", item_key: str | None = None,
+                   credit_keys: tuple[str, ...] = ("customer",), allowed_is_list: bool = False) -> DataFrame:
+    """Item flags and both lookups joined to the invoices (one row each)."""
     df = attach_item_flags(invoices, items, invoice_key, item_key)
     df = attach_credit(df, credit, list(credit_keys))
-    df = attach_allowed_list(df, allowed) if allowed_is_list else attach_allowed(df, allowed)
-    df = (df.withColumn("v_pos", pos_violation(use_tolerance=use_tolerance))
+    return attach_allowed_list(df, allowed) if allowed_is_list else attach_allowed(df, allowed)
+
+
+def apply_rules(prepared: DataFrame, use_tolerance: bool = True) -> DataFrame:
+    """All four rules over :func:`attach_lookups` output; adds ``v_pos,
+    v_credit, v_dropship, v_intercompany`` and ``violation`` (first failure
+    in rule order, null when none)."""
+    df = (prepared.withColumn("v_pos", pos_violation(use_tolerance=use_tolerance))
           .withColumn("v_credit", credit_violation())
           .withColumn("v_dropship", dropship_violation())
           .withColumn("v_intercompany", intercompany_violation()))
     return df.withColumn("violation", F.coalesce("v_pos", "v_credit", "v_dropship", "v_intercompany"))
 
 
+def validate(invoices: DataFrame, items: DataFrame | None, credit: DataFrame,
+             allowed: DataFrame, invoice_key: str = "invoice_id", item_key: str | None = None,
+             credit_keys: tuple[str, ...] = ("customer",), use_tolerance: bool = True,
+             allowed_is_list: bool = False) -> DataFrame:
+    """V5: :func:`attach_lookups` then :func:`apply_rules`."""
+    prepared = attach_lookups(invoices, items, credit, allowed, invoice_key, item_key, credit_keys,
+                              allowed_is_list)
+    return apply_rules(prepared, use_tolerance)
+
+
 def violation_code(col: str = "violation") -> Column:
     return F.coalesce(F.col(col)["code"], F.lit("none"))

@@ -419,8 +419,12 @@ def _pipeline(v: Views, use_tolerance: bool = True) -> DataFrame:
 @query("parity_compare")
 def q_parity_compare(spark, sf_dir):
     v = _v(spark, sf_dir)
-    legacy = _pipeline(v, use_tolerance=False).select("invoice_id", rules.violation_code().alias("outcome"))
-    actual = _pipeline(v).select("invoice_id", rules.violation_code().alias("outcome"))
+    # Both rule variants read the same prepared invoices (one plan subtree).
+    prepared = rules.attach_lookups(v.v_invoice, v.v_items, v.v_credit, v.v_allowed,
+                                    invoice_key="invoice_id", item_key="l_orderkey")
+    legacy = rules.apply_rules(prepared, use_tolerance=False) \
+        .select("invoice_id", rules.violation_code().alias("outcome"))
+    actual = rules.apply_rules(prepared).select("invoice_id", rules.violation_code().alias("outcome"))
     p = evaluate.parity_compare(legacy, actual, "invoice_id")
     return p.select("expected", "actual", F.col("n").cast("long"), "match")
 
