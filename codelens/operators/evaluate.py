@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+# Rationale of a failed judgement and rank text when not found.
 JUDGE_FAILED_RATIONALE = "Judge failed"
 NOT_FOUND_RANK = "N/A"
 

@@ -109,6 +109,7 @@ def simple_edges(edges: DataFrame, order_col: str | None = None) -> DataFrame:
 
 
 # G10 / K7 ------------------------------------------------------------------
+# Diagram header and arrow format.
 MERMAID_HEADER = "graph TD"
 ARROW_FORMAT = '    %s["%s"] --> %s["%s"]'
 

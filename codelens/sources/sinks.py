@@ -49,6 +49,7 @@ def export_gexf_parts(nodes: DataFrame, edges: DataFrame, base: str) -> None:
         .save(f"{base}/edges_xml")
 
 
+# Title and sentence of the diagram document.
 MERMAID_TITLE = "### Logic Flow for `%s`\n"
 MERMAID_BLURB = "This diagram shows the relationships between files and functions discovered in the repository.\n"
 
