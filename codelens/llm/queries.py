@@ -8,12 +8,48 @@ from pyspark.sql import functions as F
 from ..session import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and disclosing spans of every document."""
+    from .pii import find, report
+    return report(find(read_table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the learned decision list's verdict on every document."""
     from .quality import quality_rules
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 4-word-shingle Jaccard >= 0.85."""
+    from .parity_join import jaccard_components
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item) whose verified overlap leaks the item."""
+    from .decontaminate import leaks
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fuzzy repeated lines removed: numbers of the
+    removed lines, length and hash of the remaining text."""
+    from .fuzzy_lines import dedup_lines
+    done = dedup_lines(read_table(spark, sf_dir, "documents"), ("n_lines", "n_removed", "removed"))
+    return done.select("doc_id", "n_lines", "n_removed",
+                       F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+                       F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated span that goes, with the document that keeps it."""
+    from .sentence_spans import repeated_spans
+    spans = repeated_spans(read_table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "first_doc_id", F.col("start").cast("long").alias("start"),
+                        F.col("stop").cast("long").alias("stop"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word targets per source and what the mix takes of every document."""
     from .mixing import mix
@@ -21,7 +57,8 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join, op4_decontaminate, op5_fuzzy_lines,
+                                   op6_mix_sources, op7_sentence_spans)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
