@@ -57,8 +57,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and context-mixing score of every document."""
+    from .context_mixing import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join, op4_decontaminate, op5_fuzzy_lines,
-                                   op6_mix_sources, op7_sentence_spans)}
+                                   op6_mix_sources, op7_sentence_spans, op9_context_mixing)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
