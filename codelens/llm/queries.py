@@ -57,14 +57,31 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_text import extract
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base score and context-mixing score of every document."""
     from .context_mixing import score_documents
     return score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and page by fused evidence."""
+    from .language import evidence_rows, identify, labelled_documents, train
+    docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    found = identify(evidence_rows(docs, pages), *train(labelled_documents(docs)))
+    return found.select(F.when(F.col("source") == "documents", F.col("id")).alias("doc_id"),
+                        F.when(F.col("source") == "pages", F.col("id")).alias("page_id"),
+                        "lang", "confidence", "text_lang", "declared", "host")
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join, op4_decontaminate, op5_fuzzy_lines,
-                                   op6_mix_sources, op7_sentence_spans, op9_context_mixing)}
+                                   op6_mix_sources, op7_sentence_spans, op8_html_text, op9_context_mixing,
+                                   op10_language)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
