@@ -21,6 +21,18 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+# Bytes of one Arrow batch on its way to a Python task: texts differ in length
+# by a factor of 10^4, so a bound on rows alone does not bound memory.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most about ``BATCH_BYTES``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def byte_words(text) -> list[bytes]:
     """The same words inside a Python task, A-Z lower-cased, as UTF-8 bytes
     (``bytes.split`` and ``bytes.lower`` act on exactly the ASCII blanks and

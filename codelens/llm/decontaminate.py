@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, in_arrow
 
 K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach.
@@ -257,7 +257,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THRESHOLD, overl
                         got.append((ids[d], index.ids[i], s, p, q, a))
                 cols = list(zip(*got)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-        part = source.mapInArrow(find, schema)
+        part = in_arrow(source, find, schema)
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -286,5 +286,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, theta: float = THRESH
                         hit[rows[d]] = True
                 yield batch.filter(pa.array(~hit)).select(range(batch.num_columns - 1))
         schema = out.schema
-        out = out.withColumn(text, F.col("text").cast("string")).mapInArrow(keep, schema)
+        out = in_arrow(out.withColumn(text, F.col("text").cast("string")), keep, schema)
     return out

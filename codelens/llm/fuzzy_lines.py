@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh
+from .common import fresh, in_arrow
 from .hashing import U64, WordHasher, rows_of
 from .pigeonhole import linked_components
 
@@ -125,8 +125,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int =
     first)`` with the occurrence that stays: the smallest
     ``(id is null, doc_id, th, line)`` of the connected group."""
     docs = _identified(docs)
-    lines = materialize(docs.mapInArrow(
-        _lines(min_words), "doc_id long, th long, line int, norm binary, sim long"), "lines")
+    lines = materialize(in_arrow(
+        docs, _lines(min_words), "doc_id long, th long, line int, norm binary, sim long"), "lines")
     occurrence = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "line")
     distinct = materialize(
         lines.groupBy("norm").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"),
@@ -147,8 +147,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int =
             .union(near.select("b", "at_b")).distinct()
         per_doc = at.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t")) \
             .agg(F.collect_list(F.struct("lid", F.col("at.line").alias("line"))).alias("wanted"))
-        texts = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))) \
-            .select("text", "wanted").mapInArrow(_wanted, "lid long, norm string").dropDuplicates(["lid"])
+        asked = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+        texts = in_arrow(asked.select("text", "wanted"), _wanted, "lid long, norm string").dropDuplicates(["lid"])
         texts = materialize(texts, "line-texts")
         both = near.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a") \
             .join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .hashing import rows_of
 
 # Bound on the labelled pages that the model is trained on.
@@ -304,7 +305,7 @@ def train(pages: DataFrame, max_labelled: int = MAX_LABELLED, max_names: int = M
         .filter(F.col("html").isNotNull())
     lowest = sample.select("h").orderBy("h").limit(max_labelled)
     some = sample.join(F.broadcast(lowest.distinct()), "h").select("html")
-    counts = some.mapInArrow(_observe, "what string, parent int, label int, n long") \
+    counts = in_arrow(some, _observe, "what string, parent int, label int, n long") \
         .groupBy("what", "parent", "label").agg(F.sum("n").alias("n"))
     kept = counts.orderBy(F.col("what").startswith("name:"), F.desc("n"), "what", "parent", "label") \
         .limit(4 * max_names)
@@ -327,5 +328,5 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 names=["page_id", "url", "text"])
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
-    return read.mapInArrow(run, "page_id long, url string, text string") \
+    return in_arrow(read, run, "page_id long, url string, text string") \
         .withColumn("n_chars", F.length("text").cast("long"))

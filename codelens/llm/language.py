@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import in_arrow
 from .hashing import rows_of
 
 SLOTS = 1 << 16
@@ -84,7 +85,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table = np.zeros((len(languages), SLOTS))
     if languages:
-        counts = rows.mapInArrow(_count(languages), "lang string, slot int, n long") \
+        counts = in_arrow(rows, _count(languages), "lang string, slot int, n long") \
             .groupBy("lang", "slot").agg(F.sum("n").alias("n"))
         where = {x: i for i, x in enumerate(languages)}
         # languages x slots cells at most
@@ -159,7 +160,7 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
     held = rows.sparkSession.sparkContext.broadcast(table)
     read = rows.select(*[F.col(c).cast("long" if c == "id" else "string").alias(c)
                          for c in ("source", "id", "text", "html", "url", "host")])
-    seen = materialize(read.mapInArrow(_evidence(held), (
+    seen = materialize(in_arrow(read, _evidence(held), (
         "source string, id long, likelihood array<double>, n_trigrams long, declared string, host string, "
         "domain string, suffix string")), "lang-evidence")
     best = (F.array_position("likelihood", F.array_max("likelihood")) - 1).cast("int")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh
+from .common import fresh, in_arrow
 from .hashing import rows_of
 
 RUN = 3
@@ -82,7 +82,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
     repeated hashes only."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .withColumn("th", F.xxhash64("text"))
-    runs = docs.mapInArrow(_runs(run, min_words),
+    runs = in_arrow(docs, _runs(run, min_words),
                            "h1 long, h2 long, doc_id long, th long, run int, start int, stop int")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "run")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")) \
