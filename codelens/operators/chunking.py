@@ -31,18 +31,22 @@ def structural_chunks(df: DataFrame, id_col: str, text_col: str,
     lines = F.split(F.col(text_col), "\n", -1)
     with_lines = df.select(F.col(id_col), lines.alias("_lines"))
     n = F.size("_lines")
+    # Each step is a column of its own and read more than once, so Catalyst
+    # keeps it and no lambda computes an array again per element.
     starts = F.filter(F.sequence(F.lit(0), n - 1),
                       lambda i: (i == 0) | is_boundary(F.get(F.col("_lines"), i)))
-    segs = F.transform(starts, lambda s, j: F.struct(
-        (j + 1).alias("seg"), s.alias("s0"),
-        F.coalesce(F.try_element_at(starts, j + 2) - 1, n - 1).alias("e0")))
-    # Boundaries are small int structs; the line array is exploded alongside
-    # them (no lambda reads it, so Catalyst never re-splits the text per
-    # segment).  Cost is linear for ordinary texts; a text made only of long
-    # lines pays one array copy per segment.
-    ex = with_lines.select(F.col(id_col), "_lines", F.inline(segs))
-    text = F.array_join(F.slice("_lines", F.col("s0") + 1, F.col("e0") - F.col("s0") + 1), "\n")
-    return ex.select(F.col(id_col), F.col("seg").cast("int"),
-                     (F.col("s0") + 1).cast("int").alias("start_line"),
-                     (F.col("e0") + 1).cast("int").alias("end_line"),
-                     text.alias("text"))
+    marked = with_lines.select(F.col(id_col), "_lines", starts.alias("_starts"))
+    segs = F.transform(F.sequence(F.lit(0), F.size("_starts") - 1), lambda j: F.struct(
+        (j + 1).alias("seg"), F.get("_starts", j).alias("s0"),
+        F.coalesce(F.get("_starts", j + 1) - 1, F.size("_lines") - 1).alias("e0")))
+    placed = marked.select(F.col(id_col), "_lines", segs.alias("_segs"))
+    # The text of a segment is cut out before the segments become rows: a row
+    # carries its own lines only.
+    cut = F.transform("_segs", lambda s: F.struct(
+        s["seg"].alias("seg"), s["s0"].alias("s0"), s["e0"].alias("e0"),
+        F.array_join(F.slice("_lines", s["s0"] + 1, s["e0"] - s["s0"] + 1), "\n").alias("text")))
+    rows = placed.select(F.col(id_col), F.explode_outer(cut).alias("_c")).filter(F.col("_c").isNotNull())
+    return rows.select(F.col(id_col), F.col("_c.seg").cast("int").alias("seg"),
+                       (F.col("_c.s0") + 1).cast("int").alias("start_line"),
+                       (F.col("_c.e0") + 1).cast("int").alias("end_line"),
+                       F.col("_c.text").alias("text"))

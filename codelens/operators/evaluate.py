@@ -54,18 +54,29 @@ def judge_averages(queries: DataFrame, scores: DataFrame) -> DataFrame:
         .alias("avg_completeness"))
 
 
+# E6 ------------------------------------------------------------------------
+def benchmark_summary(ranks: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row for the whole benchmark: ``n_queries, hit_rate, mrr,
+    avg_accuracy, avg_completeness`` over the queries of ``ranks`` (both sides
+    of the join are one-row aggregates)."""
+    return retrieval_metrics(ranks).crossJoin(judge_averages(ranks.select("query_id"), scores))
+
+
 # E5 ------------------------------------------------------------------------
-def eval_report(ranks: DataFrame, scores: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
-    """Per query: ``found``, ``rank`` (null when not found), ``rank_text``
+def eval_report(ranks: DataFrame, scores: DataFrame, latencies: DataFrame | None = None,
+                golden: DataFrame | None = None) -> DataFrame:
+    """Per query: its text (``query``, when ``golden`` has it), ``found``, ``rank`` (null when not found), ``rank_text``
     (``N/A`` when not found), latencies when given, and the judge struct
     (a missing judgement becomes 0 / 0 / "Judge failed")."""
     df = ranks.join(scores, "query_id", "left")
     if latencies is not None:
         df = df.join(latencies, "query_id", "left")
+    if golden is not None and "query" in golden.columns:
+        df = df.join(golden.select("query_id", "query"), "query_id", "left")
     missing = F.col("accuracy").isNull() & F.col("completeness").isNull()
     rationale = F.col("rationale") if "rationale" in df.columns else F.lit(None).cast("string")
     return df.select(
-        "query_id",
+        "query_id", *([c for c in ("query",) if c in df.columns]),
         F.col("rank").isNotNull().alias("found"),
         F.col("rank"),
         F.coalesce(F.col("rank").cast("string"), F.lit(NOT_FOUND_RANK)).alias("rank_text"),

@@ -86,10 +86,8 @@ def edge_keys(edges: DataFrame, order_cols: list) -> DataFrame:
 # G7 / G8 -------------------------------------------------------------------
 def select_nodes(nodes: DataFrame, entity: str, id_col: str = "node_id") -> DataFrame:
     """Nodes whose normalized id contains the entity or its snake case."""
-    target = entity.lower()
-    snake = "".join("_" + ch.lower() if ch.isupper() else ch for ch in entity).lstrip("_").lower()
     nid = tx.normalize_path(id_col)
-    return nodes.filter(nid.contains(target) | nid.contains(snake))
+    return nodes.filter(nid.contains(F.lower(F.lit(entity))) | nid.contains(tx.snake_case(F.lit(entity))))
 
 
 def induced_subgraph(edges: DataFrame, selected: DataFrame, id_col: str = "node_id") -> DataFrame:
@@ -123,16 +121,14 @@ def mermaid_lines(edges: DataFrame) -> DataFrame:
 
 
 # G11 -----------------------------------------------------------------------
-def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str = "down",
-                   checkpoint_every: int = 4) -> DataFrame:
+def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str = "down") -> DataFrame:
     """Nodes within k hops of the seeds: ``node_id, depth`` (min depth; seeds
     at 0).  ``direction`` is ``down`` (follow src->dst), ``up`` or ``both``.
 
     The distinct adjacency is written once as Parquet under the shared
     checkpoint folder; each round joins the frontier to it and anti-joins the
-    visited set; every ``checkpoint_every`` rounds the visited set is
-    checkpointed to the shared folder named by ``spark.checkpoint.dir`` to
-    cut lineage.
+    visited set.  The new frontier of every round is written there too, so the
+    plan of a round holds two joins whatever its number.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
     if direction == "down":
@@ -152,8 +148,6 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str =
         nxt = (frontier.join(adj, frontier.node_id == adj._from)
                .select(F.col("_to").alias("node_id")).distinct()
                .join(visited.select("node_id"), "node_id", "left_anti"))
-        visited = visited.unionByName(nxt.withColumn("depth", F.lit(d)))
-        if d % checkpoint_every == 0 and d < k:
-            visited = visited.checkpoint()
-        frontier = visited.filter(F.col("depth") == d).select("node_id")
+        frontier = materialize(nxt, "frontier")
+        visited = visited.unionByName(frontier.withColumn("depth", F.lit(d)))
     return visited

@@ -56,10 +56,8 @@ def global_position(df: DataFrame, order_cols: list, out: str = "pos",
             .drop("_pid", "_mid", "_off", "_first"))
 
 
-# A group is hot when it holds more than max(HOT_MIN_ROWS, rows / HOT_MAX_GROUPS)
-# rows, so there are at most HOT_MAX_GROUPS hot groups: their key table has a
-# proven size bound and is broadcast.
-HOT_MAX_GROUPS = 1024
+# A group is hot when it holds more rows than one task should number,
+# whatever the size of the table.
 HOT_MIN_ROWS = 1 << 20
 
 
@@ -76,20 +74,15 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list,
     would give them.
     """
     base = materialize(df, "grouped")
-    total = base.count()
-    threshold = max(hot_min_rows, -(-total // HOT_MAX_GROUPS))
-    # At most HOT_MAX_GROUPS groups can exceed the threshold: collecting the
-    # hot keys is bounded, and with none the numbering is a single window.
-    hot_keys = (base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > threshold).drop("_n").collect())
+    hot = (base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_min_rows).drop("_n"))
+    hot = materialize(hot, "hot-groups")
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    if not hot_keys:
+    if hot.isEmpty():
         return base.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    schema = base.select(*group_cols).schema
-    keys = base.sparkSession.createDataFrame(hot_keys, schema) \
-        .select([F.col(c).alias(f"_h_{c}") for c in group_cols]).withColumn("_hot", F.lit(True))
+    keys = hot.select([F.col(c).alias(f"_h_{c}") for c in group_cols]).withColumn("_hot", F.lit(True))
     cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in group_cols])
-    tagged = base.join(F.broadcast(keys), cond, "left").drop(*[f"_h_{c}" for c in group_cols])
+    tagged = base.join(keys, cond, "left").drop(*[f"_h_{c}" for c in group_cols])
     cold = tagged.filter(F.col("_hot").isNull()).drop("_hot") \
         .withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     hot_rows = tagged.filter(F.col("_hot")).drop("_hot")

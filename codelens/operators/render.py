@@ -38,6 +38,16 @@ def render_context(hits: DataFrame, query_key: str = "query_id") -> DataFrame:
     return g.select(query_key, F.array_join(parts, "\n").alias("context"))
 
 
+def question_prompts(queries: DataFrame, hits: DataFrame, entity: str, query_col: str = "query",
+                     needle: str = tx.FLOW_NEEDLE) -> DataFrame:
+    """R9 -> R10 -> R12: the prompt of every query with the context of its
+    hits; a query without hits gets the empty context."""
+    context = render_context(hits).withColumnRenamed("query_id", "_qid")
+    joined = queries.join(context, F.col("query_id") == F.col("_qid"), "left").drop("_qid") \
+        .withColumn("context", F.coalesce("context", F.lit("")))
+    return build_prompts(joined, entity, query_col, "context", needle)
+
+
 def build_prompts(queries: DataFrame, entity: str, query_col: str = "query",
                   context_col: str | None = None, needle: str = tx.FLOW_NEEDLE) -> DataFrame:
     """Default query (F15), template choice (F14) and filled prompt

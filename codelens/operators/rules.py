@@ -41,14 +41,15 @@ def pos_violation(is_return="is_return", grand_total="grand_total", rounded_tota
                   paid="paid_amount", write_off="write_off", precision="precision_gt",
                   use_tolerance: bool = True) -> Column:
     """Returns only: total = rounded total if > 0 else grand total; fail iff
-    paid + write-off - total > tolerance (strict)."""
-    c = F.col
+    paid + write-off - total > tolerance (strict).  An unset amount or
+    precision is 0."""
+    c = lambda name: F.coalesce(F.col(name), F.lit(0))
     total = F.when(c(rounded_total) > 0, c(rounded_total)).otherwise(c(grand_total))
     paid_all = c(paid) + c(write_off)
     diff = paid_all - total
-    limit = tx.tolerance(precision) if use_tolerance else F.lit(0)
+    limit = tx.tolerance(c(precision)) if use_tolerance else F.lit(0)
     details = F.format_string(POS_DETAILS, tx.money2(paid_all), tx.money2(total))
-    return F.when(F.coalesce(c(is_return), F.lit(False)) & (diff > limit),
+    return F.when(F.coalesce(F.col(is_return), F.lit(False)) & (diff > limit),
                   violation(ERR_POS_AMOUNT, details))
 
 
@@ -86,8 +87,9 @@ def attach_item_flags(invoices: DataFrame, items: DataFrame | None, invoice_key:
 
 # V2 ------------------------------------------------------------------------
 def attach_credit(invoices: DataFrame, credit: DataFrame, keys: list[str]) -> DataFrame:
-    """Lookup port: ``credit(keys..., exceeded boolean)``."""
-    cr = credit.select(*keys, F.col("exceeded").alias("_exceeded"), F.lit(True).alias("_credit_found"))
+    """Lookup port: ``credit(keys..., exceeded boolean)``.  Repeated lookup
+    rows are one: exceeded if any of them says so, null if none says."""
+    cr = credit.groupBy(*keys).agg(F.max("exceeded").alias("_exceeded")).withColumn("_credit_found", F.lit(True))
     return invoices.join(cr, keys, "left")
 
 
@@ -133,7 +135,7 @@ def intercompany_violation(ref="inter_company_ref", internal="is_internal") -> C
 # V5 ------------------------------------------------------------------------
 def attach_lookups(invoices: DataFrame, items: DataFrame | None, credit: DataFrame,
                    allowed: DataFrame, invoice_key: str = "invoice_id", item_key: str | None = None,
-                   credit_keys: tuple[str, ...] = ("customer",), allowed_is_list: bool = False) -> DataFrame:
+                   credit_keys: tuple[str, ...] = ("customer", "company"), allowed_is_list: bool = False) -> DataFrame:
     """Item flags and both lookups joined to the invoices (one row each)."""
     df = attach_item_flags(invoices, items, invoice_key, item_key)
     df = attach_credit(df, credit, list(credit_keys))
@@ -153,7 +155,7 @@ def apply_rules(prepared: DataFrame, use_tolerance: bool = True) -> DataFrame:
 
 def validate(invoices: DataFrame, items: DataFrame | None, credit: DataFrame,
              allowed: DataFrame, invoice_key: str = "invoice_id", item_key: str | None = None,
-             credit_keys: tuple[str, ...] = ("customer",), use_tolerance: bool = True,
+             credit_keys: tuple[str, ...] = ("customer", "company"), use_tolerance: bool = True,
              allowed_is_list: bool = False) -> DataFrame:
     """V5: :func:`attach_lookups` then :func:`apply_rules`."""
     prepared = attach_lookups(invoices, items, credit, allowed, invoice_key, item_key, credit_keys,

@@ -1,14 +1,11 @@
 """Retrieval: exact vector top-k, BM25 index / score / top-n,
 reciprocal-rank fusion and hybrid search, for a whole table of queries.
 
-Exact kNN never forms a query x corpus cross join.  When the query matrix
-is proven small (row count x dimension checked against a byte bound), it is
-broadcast and the corpus is scanned where it lies: each task keeps a running
-k best per query and emits only those.  Otherwise queries and corpus rows
-are hashed into blocks; each (query block, corpus block) pair meets in one
-``cogroup`` task that computes the distance block with numpy and emits only
-its k best rows per query.  Either way a final ``row_number() <= k`` merges
-at most ``k x tasks`` rows per query, and memory per task is bounded.
+Exact kNN never forms a query x corpus cross join.  Queries and corpus rows
+are hashed into blocks of bounded bytes; each (query block, corpus block) pair
+meets in one ``cogroup`` task that computes the distances tile by tile with
+numpy and emits only the k best rows per query.  A final ``row_number() <= k``
+merges at most ``k x corpus blocks`` rows per query.
 """
 
 from __future__ import annotations
@@ -33,15 +30,11 @@ BM25_EPSILON = 0.25
 RRF_K = 60
 HYBRID_LIMIT = 8
 
-# Rows per block side in the kNN cogroup; the distance block is computed in
-# query slices of _SLICE rows so a task holds at most _SLICE x block floats.
-KNN_QUERY_BLOCK = 4096
-KNN_CORPUS_BLOCK = 65536
+# kNN memory: one side of a block pair as float64, and one tile of
+# differences.  A task holds two blocks and a tile, whatever the dimension.
+KNN_BLOCK_BYTES = 32 << 20
 KNN_MIN_CORPUS_BLOCK = 512
-# Queries are broadcast (and the corpus scanned in place) only while the
-# query matrix, as float64, stays under this many bytes.
-KNN_BROADCAST_BYTES = 256 << 20
-_SLICE = 256
+_TILE_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------------------
@@ -57,131 +50,85 @@ def valid_vector(vec, dim: int):
 # Exact kNN
 # ---------------------------------------------------------------------------
 def _knn_block_fn(k: int, exclude_self: bool):
+    """k best corpus rows of a block for every query of a block.  Distances
+    are computed in tiles of at most ``_TILE_BYTES``; between tiles only the k
+    best per query are kept."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype=object),
-                              "id": pd.Series([], dtype=object),
-                              "dist": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(c) == 0:
-            return empty
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object),
+                                 "dist": pd.Series([], dtype="float64")})
         qv = np.stack(q["_qv"].to_numpy()).astype(np.float64)
+        # corpus rows by id: among equal distances the first ones win
+        c = c.sort_values("_cid", kind="stable")
         cv = np.stack(c["_cv"].to_numpy()).astype(np.float64)
-        qids = q["_qid"].to_numpy()
-        cids = c["_cid"].to_numpy()
-        kk = min(k, len(c))
-        out_q, out_c, out_d = [], [], []
-        for s in range(0, len(q), _SLICE):
-            diff = qv[s:s + _SLICE, None, :] - cv[None, :, :]
-            d = np.einsum("ijk,ijk->ij", diff, diff)
-            if exclude_self:
-                d[qids[s:s + _SLICE, None] == cids[None, :]] = np.inf
-            # k smallest per row by (dist, id): partition on distance, then
-            # widen to every row tied with the k-th distance before sorting.
-            if kk < d.shape[1]:
-                part = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-                mask = d <= part
-            else:
-                mask = np.ones_like(d, dtype=bool)
-            rows, cols = np.nonzero(mask & np.isfinite(d))
-            out_q.append(qids[s:s + _SLICE][rows])
-            out_c.append(cids[cols])
-            out_d.append(d[rows, cols])
-        res = pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_c),
-                            "dist": np.concatenate(out_d)})
-        res = res.sort_values(["query_id", "dist", "id"], kind="mergesort")
-        return res.groupby("query_id", sort=False).head(k)
-    return fn
-
-
-def _knn_scan_fn(bc, k: int, exclude_self: bool):
-    """Per corpus partition: running k best rows per broadcast query."""
-    def fn(batches):
-        qids, qv = bc.value
-        best_c, best_d = None, None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cv = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
-            cids = pdf["_cid"].to_numpy()
-            for s in range(0, len(qids), _SLICE):
-                diff = qv[s:s + _SLICE, None, :] - cv[None, :, :]
+        qids, cids = q["_qid"].to_numpy(), c["_cid"].to_numpy()
+        per_tile = max(1, _TILE_BYTES // (8 * qv.shape[1]))
+        q_step = max(1, min(len(q), int(per_tile ** 0.5)))
+        c_step = max(1, per_tile // q_step)
+        out = []
+        for s in range(0, len(q), q_step):
+            best_d = np.empty((len(qids[s:s + q_step]), 0))
+            best_c = np.empty(best_d.shape, np.int64)
+            for t in range(0, len(c), c_step):
+                diff = qv[s:s + q_step, None, :] - cv[None, t:t + c_step, :]
                 d = np.einsum("ijk,ijk->ij", diff, diff)
                 if exclude_self:
-                    d[qids[s:s + _SLICE, None] == cids[None, :]] = np.inf
-                ids = np.broadcast_to(cids[None, :], d.shape)
-                if best_d is not None:
-                    d = np.concatenate([best_d[s:s + _SLICE], d], axis=1)
-                    ids = np.concatenate([best_c[s:s + _SLICE], ids], axis=1)
-                # keep the k best by (dist, id) per query row
-                order = np.lexsort((ids, d), axis=1)[:, :k] if d.shape[1] > 0 else None
-                kd = np.take_along_axis(d, order, axis=1)
-                kc = np.take_along_axis(ids, order, axis=1)
-                if best_d is None:
-                    best_d = np.full((len(qids), kd.shape[1]), np.inf)
-                    best_c = np.empty((len(qids), kd.shape[1]), dtype=kc.dtype)
-                if best_d.shape[1] != kd.shape[1]:
-                    pad = kd.shape[1] - best_d.shape[1]
-                    best_d = np.concatenate([best_d, np.full((len(qids), pad), np.inf)], axis=1)
-                    best_c = np.concatenate([best_c, np.empty((len(qids), pad), dtype=best_c.dtype)], axis=1)
-                best_d[s:s + _SLICE] = kd
-                best_c[s:s + _SLICE] = kc
-        if best_d is None:
-            return
-        rows, cols = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"query_id": qids[rows], "id": best_c[rows, cols], "dist": best_d[rows, cols]})
+                    d[qids[s:s + q_step, None] == cids[None, t:t + c_step]] = np.inf
+                at = np.broadcast_to(np.arange(t, t + d.shape[1]), d.shape)
+                d, at = np.concatenate([best_d, d], axis=1), np.concatenate([best_c, at], axis=1)
+                # stable on columns in id order, so ties keep the smaller id
+                keep = np.argsort(d, axis=1, kind="stable")[:, :k]
+                best_d, best_c = np.take_along_axis(d, keep, axis=1), np.take_along_axis(at, keep, axis=1)
+            rows, cols = np.nonzero(np.isfinite(best_d))
+            out.append(pd.DataFrame({"query_id": qids[s:s + q_step][rows], "id": cids[best_c[rows, cols]],
+                                     "dist": best_d[rows, cols]}))
+        return pd.concat(out, ignore_index=True)
     return fn
 
 
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "vector",
-             id_col: str = "id", vec_col: str = "vector",
+             id_col: str = "id", vec_col: str = "vector", dim: int | None = None,
              exclude_self: bool = False, rank_col: str = "rank") -> DataFrame:
     """Exact squared-L2 top-k per query.  Ties break by corpus id.
 
     Returns ``query_id, id, dist (double), rank (int, 1-based)``; ``dist`` is
     the squared Euclidean distance, which orders like the distance itself.
-    Invalid or null vectors take no part.  ``exclude_self`` drops corpus rows
-    whose id equals the query id.
+    Null vectors and vectors with another length than ``dim`` (by default the
+    corpus's most frequent length) or with null / NaN elements take no part on
+    either side.  ``exclude_self`` drops corpus rows whose id equals the query
+    id.
+
+    Queries and corpus rows are hashed into blocks of at most about
+    ``KNN_BLOCK_BYTES``; each pair of blocks meets in one task.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv")) \
-        .filter(F.col("_qv").isNotNull() & ~F.exists("_qv", lambda x: x.isNull() | F.isnan(x)))
-    c = corpus.select(F.col(id_col).alias("_cid"), F.col(vec_col).alias("_cv")) \
-        .filter(F.col("_cv").isNotNull() & ~F.exists("_cv", lambda x: x.isNull() | F.isnan(x)))
-    sizes = {r["_side"]: (r["_n"], r["_dim"]) for r in
+    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv")).filter(F.col("_qv").isNotNull())
+    c = corpus.select(F.col(id_col).alias("_cid"), F.col(vec_col).alias("_cv")).filter(F.col("_cv").isNotNull())
+    out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
+                               T.StructField("id", corpus.schema[id_col].dataType),
+                               T.StructField("dist", T.DoubleType())])
+    # one row per side: the size of the block grid depends on it
+    sizes = {r["_side"]: r for r in
              q.select(F.lit(0).alias("_side"), F.size("_qv").alias("_d"))
              .unionByName(c.select(F.lit(1).alias("_side"), F.size("_cv").alias("_d")))
-             .groupBy("_side").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dim")).collect()}
-    nq, dim = sizes.get(0, (0, 0))
-    nc = sizes.get(1, (0, 0))[0]
-    dim = dim or 0
-    id_type = corpus.schema[id_col].dataType
-    qid_type = queries.schema[query_id].dataType
-    out_schema = T.StructType([T.StructField("query_id", qid_type),
-                               T.StructField("id", id_type),
-                               T.StructField("dist", T.DoubleType())])
-    if nq == 0 or nc == 0:
+             .groupBy("_side").agg(F.count(F.lit(1)).alias("_n"), F.mode("_d").alias("_dim")).collect()}
+    if len(sizes) < 2:
         return spark.createDataFrame([], out_schema).withColumn(rank_col, F.lit(1))
-    if nq * max(dim, 1) * 8 <= KNN_BROADCAST_BYTES:
-        # Proven small: ship the query matrix to every task and scan the
-        # corpus where it lies -- no shuffle of the vectors at all.
-        qpdf = q.toPandas()
-        qmat = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
-        bc = spark.sparkContext.broadcast((qpdf["_qid"].to_numpy(), qmat))
-        partial = c.mapInPandas(_knn_scan_fn(bc, k, exclude_self), out_schema)
-        ranked = top_k(partial, ["query_id"], [F.col("dist"), F.col("id")], k, rank_col)
-        return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
-    par = spark.sparkContext.defaultParallelism
-    qb = max(1, math.ceil(nq / KNN_QUERY_BLOCK))
-    cb = max(math.ceil(nc / KNN_CORPUS_BLOCK),
-             min(max(1, par // qb), math.ceil(nc / KNN_MIN_CORPUS_BLOCK)), 1)
-    # Each query goes to every corpus block of its query block and vice versa.
-    q_rep = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb))) \
-        .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))) \
-        .withColumn("_cb", F.col("_cb").cast("long")).withColumn("_qb", F.col("_qb").cast("long"))
-    c_rep = c.withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb))) \
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))) \
-        .withColumn("_cb", F.col("_cb").cast("long")).withColumn("_qb", F.col("_qb").cast("long"))
-    partial = q_rep.groupBy("_qb", "_cb").cogroup(c_rep.groupBy("_qb", "_cb")) \
+    dim = dim or sizes[1]["_dim"]
+    q, c = q.filter(valid_vector("_qv", dim)), c.filter(valid_vector("_cv", dim))
+    block = max(1, KNN_BLOCK_BYTES // (8 * max(dim, 1)))
+    qb = max(1, math.ceil(sizes[0]["_n"] / block))
+    # at least one corpus block per core, of no fewer rows than worth a task
+    cb = max(math.ceil(sizes[1]["_n"] / block),
+             min(max(1, spark.sparkContext.defaultParallelism // qb), math.ceil(sizes[1]["_n"] / KNN_MIN_CORPUS_BLOCK)), 1)
+
+    def place(df, own, n_own, other, n_other, key):
+        """Own block by hash, one copy per block of the other side."""
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("long")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+    partial = place(q, "_qb", qb, "_cb", cb, "_qid").groupBy("_qb", "_cb") \
+        .cogroup(place(c, "_cb", cb, "_qb", qb, "_cid").groupBy("_qb", "_cb")) \
         .applyInPandas(_knn_block_fn(k, exclude_self), out_schema)
     ranked = top_k(partial, ["query_id"], [F.col("dist"), F.col("id")], k, rank_col)
     return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
@@ -217,13 +164,17 @@ class BM25Index:
         # null-term row, so the written table also yields the document count.
         rows = (base.select("id", "dl", F.explode_outer("_toks").alias("term"))
                 .groupBy("id", "term", "dl").agg(F.count("term").alias("tf")))
-        self._init_from(materialize(rows, "postings"))
+        # An empty document keeps one null-term row, so it counts too.
+        written = materialize(rows, "postings")
+        docs = materialize(written.groupBy("id").agg(F.max("dl").cast("long").alias("dl")), "documents")
+        self._init_from(written, docs)
 
-    def _init_from(self, written: DataFrame, terms: DataFrame | None = None) -> None:
+    def _init_from(self, written: DataFrame, docs: DataFrame, terms: DataFrame | None = None) -> None:
         self._written = written
         self.postings = written.filter(F.col("term").isNotNull())
-        self.doc_ids = written.select("id").distinct()
-        stats = written.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("t")).first()
+        self.docs = docs
+        self.doc_ids = docs.select("id")
+        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).first()
         self.n_docs = int(stats["n"])
         self.avgdl = float(stats["t"] or 0) / self.n_docs if self.n_docs else 0.0
         if terms is None:
@@ -240,13 +191,15 @@ class BM25Index:
     def save(self, path: str) -> None:
         """Persist the index tables (``postings/``, ``terms/``) under ``path``."""
         self._written.write.mode("errorifexists").parquet(f"{path}/postings")
+        self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
         self._raw_terms.write.mode("errorifexists").parquet(f"{path}/terms")
 
     @classmethod
     def load(cls, spark, path: str) -> "BM25Index":
         """Open an index written by :meth:`save` without touching the corpus."""
         idx = cls.__new__(cls)
-        idx._init_from(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
+        idx._init_from(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"),
+                       spark.read.parquet(f"{path}/terms"))
         return idx
 
 
@@ -291,30 +244,33 @@ def bm25_topk(index: BM25Index, queries: DataFrame, n: int, query_id: str = "que
     among the first ``m + nonzero_count`` documents by id, so only that many
     candidates are generated, joined on a global document position.
     """
-    scored = bm25_scores(index, queries, query_id, text_col)
-    if score_digits is not None:
-        scored = scored.withColumn("score", F.round("score", score_digits))
-    # Three consumers read the nonzero scores; the scoring join runs once.
-    nonzero = materialize(scored.filter(F.col("score") != 0), "scores")
-    counts = nonzero.groupBy("query_id").agg(
-        F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("_pos"),
-        F.count(F.lit(1)).alias("_nz"))
+    def scores(some: DataFrame) -> DataFrame:
+        out = bm25_scores(index, some, query_id, text_col)
+        return out if score_digits is None else out.withColumn("score", F.round("score", score_digits))
+    # at most n rows per query leave the scoring and are written
+    best = top_k(scores(queries).filter(F.col("score") > 0), ["query_id"],
+                 [F.col("score").desc(), F.col("id")], n, "_r").drop("_r")
+    best = materialize(best, "scores")
     qids = queries.select(F.col(query_id).alias("query_id")).distinct()
-    need = (qids.join(counts, "query_id", "left")
-            .select("query_id", F.coalesce("_pos", F.lit(0)).alias("_pos"),
-                    F.coalesce("_nz", F.lit(0)).alias("_nz"))
-            .filter(F.col("_pos") < n)
-            .withColumn("_m", F.lit(n) - F.col("_pos")))
-    pool = nonzero.select("query_id", "id", "score")
+    counts = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("_pos"))
+    need = qids.join(counts, "query_id", "left").select("query_id", F.coalesce("_pos", F.lit(0)).alias("_pos")) \
+        .filter(F.col("_pos") < n).withColumn("_m", F.lit(n) - F.col("_pos"))
+    pool = best.select("query_id", "id", "score")
     if not need.isEmpty():
-        cand = need.select("query_id", F.explode(F.sequence(
+        # queries with fewer than n positive documents: their other scores
+        # (few, as they share no more than n documents' worth of terms above
+        # zero) and the zeros
+        short = queries.join(need.select(F.col("query_id").alias(query_id)), query_id, "left_semi")
+        other = materialize(scores(short).filter(F.col("score") != 0), "short-scores")
+        seen = other.groupBy("query_id").agg(F.count(F.lit(1)).alias("_nz"))
+        cand = need.join(seen, "query_id", "left").select("query_id", F.explode(F.sequence(
             F.lit(0).cast("long"),
-            F.least(F.col("_m") + F.col("_nz"), F.lit(index.n_docs)).cast("long") - 1)).alias("_g"))
+            F.least(F.col("_m") + F.coalesce("_nz", F.lit(0)), F.lit(index.n_docs)).cast("long") - 1)).alias("_g"))
         by_pos = global_position(index.doc_ids, [F.col("id")], out="_g")
         zeros = (cand.join(by_pos, "_g")
-                 .join(nonzero.select("query_id", "id"), ["query_id", "id"], "left_anti")
+                 .join(other.select("query_id", "id"), ["query_id", "id"], "left_anti")
                  .select("query_id", "id", F.lit(0.0).alias("score")))
-        pool = pool.unionByName(zeros)
+        pool = pool.unionByName(zeros).unionByName(other.filter(F.col("score") < 0).select("query_id", "id", "score"))
     ranked = top_k(pool, ["query_id"], [F.col("score").desc(), F.col("id")], n, rank_col)
     return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
 
@@ -358,19 +314,33 @@ def dedupe_by_id(corpus: DataFrame, id_col: str = "id", order_col: str | None =
 # ---------------------------------------------------------------------------
 # Hybrid search
 # ---------------------------------------------------------------------------
+def row_key(corpus: DataFrame) -> list[str]:
+    """Columns that identify a chunk: its id, and its ordinal where it has
+    one (two symbols of one file may share an id)."""
+    return ["id", "ordinal"] if "ordinal" in corpus.columns else ["id"]
+
+
 def hybrid_search(corpus: DataFrame, queries: DataFrame, limit: int = HYBRID_LIMIT,
                   k: int = RRF_K, index: BM25Index | None = None,
                   score_digits: int | None = None) -> DataFrame:
     """Dense top-2·limit + BM25 top-2·limit, fused to ``limit`` per query,
     joined back to the corpus rows.
 
-    ``corpus``: ``id, vector, content`` (+ any columns to return) with unique
-    ids -- pass it through :func:`dedupe_by_id` first when ids can repeat
-    (R8; a shuffle on id, so it is not done unconditionally);
-    ``queries``: ``query_id, query, vector``.
+    ``corpus``: ``id, vector, content`` (+ any columns to return); with an
+    ``ordinal`` column ids may repeat, and every chunk is searched, ranked and
+    returned for itself (both lists).  A chunk without a valid vector takes
+    part in the BM25 list only.  ``queries``: ``query_id, query, vector``.
+    An ``index`` given from outside must be keyed by :func:`row_key` (one
+    string column ``id``, see below, where ids repeat).
     """
-    index = index or BM25Index(corpus, "id", "content")
-    dense = knn_topk(queries, corpus, 2 * limit)
+    if len(row_key(corpus)) > 1:
+        # orders like (id, ordinal) for ordinals from 0
+        row = F.concat_ws("\x01", F.col("id"), F.lpad(F.col("ordinal").cast("string"), 10, "0"))
+        corpus = corpus.withColumn("_row", row)
+    else:
+        corpus = corpus.withColumn("_row", F.col("id"))
+    index = index or BM25Index(corpus, "_row", "content")
+    dense = knn_topk(queries, corpus, 2 * limit, id_col="_row")
     sparse = bm25_topk(index, queries, 2 * limit, score_digits=score_digits)
     fused = rrf_fuse([dense, sparse], limit, k)
-    return fused.join(corpus.drop("vector"), "id")
+    return fused.withColumnRenamed("id", "_row").join(corpus.drop("vector"), "_row").drop("_row")

@@ -18,6 +18,7 @@ keep the valid parts.
 from __future__ import annotations
 
 import ast
+import re
 from typing import Iterator
 
 import pandas as pd
@@ -48,16 +49,18 @@ CLASS_RAW = "class_definition"
 FUNCTION_RAW = "function_definition"
 
 
+_LINE_END = re.compile(rb"\r\n|\n|\r")
+
+
 class _Extractor:
     """Walks one module in source pre-order."""
 
     def __init__(self, path: str, text: str):
         self.path = path
-        self.data = text.encode("utf-8")
-        self.starts = [0]
-        for i, b in enumerate(self.data):
-            if b == 10:
-                self.starts.append(i + 1)
+        # a byte-order mark is no part of the program; line ends are those
+        # that the parser counts: LF, CR LF and CR
+        self.data = text.removeprefix("\ufeff").encode("utf-8")
+        self.starts = [0] + [m.end() for m in _LINE_END.finditer(self.data)]
         self.rows: list[dict] = []
         self.n_sym = 0
         self.n_call = 0

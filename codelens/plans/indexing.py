@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text as tx
 from ..operators import delta, symbols
 from ..operators.embed import hash_embed
 from ..session import materialize
@@ -41,11 +42,18 @@ def index_corpus(files: DataFrame, root: str, entity: str, dim: int = DEFAULT_DI
     spark = files.sparkSession
     state_base, table_base = f"{root}/state", f"{root}/vectors"
     symbols_base, graph_base = f"{root}/symbols", f"{root}/graph"
-    cur = delta.with_hash(files.select("path", "content"))
     prev = src.read_state(spark, state_base)
-    todo = delta.changed_only(cur, prev)
-    status = delta.delta_classify(cur, prev)
-    gone = status.filter(F.col("status") == delta.DELETED).select("path")
+    # The only pass over the contents: hashes of all files, texts of the
+    # changed ones.  Every later step reads this, so state and chunks come
+    # from one reading of a file.
+    known = prev.select(F.col("path").alias("_p"), F.col("content_hash").alias("_h")).filter("_h is not null")
+    hashed = delta.with_hash(files.select("path", "content"))
+    seen = hashed.join(known, (F.col("path") == F.col("_p")) & (F.col("content_hash") == F.col("_h")), "left")
+    seen = materialize(seen.select("path", "content_hash", F.col("_p").isNull().alias("todo"),
+                                   F.when(F.col("_p").isNull(), F.col("content")).alias("content")), "files")
+    cur = seen.select("path", "content_hash")
+    todo = seen.filter("todo").select("path", "content", "content_hash")
+    gone = prev.select("path").join(cur.select("path"), "path", "left_anti")
     if not full_listing:
         gone = gone.filter(F.lit(False))
     # One Python pass over changed files only; four outputs read its result.
@@ -53,7 +61,7 @@ def index_corpus(files: DataFrame, root: str, entity: str, dim: int = DEFAULT_DI
     chunks = symbols.symbol_chunks(extracted)
     keyed = chunks.withColumn("_key", F.concat_ws("#", "file_path", F.col("ordinal").cast("string")))
     if embed is None:
-        vecs = hash_embed(keyed, "_key", "content", dim)
+        vecs = hash_embed(keyed.withColumn("_text", tx.embed_prefix("content", is_query=False)), "_key", "_text", dim)
         with_vec = keyed.join(vecs, "_key")
     else:
         with_vec = embed(keyed)

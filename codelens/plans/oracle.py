@@ -12,8 +12,12 @@ import string
 from ..functions import text as tx
 from ..operators import rules
 from ..operators.render import NO_HOOK
-from .queries import (BM25_N, EMBED_DIM, EVAL_K, HYBRID_LIMIT, KHOP_K, KHOP_SEED, KNN_K,
-                      PROMPT_ENTITY, PROMPT_NEEDLE, SUBGRAPH_ENTITY, URL_PATTERN, VECTOR_DIM)
+
+# The bindings' parameters, repeated here so that the two sides are independent.
+BM25_N, EMBED_DIM, EVAL_K, HYBRID_LIMIT, KHOP_K, KNN_K, VECTOR_DIM = 16, 16, 5, 8, 2, 16, 64
+KHOP_SEED, SUBGRAPH_ENTITY = "ASIA", "MiddleEast"
+PROMPT_ENTITY, PROMPT_NEEDLE = "Sales Invoice", "the"
+URL_PATTERN = r"^https?://([^/]+)/([^/]+)/([^/?#]+)(.*)$"
 
 NL = "chr(10)"
 BS = "chr(92)"
@@ -76,7 +80,9 @@ VIEWS = {
         c_nationkey < 5 AS is_internal,
         CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'REF' END AS inter_company_ref
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "v_credit": "SELECT c_custkey AS customer, c_acctbal < 0 AS exceeded FROM customer",
+    "v_credit": """SELECT c_custkey AS customer, 'Company-' || cast(k AS varchar) AS company,
+        c_acctbal < CASE WHEN k = 3 THEN -500 ELSE 0 END AS exceeded
+        FROM customer, (VALUES (0), (1), (2), (3)) x(k)""",
     "v_allowed": """SELECT c_custkey AS customer, 'Company-' || cast(c_custkey % 4 AS varchar) AS company FROM customer
         UNION SELECT c_custkey, 'Company-' || cast((c_custkey + 1) % 4 AS varchar) FROM customer""",
     "v_scores": """SELECT doc_id AS query_id, quality * 5 AS accuracy,
@@ -139,8 +145,8 @@ def _format_sql(template: str, **fields: str) -> str:
     return " || ".join(parts)
 
 
-# BM25 CTEs over a corpus view (id, text) and a query view (query_id, query).
-def _bm25_ctes(corpus_sql: str, queries_sql: str) -> list[tuple[str, str]]:
+# BM25 statistics of a corpus view (id, text).
+def _bm25_stat_ctes(corpus_sql: str) -> list[tuple[str, str]]:
     return [
         ("c_docs", f"SELECT id, {_tokens('text')} AS toks FROM ({corpus_sql})"),
         ("c_tf", "SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM c_docs) GROUP BY 1, 2"),
@@ -150,6 +156,12 @@ def _bm25_ctes(corpus_sql: str, queries_sql: str) -> list[tuple[str, str]]:
         ("c_raw", "SELECT term, df, ln(c_n.n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM c_df, c_n"),
         ("c_idf", """SELECT term, df, idf_raw, CASE WHEN idf_raw < 0 THEN 0.25 * m.m ELSE idf_raw END AS idf
             FROM c_raw, (SELECT avg(idf_raw) AS m FROM c_raw) m"""),
+    ]
+
+
+# The same with the scores of a query view (query_id, query).
+def _bm25_ctes(corpus_sql: str, queries_sql: str) -> list[tuple[str, str]]:
+    return _bm25_stat_ctes(corpus_sql) + [
         ("q_terms", f"""SELECT query_id, term, count(*) AS qtf FROM
             (SELECT query_id, unnest({_tokens('query')}) AS term FROM ({queries_sql})) GROUP BY 1, 2"""),
         ("c_scores", """SELECT q.query_id, t.id, sum(q.qtf * i.idf * (t.tf * 2.5::DOUBLE) /
@@ -171,13 +183,13 @@ def _bm25_topn_ctes(corpus_sql: str, queries_sql: str, n: int) -> list[tuple[str
 
 
 def _hybrid_ctes() -> list[tuple[str, str]]:
-    corpus = "SELECT * FROM v_chunks WHERE vector IS NOT NULL"
+    corpus = "SELECT * FROM v_chunks"
     n = 2 * HYBRID_LIMIT
     return [("corpus", corpus)] + _bm25_topn_ctes("SELECT id, content AS text FROM corpus",
                                                   "SELECT query_id, query FROM v_queries", n) + [
         ("dense", f"""SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id)
             AS rank FROM (SELECT q.query_id, c.id, {_sqdist('q.vector', 'c.vector')} AS dist
-            FROM v_queries q, corpus c)) WHERE rank <= {n}"""),
+            FROM v_queries q, corpus c WHERE c.vector IS NOT NULL)) WHERE rank <= {n}"""),
         ("fused", """SELECT query_id, id, sum(1.0::DOUBLE / (60 + r)) AS score, min(dr) AS dr, min(sr) AS sr FROM
             (SELECT query_id, id, rank AS r, rank AS dr, NULL::BIGINT AS sr FROM dense
              UNION ALL SELECT query_id, id, rank, NULL::BIGINT, rank FROM c_top) GROUP BY 1, 2"""),
@@ -208,7 +220,7 @@ def _rules_ctes() -> list[tuple[str, str]]:
             a.customer IS NOT NULL AS allowed,
             CASE WHEN i.rounded_total > 0 THEN i.rounded_total ELSE i.grand_total END AS total
             FROM v_invoice i LEFT JOIN flags f ON f.invoice_id = i.invoice_id
-            LEFT JOIN v_credit c ON c.customer = i.customer
+            LEFT JOIN v_credit c ON c.customer = i.customer AND c.company = i.company
             LEFT JOIN v_allowed a ON a.customer = i.customer AND a.company = i.company"""),
     ]
 
@@ -226,23 +238,28 @@ POS_WHERE = f"is_return AND paid_amount + write_off - total > {TOL}"
 EDGES_ALL = "SELECT src, dst, type FROM v_contains UNION ALL SELECT src, dst, type FROM v_calls"
 
 
-def _prompt_sql() -> str:
-    active = "CASE WHEN text IS NULL OR text = '' THEN " + _q(tx.DEFAULT_QUERY_PREFIX + PROMPT_ENTITY) + \
-        " ELSE text END"
+def _prompt_from(source: str, keys: str, query: str, context: str) -> str:
+    """Prompts over ``source`` with columns ``keys``, the query and context."""
+    active = f"CASE WHEN {query} IS NULL OR {query} = '' THEN " + _q(tx.DEFAULT_QUERY_PREFIX + PROMPT_ENTITY) + \
+        f" ELSE {query} END"
     tmpl = f"CASE WHEN contains(lower(active), {_q(PROMPT_NEEDLE)}) THEN 'process_flow' ELSE 'debugging' END"
-    fields = dict(entity_name=_q(PROMPT_ENTITY), user_query="active", context_data="''")
+    fields = dict(entity_name=_q(PROMPT_ENTITY), user_query="active", context_data="context")
     prompt = "CASE " + " ".join(f"WHEN template = {_q(name)} THEN {_format_sql(t, **fields)}"
                                 for name, t in tx.TEMPLATES.items()) + " END"
-    return f"""SELECT conv_id, turn, template, md5(prompt) AS prompt_md5, cast(length(prompt) AS bigint) AS prompt_len
+    return f"""SELECT {keys}, template, md5(prompt) AS prompt_md5, cast(length(prompt) AS bigint) AS prompt_len
         FROM (SELECT *, {prompt} AS prompt FROM (SELECT *, {tmpl} AS template FROM
-        (SELECT conv_id, turn, {active} AS active FROM conversations WHERE role = 'user')))"""
+        (SELECT {keys}, {active} AS active, {context} AS context FROM {source})))"""
 
 
-def _context_sql() -> str:
+def _prompt_sql() -> str:
+    return _prompt_from("conversations WHERE role = 'user'", "conv_id, turn", "text", "''")
+
+
+def _context_ctes() -> list[tuple[str, str]]:
     piece = (f"'### ' || symbol_name || ' (' || symbol_type || ')' || {NL} || '**File**: `' || file_path || ':' || "
              f"cast(start_line AS varchar) || '`' || {NL} || '**Hook**: ' || coalesce(nullif(hook_type, ''), "
              f"{_q(NO_HOOK)}) || {NL} || '```python' || {NL} || content || {NL} || '```' || {NL}")
-    extra = _hybrid_ctes() + [
+    return _hybrid_ctes() + [
         ("pieces", f"SELECT query_id, rank, {piece} AS t FROM hyb_rows"),
         ("names", "SELECT query_id, symbol_name, min(rank) AS fr FROM hyb_rows GROUP BY 1, 2"),
         ("flow", f"SELECT query_id, string_agg('  └── ' || symbol_name || '()', {NL} ORDER BY fr) AS f "
@@ -251,10 +268,19 @@ def _context_sql() -> str:
         ("ctx", f"""SELECT body.query_id, '## Relevant Code' || {NL} || {NL} || b || {NL} || {NL} || '## Call Flow'
             || {NL} || '```' || {NL} || f || {NL} || '```' AS c FROM body JOIN flow ON flow.query_id = body.query_id"""),
     ]
-    return _with(["v_chunks", "v_queries"], extra) + \
+
+
+def _context_sql() -> str:
+    return _with(["v_chunks", "v_queries"], _context_ctes()) + \
         "SELECT query_id, md5(c) AS context_md5, cast(length(c) AS bigint) AS context_len FROM ctx"
 
 
+def _question_prompt_sql() -> str:
+    source = "v_queries q LEFT JOIN ctx ON ctx.query_id = q.query_id"
+    return _with(["v_chunks", "v_queries"], _context_ctes()) + \
+        _prompt_from(f"(SELECT q.query_id, q.query, ctx.c FROM {source})", "query_id", "query", "coalesce(c, '')")
+
+
 def oracle_sql() -> dict[str, str]:
     hook_list = ", ".join(_q(h) for h in ("click", "purchase"))
     sel_nodes = (f"SELECT node_id FROM v_nodes WHERE contains({_norm('node_id')}, {_q(SUBGRAPH_ENTITY.lower())}) "
@@ -273,7 +299,10 @@ def oracle_sql() -> dict[str, str]:
         round(coalesce(avg(coalesce(1.0::DOUBLE / rank, 0)), 0), 6) AS mrr FROM g_ranks"""
     judge = """SELECT coalesce(avg(coalesce(s.accuracy, 0)::DOUBLE), 0) AS avg_accuracy,
         coalesce(avg(coalesce(s.completeness, 0)::DOUBLE), 0) AS avg_completeness
-        FROM (SELECT query_id FROM v_scores) q LEFT JOIN v_scores s ON s.query_id = q.query_id"""
+        FROM (SELECT doc_id AS query_id FROM documents) q LEFT JOIN v_scores s ON s.query_id = q.query_id"""
+    golden_judge = """SELECT coalesce(avg(coalesce(s.accuracy, 0)::DOUBLE), 0) AS avg_accuracy,
+        coalesce(avg(coalesce(s.completeness, 0)::DOUBLE), 0) AS avg_completeness
+        FROM v_golden q LEFT JOIN v_scores s ON s.query_id = q.query_id"""
     s = {}
     s["scan_filter_classify"] = _with(["v_files"]) + """SELECT path,
         CASE WHEN ends_with(path, '.json') THEN 'metadata' ELSE 'source' END AS kind
@@ -332,9 +361,9 @@ def oracle_sql() -> dict[str, str]:
         "SELECT src, dst, type FROM e WHERE src IN (SELECT node_id FROM sel) AND dst IN (SELECT node_id FROM sel)"
     s["simple_edges"] = _with(["v_contains", "v_calls"], [("e", EDGES_ALL)]) + "SELECT DISTINCT src, dst FROM e"
     mid = lambda c: f"translate({c}, {BS} || '/:.', '____')"
-    s["mermaid_lines"] = _with(["v_contains"]) + f"""SELECT src, dst, '    ' || {mid('src')} || '["' || {_label('src')}
+    s["mermaid_lines"] = _with(["v_contains", "v_calls"], [("e", EDGES_ALL)]) + f"""SELECT src, dst, '    ' || {mid('src')} || '["' || {_label('src')}
         || '"] --> ' || {mid('dst')} || '["' || {_label('dst')} || '"]' AS line
-        FROM (SELECT DISTINCT src, dst FROM v_contains)"""
+        FROM (SELECT DISTINCT src, dst FROM e)"""
     s["khop_neighbors"] = _with(["v_contains", "v_calls", "v_nodes"], [
         ("e", EDGES_ALL),
         ("walk", f"""SELECT node_id, 0 AS depth FROM v_nodes WHERE node_id = {_q(KHOP_SEED)}
@@ -372,7 +401,7 @@ def oracle_sql() -> dict[str, str]:
          (SELECT q.vec_id AS query_id, c.vec_id, {_sqdist('q.embedding', 'c.embedding')} AS dist
           FROM embeddings q, embeddings c)) WHERE rank <= {KNN_K}"""
     doc_corpus = "SELECT doc_id AS id, text FROM documents"
-    s["bm25_stats"] = _with(["v_queries"], _bm25_ctes(doc_corpus, "SELECT query_id, query FROM v_queries")) + \
+    s["bm25_stats"] = _with([], _bm25_stat_ctes(doc_corpus)) + \
         """SELECT term, cast(df AS bigint) AS df, round(idf_raw, 6) AS idf_raw, round(idf, 6) AS idf FROM c_idf"""
     s["bm25_score"] = _with(["v_queries"], _bm25_ctes(doc_corpus, "SELECT query_id, query FROM v_queries")) + \
         "SELECT query_id, id AS doc_id, round(score, 6) AS score FROM c_scores"
@@ -384,11 +413,15 @@ def oracle_sql() -> dict[str, str]:
     s["hybrid_search"] = _with(["v_chunks", "v_queries"], _hybrid_ctes()) + \
         "SELECT query_id, cast(rank AS bigint) AS rank, id, file_path, round(score, 8) AS score FROM hyb_rows"
     s["context_render"] = _context_sql()
+    s["question_prompt"] = _question_prompt_sql()
     s["first_relevant_rank"] = _with(["v_golden", "v_paths"], _golden_ctes()) + \
         "SELECT query_id, cast(rank AS bigint) AS rank FROM g_ranks"
     s["retrieval_metrics"] = _with(["v_golden", "v_paths"], _golden_ctes()) + ranks_metrics
     s["judge_averages"] = _with(["v_scores"]) + \
         f"SELECT round(avg_accuracy, 6) AS avg_accuracy, round(avg_completeness, 6) AS avg_completeness FROM ({judge})"
+    s["benchmark_summary"] = _with(["v_golden", "v_paths", "v_scores"], _golden_ctes() + [
+        ("m", ranks_metrics), ("j", golden_judge)]) + """SELECT n_queries, hit_rate, mrr,
+        round(avg_accuracy, 6) AS avg_accuracy, round(avg_completeness, 6) AS avg_completeness FROM m, j"""
     s["eval_report"] = _with(["v_golden", "v_paths", "v_scores"], _golden_ctes()) + """SELECT r.query_id,
         r.rank IS NOT NULL AS found, cast(r.rank AS bigint) AS rank, coalesce(cast(r.rank AS varchar), 'N/A') AS rank_text,
         cast(coalesce(s.accuracy, 0) AS bigint) AS accuracy, cast(coalesce(s.completeness, 0) AS bigint) AS completeness,
@@ -414,6 +447,13 @@ def oracle_sql() -> dict[str, str]:
     s["rule_intercompany"] = _with(["v_items", "v_invoice", "v_credit", "v_allowed"], _rules_ctes()) + \
         f"""SELECT invoice_id, {_q(rules.ERR_INTER_COMPANY)} AS code FROM inv
         WHERE coalesce(inter_company_ref, '') = '' AND is_internal AND NOT allowed"""
+    s["qualified_id"] = """SELECT n_nationkey, concat_ws(':', r_name, CASE WHEN n_nationkey % 3 = 0 THEN NULL
+        ELSE n_name END, 'handler') AS qualified_id FROM nation JOIN region ON n_regionkey = r_regionkey"""
+    s["list_membership"] = _with(["v_allowed", "v_invoice"]) + """SELECT i.invoice_id,
+        EXISTS (SELECT 1 FROM v_allowed a WHERE a.customer = i.customer AND a.company = i.company) AS allowed
+        FROM v_invoice i"""
+    s["validate_pipeline"] = _with(["v_items", "v_invoice", "v_credit", "v_allowed"], _rules_ctes()) + \
+        f"SELECT invoice_id, {_outcome(TOL)} AS code FROM inv"
     s["validate_rules"] = _with(["v_items", "v_invoice", "v_credit", "v_allowed"], _rules_ctes()) + \
         f"SELECT code, cast(count(*) AS bigint) AS n FROM (SELECT {_outcome(TOL)} AS code FROM inv) GROUP BY 1"
     return s

@@ -208,7 +208,7 @@ def q_simple_edges(spark, sf_dir):
 
 @query("mermaid_lines")
 def q_mermaid_lines(spark, sf_dir):
-    edges = graph.simple_edges(_v(spark, sf_dir).v_contains)
+    edges = graph.simple_edges(_all_edges(_v(spark, sf_dir)))
     return graph.mermaid_lines(edges).select("src", "dst", "line")
 
 
@@ -323,9 +323,10 @@ def q_bm25_topk(spark, sf_dir):
 
 
 def _vector_corpus(v: Views) -> DataFrame:
-    """The vector table: chunks with a vector, stored once (as the index job
-    does) so the dense, sparse and render steps all read the same table."""
-    return spread(materialize(v.v_chunks.filter(F.col("vector").isNotNull()), "vector_table"), ["id"])
+    """The chunk table, stored once (as the index job does) so the dense,
+    sparse and render steps all read the same table.  Every text is in it; a
+    chunk without a vector is found by its words only."""
+    return spread(materialize(v.v_chunks, "vector_table"), ["id"])
 
 
 def _hybrid(v: Views) -> DataFrame:
@@ -354,6 +355,15 @@ def q_context_render(spark, sf_dir):
                       F.length("context").cast("long").alias("context_len"))
 
 
+@query("question_prompt")
+def q_question_prompt(spark, sf_dir):
+    """Search, context and prompt of every question as one job."""
+    v = _v(spark, sf_dir)
+    p = render.question_prompts(v.v_queries, _hybrid(v), PROMPT_ENTITY, needle=PROMPT_NEEDLE)
+    return p.select("query_id", "template", F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").cast("long").alias("prompt_len"))
+
+
 # -- E1 .. E7 ---------------------------------------------------------------------
 def _golden_ranks(v: Views) -> DataFrame:
     hits = search.knn_topk(v.v_golden, v.v_paths, EVAL_K, exclude_self=True)
@@ -375,7 +385,8 @@ def q_retrieval_metrics(spark, sf_dir):
 
 
 def _judged(v: Views) -> DataFrame:
-    return v.v_scores.select("query_id")
+    """All queries, also those that have no judgement (they count as 0)."""
+    return v.t("documents").select(F.col("doc_id").alias("query_id"))
 
 
 @query("judge_averages")
@@ -386,6 +397,14 @@ def q_judge_averages(spark, sf_dir):
                     F.round("avg_completeness", 6).alias("avg_completeness"))
 
 
+@query("benchmark_summary")
+def q_benchmark_summary(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    m = evaluate.benchmark_summary(_golden_ranks(v), v.v_scores)
+    return m.select(F.col("n_queries").cast("long"), *[F.round(c, 6).alias(c) for c in (
+        "hit_rate", "mrr", "avg_accuracy", "avg_completeness")])
+
+
 @query("eval_report")
 def q_eval_report(spark, sf_dir):
     v = _v(spark, sf_dir)
@@ -441,7 +460,7 @@ def q_rule_pos(spark, sf_dir):
 def q_rule_credit(spark, sf_dir):
     v = _v(spark, sf_dir)
     df = rules.attach_item_flags(v.v_invoice, v.v_items, "invoice_id", "l_orderkey")
-    df = rules.attach_credit(df, v.v_credit, ["customer"])
+    df = rules.attach_credit(df, v.v_credit, ["customer", "company"])
     out = df.select("invoice_id", rules.credit_violation().alias("v")).filter(F.col("v").isNotNull())
     return out.select("invoice_id", F.col("v.code").alias("code"))
 
@@ -462,6 +481,28 @@ def q_rule_intercompany(spark, sf_dir):
     return out.select("invoice_id", F.col("v.code").alias("code"))
 
 
+@query("qualified_id")
+def q_qualified_id(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    n, r = v.t("nation"), v.t("region")
+    # every third nation has no class part
+    part = F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        "n_nationkey", tx.qualified_id("r_name", part, F.lit("handler")).alias("qualified_id"))
+
+
+@query("list_membership")
+def q_list_membership(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    lists = v.v_allowed.groupBy("customer").agg(F.collect_set("company").alias("allowed"))
+    return rules.attach_allowed_list(v.v_invoice, lists).select("invoice_id", F.col("_allowed").alias("allowed"))
+
+
+@query("validate_pipeline")
+def q_validate_pipeline(spark, sf_dir):
+    return _pipeline(_v(spark, sf_dir)).select("invoice_id", rules.violation_code().alias("code"))
+
+
 @query("validate_rules")
 def q_validate_rules(spark, sf_dir):
     p = _pipeline(_v(spark, sf_dir))

@@ -188,7 +188,11 @@ class Views:
 
     def _v_credit(self) -> DataFrame:
         c = self.t("customer")
-        return c.select(F.col("c_custkey").alias("customer"), (F.col("c_acctbal") < 0).alias("exceeded"))
+        # one row per customer and company; the last company's limit is looser
+        return c.select(F.col("c_custkey").alias("customer"), "c_acctbal",
+                        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")) \
+            .select("customer", F.concat(F.lit("Company-"), F.col("k").cast("string")).alias("company"),
+                    (F.col("c_acctbal") < F.when(F.col("k") == 3, F.lit(-500)).otherwise(F.lit(0))).alias("exceeded"))
 
     def _v_allowed(self) -> DataFrame:
         c = self.t("customer")

@@ -33,14 +33,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
     ``master`` defaults to ``local[$BENCH_CPUS]`` (or ``local[*]``).  On a
     cluster pass the cluster master and leave ``spark.checkpoint.dir`` to the
-    cluster configuration.
+    cluster configuration.  Shuffle partitions and driver memory are set only
+    where the caller (or ``$CODELENS_DRIVER_MEMORY``) asks for it.
     """
     cpus = os.environ.get("BENCH_CPUS", "*")
     master = master or f"local[{cpus}]"
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf["spark.driver.memory"] = os.environ.get("CODELENS_DRIVER_MEMORY", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if memory := os.environ.get("CODELENS_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = memory
     if extra:
         conf.update(extra)
     for k, v in conf.items():

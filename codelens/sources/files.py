@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as tx
-from .versioned import latest_version
+from .versioned import latest_version, list_versions
 
 
 def scan_files(spark: SparkSession, root: str,
@@ -50,12 +50,18 @@ def _glob_escape(s: str) -> str:
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """S3: JSON array of {query, expected_file, expected_logic}; ``query_id``
-    is a hash of the query text, so it is stable across recomputation."""
+    """S3: JSON array of {query, expected_file, expected_logic}.
+
+    ``query_id`` is a hash of the whole item, so it is stable across
+    recomputation and one question asked of two files stays two items; of
+    items equal in every field each counts (their number is hashed too)."""
     if not _exists(spark, path):  # E6: a missing golden set scores zeros
         return empty(spark, schemas.GOLDEN).withColumn("query_id", F.xxhash64("query"))
     df = spark.read.schema(schemas.GOLDEN).option("multiLine", "true").json(path)
-    return df.withColumn("query_id", F.xxhash64("query"))
+    fields = [f.name for f in schemas.GOLDEN.fields]
+    same = df.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n"))
+    return same.select(*fields, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")) \
+        .select(*fields, F.xxhash64(*fields, "_k").alias("query_id"))
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -78,9 +84,14 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_vector_table(spark: SparkSession, path: str) -> DataFrame:
-    """The vector table with its fixed schema; empty when absent."""
+    """The vector table with its fixed schema, its newest complete version
+    if it is kept in versions; empty when absent."""
     if not _exists(spark, path):
         return empty(spark, schemas.VECTOR_TABLE)
+    if list_versions(spark, path, complete=False):
+        path = latest_version(spark, path)
+        if path is None:
+            return empty(spark, schemas.VECTOR_TABLE)
     return spark.read.schema(schemas.VECTOR_TABLE).parquet(path)
 
 
@@ -147,6 +158,9 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_eval_report(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation report; ``rank`` may be a number or "N/A"."""
-    df = spark.read.schema(schemas.EVAL_REPORT_RAW).option("multiLine", "true").json(path)
+    """Evaluation report, one JSON array per file or JSON lines (the first
+    sign in the files tells which); ``rank`` may be a number or "N/A"."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    array = first is not None and first["value"].lstrip().startswith("[")
+    df = spark.read.schema(schemas.EVAL_REPORT_RAW).option("multiLine", str(array).lower()).json(path)
     return df.withColumn("rank", F.expr("try_cast(rank as int)"))

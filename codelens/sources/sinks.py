@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import delta
 from ..operators.graph import MERMAID_HEADER
 from .files import _exists
-from .versioned import latest_version, write_next_version
+from .versioned import latest_version, mark_complete, next_version, write_next_version
 
 
 def append_vectors(chunks: DataFrame, path: str, dim: int) -> None:
@@ -25,20 +25,21 @@ def write_state(state: DataFrame, base: str) -> str:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, base: str, entity: str) -> str:
-    """K5: ``<base>/<entity>/nodes`` and ``/edges`` as new versions."""
+    """K5: one new version ``<base>/<entity>/v=<n>`` that holds ``nodes`` and
+    ``edges``; it counts only once both are written."""
     root = f"{base.rstrip('/')}/{entity}"
-    write_next_version(nodes, f"{root}/nodes")
-    write_next_version(edges, f"{root}/edges")
+    path = next_version(nodes.sparkSession, root)
+    nodes.write.parquet(f"{path}/nodes")
+    edges.write.parquet(f"{path}/edges")
+    mark_complete(nodes.sparkSession, path)
     return root
 
 
 def load_graph(spark: SparkSession, base: str, entity: str):
-    """K6: ``(nodes, edges)`` or None when the entity has no saved graph."""
-    root = f"{base.rstrip('/')}/{entity}"
-    n, e = latest_version(spark, f"{root}/nodes"), latest_version(spark, f"{root}/edges")
-    if n is None or e is None:
-        return None
-    return spark.read.parquet(n), spark.read.parquet(e)
+    """K6: ``(nodes, edges)`` of the newest complete version, or None when the
+    entity has no saved graph."""
+    path = latest_version(spark, f"{base.rstrip('/')}/{entity}")
+    return None if path is None else (spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
 def export_gexf_parts(nodes: DataFrame, edges: DataFrame, base: str) -> None:
@@ -77,7 +78,8 @@ def write_mermaid(doc: DataFrame, path: str, num_partitions: int | None = None)
 
 
 def write_eval_report(report: DataFrame, path: str) -> None:
-    """K8: the per-query report as JSON lines."""
+    """K8: the per-query report as JSON lines, one part file per task
+    (:func:`codelens.sources.files.read_eval_report` reads them back)."""
     report.write.mode("overwrite").json(path)
 
 

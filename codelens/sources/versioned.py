@@ -1,8 +1,9 @@
 """Versioned table folders: never overwrite the folder being read.
 
-A write goes to ``<base>/v=<n+1>``; readers take the highest version that
-holds a ``_SUCCESS`` marker, so a failed or half-written version is ignored.
-Listing is metadata only (driver side).
+A write goes to ``<base>/v=<n+1>``, where n counts every version folder, also
+one that a crashed write left behind; readers take the highest version that
+holds a ``_SUCCESS`` marker, so a half-written version is ignored and never
+stands in the way of the next one.  Listing is metadata only (driver side).
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def list_versions(spark: SparkSession, base: str) -> list[int]:
+def list_versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]:
+    """Sorted version numbers; with ``complete`` only those with a marker."""
     fs, p = _fs(spark, base)
     if not fs.exists(p):
         return []
@@ -25,7 +27,7 @@ def list_versions(spark: SparkSession, base: str) -> list[int]:
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("v="):
             jvm = spark.sparkContext._jvm
-            ok = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+            ok = not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
             if ok:
                 try:
                     out.append(int(name[2:]))
@@ -39,10 +41,19 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
     return f"{base.rstrip('/')}/v={v[-1]:06d}" if v else None
 
 
+def next_version(spark: SparkSession, base: str) -> str:
+    """Path of the version to write: above every folder that is there."""
+    v = list_versions(spark, base, complete=False)
+    return f"{base.rstrip('/')}/v={(v[-1] + 1) if v else 1:06d}"
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Puts the marker into a version that consists of several tables."""
+    fs, p = _fs(spark, path)
+    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"), True).close()
+
+
 def write_next_version(df: DataFrame, base: str, fmt: str = "parquet") -> str:
-    spark = df.sparkSession
-    v = list_versions(spark, base)
-    nxt = (v[-1] + 1) if v else 1
-    path = f"{base.rstrip('/')}/v={nxt:06d}"
+    path = next_version(df.sparkSession, base)
     df.write.mode("errorifexists").format(fmt).save(path)
     return path

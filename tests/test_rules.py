@@ -61,7 +61,8 @@ CASES = [  # (invoice, items, credit exceeded?, allowed companies, rule, expecte
 def validated(spark):
     invoices = spark.createDataFrame([c[0] for c in CASES], INV)
     items = spark.createDataFrame([(c[0]["invoice_id"], *it) for c in CASES for it in c[1]], ITEMS)
-    credit = spark.createDataFrame([(c[0]["customer"], c[2]) for c in CASES], "customer long, exceeded boolean")
+    credit = spark.createDataFrame([(c[0]["customer"], c[0]["company"], c[2]) for c in CASES],
+                                   "customer long, company string, exceeded boolean")
     allowed = spark.createDataFrame([(c[0]["customer"], co) for c in CASES for co in (c[3] or [])],
                                     "customer long, company string")
     out = rules.validate(invoices, items, credit, allowed, invoice_key="invoice_id")
@@ -86,7 +87,8 @@ def test_nested_items_match_item_table(spark):
                                for a, b, s in c[1]]) for c in CASES],
         "invoice_id long, items array<struct<item_code:string,qty:double,sales_order:string,"
         "delivery_note:string,delivered_by_supplier:boolean>>")
-    credit = spark.createDataFrame([(c[0]["customer"], c[2]) for c in CASES], "customer long, exceeded boolean")
+    credit = spark.createDataFrame([(c[0]["customer"], c[0]["company"], c[2]) for c in CASES],
+                                   "customer long, company string, exceeded boolean")
     allowed_lists = spark.createDataFrame([(c[0]["customer"], c[3]) for c in CASES],
                                           "customer long, allowed array<string>")
     out = rules.validate(invoices.join(nested_items, "invoice_id"), None, credit, allowed_lists,
@@ -102,3 +104,21 @@ def test_violation_text(spark):
                                "code string, details string")
     out = [r.t for r in df.select(tx.violation_text("code", "details").alias("t")).collect()]
     assert out == ["item quantity cannot be zero: Qty is -5", "item quantity cannot be zero"]
+
+
+def test_unset_amounts_are_zero(spark):
+    rows = spark.createDataFrame(
+        [(1, True, D("100"), None, D("150"), None, None), (2, True, D("100"), D("0"), D("100"), None, 2)],
+        "invoice_id long, is_return boolean, grand_total decimal(18,4), rounded_total decimal(18,4), "
+        "paid_amount decimal(18,4), write_off decimal(18,4), precision_gt int")
+    got = {r.invoice_id: r.v for r in rows.select("invoice_id", rules.pos_violation().alias("v")).collect()}
+    assert got[1].code == rules.ERR_POS_AMOUNT and got[2] is None
+
+
+def test_credit_lookup_by_customer_and_company(spark):
+    invoices = spark.createDataFrame([(1, "c", "x"), (2, "c", "y"), (3, "d", "x")],
+                                     "invoice_id long, customer string, company string")
+    credit = spark.createDataFrame([("c", "x", False), ("c", "x", True), ("c", "y", False)],
+                                   "customer string, company string, exceeded boolean")
+    got = {r.invoice_id: r._exceeded for r in rules.attach_credit(invoices, credit, ["customer", "company"]).collect()}
+    assert got == {1: True, 2: False, 3: None}

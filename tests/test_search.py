@@ -90,21 +90,18 @@ def test_rrf_matches_reference_order(spark):
         assert [i for _, i in sorted(got[q])] == expect[q]
 
 
-def test_knn_exact_with_ties_and_self_exclusion(spark):
+def test_knn_exact_with_ties_and_self_exclusion(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(60, 8)).astype(np.float32)
     vecs[10] = vecs[11]  # exact duplicate: tie broken by id
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vector array<float>")
     queries = corpus.withColumnRenamed("id", "query_id")
-    cases = [(False, None), (True, None), (False, 0), (True, 0)]  # broadcast scan / blocked cogroup
-    for excl, bound in cases:
-        saved = search.KNN_BROADCAST_BYTES
-        if bound is not None:
-            search.KNN_BROADCAST_BYTES = bound
-        try:
-            rows_ = search.knn_topk(queries, corpus, 5, exclude_self=excl).collect()
-        finally:
-            search.KNN_BROADCAST_BYTES = saved
+    # one block pair / many blocks and tiles
+    for excl, block, tile in ((False, None, None), (True, None, None), (False, 1024, 512), (True, 1024, 512)):
+        if block:
+            monkeypatch.setattr(search, "KNN_BLOCK_BYTES", block)
+            monkeypatch.setattr(search, "_TILE_BYTES", tile)
+        rows_ = search.knn_topk(queries, corpus, 5, exclude_self=excl).collect()
         got = {}
         for r in rows_:
             got.setdefault(r.query_id, []).append((r.rank, r.id))
@@ -150,3 +147,34 @@ def test_bm25_index_save_and_load(spark):
     a = {(r.query_id, r.id): r.score for r in search.bm25_topk(idx, q, 25).collect()}
     b = {(r.query_id, r.id): r.score for r in search.bm25_topk(back, q, 25).collect()}
     assert a == b and len(a) == 21
+
+
+def test_knn_ignores_vectors_of_another_length(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0]), (3, [1.0, 1.0]), (4, None), (5, [float("nan"), 0.0])],
+                                   "id long, vector array<double>")
+    queries = spark.createDataFrame([(7, [0.0, 0.0]), (8, [0.0])], "query_id long, vector array<double>")
+    got = [(r.query_id, r.id, r.rank) for r in search.knn_topk(queries, corpus, 5).orderBy("rank").collect()]
+    assert got == [(7, 1, 1), (7, 3, 2)]
+
+
+def test_knn_tiles_at_dim_768(spark):
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(1000, 768)), rng.normal(size=(300, 768))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>")
+    got = {(r.query_id, r.rank): r.id for r in search.knn_topk(queries, corpus, 3).collect()}
+    d = ((q[:, None, :100] - c[None, :, :100]) ** 2).sum(2) + sum(
+        ((q[:, None, a:a + 167] - c[None, :, a:a + 167]) ** 2).sum(2) for a in range(100, 768, 167))
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert got == {(i, j + 1): int(want[i, j]) for i in range(1000) for j in range(3)}
+
+
+def test_hybrid_search_with_repeated_ids(spark):
+    corpus = spark.createDataFrame(
+        [("a.py:m", 0, "alpha beta", [1.0, 0.0]), ("a.py:m", 1, "gamma delta", [0.0, 1.0]),
+         ("b.py:n", 0, "beta epsilon", None)], "id string, ordinal int, content string, vector array<double>")
+    queries = spark.createDataFrame([(1, "gamma", [0.0, 1.0])], "query_id long, query string, vector array<double>")
+    got = search.hybrid_search(corpus, queries, 2).orderBy("rank").collect()
+    assert [(r.id, r.ordinal, r.rank) for r in got][0] == ("a.py:m", 1, 1)
+    assert len({(r.id, r.ordinal) for r in got}) == len(got) == 2
+    assert abs(got[0].score - 2 / 61) < 1e-9

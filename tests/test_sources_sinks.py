@@ -6,10 +6,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from codelens import schemas
 from codelens.operators import evaluate, graph
 from codelens.sources import files as src
 from codelens.sources import sinks
-from codelens.sources.versioned import latest_version
+from codelens.sources.versioned import latest_version, write_next_version
 
 
 def _tmp():
@@ -42,6 +43,7 @@ def test_golden_and_eval_report_scans(spark):
     m0 = evaluate.retrieval_metrics(missing.select("query_id", F.lit(None).cast("int").alias("rank"))).first()
     assert (m0.n_queries, m0.hit_rate, m0.mrr) == (0, 0.0, 0.0)
     # Re-typed published report: ranks -, 1, 5, 1, 1, 1, 1, 1, 1, 3 and judge scores.
+    # fixed values: the published report's ranks and scores
     ranks = ["N/A", 1, 5, 1, 1, 1, 1, 1, 1, 3]
     acc = [5, 5, 1, 5, 5, 4, 4, 5, 1, 5]
     comp = [5, 5, 1, 5, 5, 4, 3, 5, 1, 5]
@@ -114,7 +116,53 @@ def test_graph_roundtrip_and_versions(spark):
     sinks.save_graph(nodes.union(nodes), edges, d, "Ent")
     n2, e2 = sinks.load_graph(spark, d, "Ent")
     assert n2.count() == 2 and e2.count() == 1
-    assert latest_version(spark, f"{d}/Ent/nodes").endswith("v=000002")
+    assert latest_version(spark, f"{d}/Ent").endswith("v=000002")
+    # a save that stops between its two tables does not count and does not block
+    nodes.write.parquet(f"{d}/Ent/v=000003/nodes")
+    assert sinks.load_graph(spark, d, "Ent")[0].count() == 2
+    sinks.save_graph(nodes, edges, d, "Ent")
+    assert latest_version(spark, f"{d}/Ent").endswith("v=000004")
+
+
+def test_report_round_trip(spark):
+    path = f"{_tmp()}/report"
+    ranks = spark.createDataFrame([(1, 1), (2, None), (3, 2)], "query_id long, rank int").repartition(3)
+    golden = spark.createDataFrame([(1, "where"), (2, "why"), (3, "how")], "query_id long, query string")
+    scores = spark.createDataFrame([(1, 5, 4, "fine")], "query_id long, accuracy int, completeness int, rationale string")
+    report = evaluate.eval_report(ranks, scores, golden=golden)
+    sinks.write_eval_report(report.select("query", "found", F.col("rank_text").alias("rank"), "scores"), path)
+    back = {r.query: (r.found, r.rank, r.scores.accuracy) for r in src.read_eval_report(spark, path).collect()}
+    assert back == {"where": (True, 1, 5), "why": (False, None, 0), "how": (True, 2, 0)}
+
+
+def test_crashed_version_does_not_block(spark):
+    base = f"{_tmp()}/state"
+    state = spark.createDataFrame([("a", "0")], "path string, content_hash string")
+    sinks.write_state(state, base)
+    state.write.parquet(f"{base}/v=000002")
+    os.remove(f"{base}/v=000002/_SUCCESS")
+    assert src.read_state(spark, base).count() == 1
+    assert sinks.write_state(state.union(state), base).endswith("v=000003")
+    assert src.read_state(spark, base).count() == 2
+
+
+def test_vector_table_is_the_newest_version(spark):
+    base = f"{_tmp()}/vectors"
+    row = spark.createDataFrame([([1.0], "a", "x", "f", "s", "t", None, 1, 1, 0)], schemas.VECTOR_TABLE)
+    write_next_version(row.union(row), base)
+    write_next_version(row, base)
+    assert src.open_vector_table(spark, base).count() == 1
+
+
+def test_repeated_golden_questions_stay_apart(spark):
+    path = f"{_tmp()}/golden.json"
+    with open(path, "w") as f:
+        json.dump([{"query": "q", "expected_file": x, "expected_logic": ""} for x in ("a.py", "b.py", "b.py")], f)
+    golden = src.read_golden(spark, path)
+    assert golden.select("query_id").distinct().count() == 3
+    hits = golden.select("query_id").withColumn("rank", F.lit(1)).withColumn("file_path", F.lit("a.py"))
+    m = evaluate.retrieval_metrics(evaluate.first_relevant_rank(hits, golden)).first()
+    assert m.n_queries == 3 and abs(m.hit_rate - 100 / 3) < 1e-9
 
 
 def test_state_json_import_and_versions(spark):

@@ -128,3 +128,12 @@ def test_graph_nodes_contains_and_calls(spark):
     # parallel-edge keys 0,1,... per (src, dst)
     keys = sorted(k for s, d, t, k in e if (s, d) == ("pkg/a.py:SalesInvoiceController:validate", "pkg/b.py:helper"))
     assert keys == [0, 1]
+
+
+def test_byte_order_mark_and_carriage_returns(spark):
+    files = spark.createDataFrame([("bom.py", "\ufeffdef a():\n    pass\n"), ("cr.py", "def b():\r    pass\rdef c():\r    b()\r"),
+                                   ("crlf.py", "x = 1\r\ndef d():\r\n    pass\r\n")], "path string, content string")
+    got = sy.symbol_chunks(sy.extract_symbols(files)).collect()
+    assert {(r.symbol_name, r.start_line, r.content) for r in got} == {
+        ("a", 1, "def a():\n    pass"), ("b", 1, "def b():\r    pass"), ("c", 3, "def c():\r    b()"),
+        ("d", 2, "def d():\r\n    pass")}
