@@ -156,7 +156,9 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int =
         return materialize(both.withColumn("room", limit)
                            .filter(F.expr("levenshtein(ta, tb, room)") >= 0).select("a", "b"), "line-links")
 
-    comp = materialize(linked_components(keys, links), "line-components")
+    comp = materialize(linked_components(
+        keys, links, distinct.select(F.col("lid").alias("id"), "sim"),
+        lambda a, b: F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= max_hamming), "line-components")
     grouped = distinct.join(comp, F.col("lid") == F.col("id"), "left").filter(F.col("id").isNotNull() | (F.col("n") > 1)) \
         .select("norm", "first", F.coalesce("comp", "lid").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 U64 = np.uint64
 
 
@@ -18,19 +18,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class _Cache(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class WordHasher:
     """64-bit hashes of words, with a cache of bounded size."""
 
     def __init__(self) -> None:
-        self.cache: dict[bytes, int] = {}
+        self.cache = _Cache()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > _CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), dtype=U64, count=len(words))
+        if len(self.cache) > _CACHE_WORDS:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), dtype=U64, count=len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -46,7 +49,12 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         h += words[j:n - width + 1 + j]
     if width < k:
         h += U64(width)
-    return np.unique(mix64(h))
+    h = mix64(h)
+    h.sort()
+    new = np.empty(len(h), bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def rows_of(batches: Iterable, *columns: str) -> Iterator[tuple]:

@@ -4,16 +4,22 @@ A document is the set of its word shingles.  Every shingle hash toggles one
 bit of a sketch, so shared shingles cancel in the XOR of two sketches and the
 Hamming distance is at most the size of the symmetric difference.  For two
 sets of sizes a and b that reach the threshold that difference is at most
-``D = (a + b) (1 - J) / (1 + J)``.  The sketch is cut into ``D + 1`` blocks of
-64 bits: at least one block of a linked pair is equal (pigeonhole).  Documents
-are grouped into size bands, a linked pair lies in one band or in two
-neighbouring ones, and every document is sketched for its own band and for
-the one below.  Equal blocks are candidates; they are verified on the words.
+``D = (a + b) (1 - J) / (1 + J)``.  The sketch is cut into ``m > D`` blocks of
+64 bits: at least ``m - D`` blocks of a linked pair are untouched by the
+difference (pigeonhole).  Documents are grouped into size bands, a linked pair
+lies in one band or in two neighbouring ones, and every document is sketched
+for its own band and for the one below.  Equal blocks are candidates; those
+within the Hamming bound are verified on the words.
+
+A block's key is the XOR of the full hashes behind its bits.  Blocks of fewer
+than two shingles say little and are left out wherever a document has fewer
+than ``m - D`` of them, as an equal block with more is then certain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import byte_words
+from .common import byte_words, in_arrow
 from .hashing import U64, WordHasher, mix64, rows_of, shingle_hashes
 from .pigeonhole import linked_components
 
@@ -40,27 +46,68 @@ def bands(percent: int, largest: int = 1 << 40) -> list[int]:
     return ends
 
 
-def blocks_of(band: int, percent: int) -> int:
-    """Blocks of the sketch for a pair whose smaller set lies in ``band``."""
+def bound_of(band: int, percent: int) -> int:
+    """Largest symmetric difference of a linked pair whose smaller set lies
+    in ``band``."""
     a = bands(percent)[band + 1] - 1
     b = a * 100 // percent
-    return (a + b) * (100 - percent) // (100 + percent) + 1
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+@dataclass
+class Sketch:
+    """Parity sketch of a set for one band: of the blocks that hold a shingle
+    their numbers, sizes, 64 parity bits and the XOR of the full hashes."""
+    band: int
+    bound: int
+    n_blocks: int
+    block: np.ndarray
+    size: np.ndarray
+    parity: np.ndarray
+    folded: np.ndarray
+
+    def keys(self) -> np.ndarray:
+        """One key per block that may be the equal one."""
+        block, parity, folded = self.block, self.parity, self.folded
+        rich = self.size >= 2
+        if self.n_blocks - rich.sum() < self.n_blocks - self.bound:
+            block, parity, folded = block[rich], parity[rich], folded[rich]
+        elif len(block) < self.n_blocks:
+            every = np.arange(self.n_blocks)
+            spread = lambda x: _put(x, self.block, self.n_blocks)
+            block, parity, folded = every, spread(parity), spread(folded)
+        place = mix64(block.astype(U64) + (U64(self.band) << U64(44)))
+        return mix64(folded * U64(0x9E3779B97F4A7C15) ^ place ^ parity)
+
+    def compact(self) -> bytes:
+        """16 bits per block, each the XOR of four parity bits: its Hamming
+        distance is at most that of the sketch."""
+        p = _put(self.parity, self.block, self.n_blocks)
+        p = p ^ (p >> U64(32))
+        return ((p ^ (p >> U64(16))) & U64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def sketch_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """One key per block: band, block number and the block's 64 parity bits."""
+def _put(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, U64)
+    out[at] = values
+    return out
+
+
+def sketches(hashes: np.ndarray, percent: int) -> list[Sketch]:
+    """Of sorted distinct shingle hashes, for the set's own band and the one
+    below.  The blocks are ranges of the hash, so each is a run."""
     if not len(hashes):
-        return hashes
+        return []
     own = int(np.searchsorted(bands(percent), len(hashes), side="right")) - 1
-    out = []
+    out, bits, mixed = [], U64(1) << (hashes & U64(63)), mix64(hashes)
     for band in ((own, own - 1) if own else (own,)):
-        m = blocks_of(band, percent)
-        block = ((hashes >> U64(32)) * U64(m)) >> U64(32)
-        parity = np.zeros(m, U64)
-        np.bitwise_xor.at(parity, block.astype(np.int64), U64(1) << (hashes & U64(63)))
-        place = mix64(np.arange(m, dtype=U64) + (U64(band) << U64(44)))
-        out.append(mix64(parity * U64(0x9E3779B97F4A7C15) ^ place))
-    return np.concatenate(out)
+        bound = bound_of(band, percent)
+        m = bound + 1 + -(-8 * bound // 100)
+        block = (((hashes >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
+        heads = np.append(0, np.flatnonzero(block[1:] != block[:-1]) + 1)
+        out.append(Sketch(band, bound, m, block[heads], np.append(heads[1:], len(block)) - heads,
+                          np.bitwise_xor.reduceat(bits, heads), np.bitwise_xor.reduceat(mixed, heads)))
+    return out
 
 
 def _signature(hashes: np.ndarray) -> tuple[int, int]:
@@ -71,22 +118,48 @@ def _signature(hashes: np.ndarray) -> tuple[int, int]:
             int(np.bitwise_xor.reduce(mix64(hashes ^ U64(0xD6E8FEB86659FD93))).astype(np.int64)))
 
 
-def _sets(k: int):
+_SHORT = [f"s{i}" for i in range(8)]
+_SETS = ("doc_id long, n_shingles long, sig1 long, sig2 long, band int, own binary, below binary, "
+         + ", ".join(f"{c} long" for c in _SHORT))
+
+
+def short_sketch(hashes: np.ndarray) -> list[int]:
+    """The parity sketch in 512 bits, as eight signed numbers."""
+    odd = np.bincount((hashes >> U64(7)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _sets(k: int, percent: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        names = [x.split()[0] for x in _SETS.split(", ")]
+        types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 8
         for batch in batches:
-            ids, n, s1, s2 = [], [], [], []
+            rows = []
             for doc_id, text in rows_of([batch], "doc_id", "text"):
                 h = shingle_hashes(hasher(byte_words(text)), k)
-                a, b = _signature(h)
-                ids.append(doc_id), n.append(len(h)), s1.append(a), s2.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()),
-                 pa.array(s2, pa.int64())], names=["doc_id", "n_shingles", "sig1", "sig2"])
+                made = sketches(h, percent)
+                rows.append((doc_id, len(h), *_signature(h), made[0].band if made else None,
+                             *[s.compact() for s in made], *[None] * (2 - len(made)), *short_sketch(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)],
+                                             names=names)
+    return run
+
+
+def _within_bound(percent: int):
+    """Pairs whose sketches for a common band are within the Hamming bound."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for ba, oa, la, bb, ob, lb in rows_of([batch], "ba", "oa", "la", "bb", "ob", "lb"):
+                x, y = (oa, ob) if ba == bb else (la, ob) if ba > bb else (oa, lb)
+                distance = np.bitwise_count(np.frombuffer(x, np.uint16) ^ np.frombuffer(y, np.uint16)).sum()
+                keep.append(bool(distance <= bound_of(min(ba, bb), percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _keys(k: int, percent: int, flush: int = 1 << 18, remember: int = 1 << 18):
+def _keys(k: int, percent: int, flush: int = 1 << 18, remember: int = 1 << 16):
     """(key, id) rows; a set that the task has just sent is not sent
     again (its documents share a signature and are joined by that)."""
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -105,7 +178,7 @@ def _keys(k: int, percent: int, flush: int = 1 << 18, remember: int = 1 << 18):
             if len(sent) >= remember:
                 sent.clear()
             sent.add(sig)
-            mine = sketch_keys(h, percent)
+            mine = np.concatenate([x.keys() for x in sketches(h, percent)])
             keys.append(mine), ids.append(np.full(len(mine), doc_id, np.int64))
             held += len(mine)
             if held >= flush:
@@ -139,11 +212,14 @@ def _verify(k: int, percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs ``(a, b)`` that are links, written once."""
-    n = sets.select(F.col("doc_id").alias("_i"), F.col("n_shingles").alias("_n"))
-    near = (pairs.join(n.select(F.col("_i").alias("a"), F.col("_n").alias("na")), "a")
-            .join(n.select(F.col("_i").alias("b"), F.col("_n").alias("nb")), "b")
-            .filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-            .select("a", "b").distinct())
+    side = lambda x: sets.select(
+        F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("band").alias(f"b{x}"),
+        F.col("own").alias(f"o{x}"), F.col("below").alias(f"l{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b") \
+        .filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+                & (F.abs(F.col("ba") - F.col("bb")) <= 1)) \
+        .select("a", "b", "ba", "oa", "la", "bb", "ob", "lb")
+    near = in_arrow(near, _within_bound(percent), "a long, b long").distinct()
     near = materialize(near, "parity-pairs")
     if near.isEmpty():
         return near
@@ -151,8 +227,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     texts = materialize(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "parity-texts")
     with_b = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return materialize(both.select("a", "b", "ta", "tb")
-                       .mapInArrow(_verify(k, percent), "a long, b long").distinct(), "parity-links")
+    links = in_arrow(both.select("a", "b", "ta", "tb"), _verify(k, percent), "a long, b long").distinct()
+    return materialize(links, "parity-links")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -166,7 +242,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
     Candidates come from :func:`pigeonhole.linked_components`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, sig1 long, sig2 long"), "parity-sets")
+    sets = materialize(in_arrow(docs, _sets(k, percent), _SETS), "parity-sets")
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     firsts = known.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
     same = materialize(known.join(firsts, ["n_shingles", "sig1", "sig2"]).select("doc_id", "rep").distinct(),
@@ -180,7 +256,27 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         one = one.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a != b").distinct()
         return _verified(one, docs, sets, k, percent)
 
-    keys = docs.mapInArrow(_keys(k, percent), "key long, id long")
-    comp = materialize(linked_components(keys, links, copies), "parity-components")
-    return sets.join(comp, sets["doc_id"] == comp["id"], "left").select(
+    keys = in_arrow(docs, _keys(k, percent), "key long, id long")
+    traits = known.select(F.col("doc_id").alias("id"), "n_shingles", *_SHORT).dropDuplicates(["id", *_SHORT])
+
+    def close(a, b):
+        """Sizes and short sketches allow the threshold."""
+        apart = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _SHORT), F.lit(0))
+        na, nb = a("n_shingles"), b("n_shingles")
+        return (100 * na >= percent * nb) & (100 * nb >= percent * na) \
+            & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+
+    comp = materialize(linked_components(keys, links, traits, close, copies), "parity-components")
+    return sets.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest
+    id, all columns unchanged.  Rows that share an id are one document, of
+    which one row stays; rows without an id have no component and all stay."""
+    comp = jaccard_components(docs, k, percent)
+    gone = comp.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return named.unionByName(left.filter(F.col("doc_id").isNull()))
