@@ -83,6 +83,47 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join,
                                    op6_mix_sources, op7_sentence_spans, op8_html_text, op9_context_mixing,
                                    op10_language)}
 
-_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
-
-ORACLE_SQL: dict[str, str] = {}
+# Words as in the contracts: runs of anything but the ASCII blanks.
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def _prefix_sql(name: str, rows: str, budget: str) -> str:
+    """CTEs ``{name}_run`` and ``{name}`` (source, stop, spent): how far along
+    the hash order a source's budget reaches."""
+    return f"""
+    {name}_at AS (SELECT r.source, r.pos, sum(r.size) AS n, any_value(b.budget) AS budget
+        FROM {rows} r JOIN {budget} b ON b.source IS NOT DISTINCT FROM r.source GROUP BY 1, 2),
+    {name}_run AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY pos) AS cum FROM {name}_at),
+    {name} AS (SELECT b.source, coalesce(min(CASE WHEN r.cum > b.budget THEN r.pos END), 1::BIGINT << 60) AS stop,
+        coalesce(max(CASE WHEN r.cum <= b.budget THEN r.cum END), 0) AS spent
+        FROM {budget} b LEFT JOIN {name}_run r ON b.source IS NOT DISTINCT FROM r.source GROUP BY 1)"""
+
+
+_MIX_SQL = f"""WITH d AS (SELECT doc_id, source, {_SIZE} AS size,
+        ('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS pos FROM documents),
+    s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY 1),
+    k AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
+    -- sources that fill up first come first: the level at which the rest share
+    f AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::DOUBLE
+            / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level, row_number() OVER o AS i FROM k
+        WINDOW o AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST),
+            before AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT coalesce(arg_min(level, i), 0) AS level FROM f WHERE 3 * source_size >= w * level),
+    t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, w * l.level) AS target FROM f, l),
+    p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+    b1 AS (SELECT source, target - whole * source_size AS budget FROM p),
+    {_prefix_sql("e1", "d", "b1")},
+    b2 AS (SELECT b1.source, b1.budget - e1.spent AS budget, e1.stop FROM b1 JOIN e1 ON b1.source IS NOT DISTINCT FROM e1.source),
+    d2 AS (SELECT d.source, d.pos, d.size FROM d JOIN b2 ON b2.source IS NOT DISTINCT FROM d.source
+        WHERE d.pos >= b2.stop AND d.size <= b2.budget),
+    {_prefix_sql("e2", "d2", "b2")},
+    a AS (SELECT d.*, p.source_size, p.target, p.whole + CASE WHEN d.pos < b2.stop
+            OR (d.size <= b2.budget AND d.pos < e2.stop) THEN 1 ELSE 0 END AS copies
+        FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source JOIN b2 ON b2.source IS NOT DISTINCT FROM d.source
+        JOIN e2 ON e2.source IS NOT DISTINCT FROM d.source)
+    SELECT doc_id, cast(size AS BIGINT) AS size, cast(source_size AS BIGINT) AS source_size, target,
+        cast(copies * size AS BIGINT) AS taken, cast(copies AS BIGINT) AS copies FROM a"""
+
+# The other operators have no SQL form: hashed sketches, learned models and
+# graph components are tested against brute force (tests/llm).
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": _MIX_SQL}
