@@ -2,7 +2,8 @@
 
 Lines are normalised (ASCII letters lower-cased, digits 0, punctuation and
 blanks one space).  Equal normalised lines are one group from the start.  The
-64-bit SimHashes of the distinct lines are cut into blocks; two hashes at most
+64-bit SimHashes of the distinct lines (over each line's distinct words: with
+repeats, common words alone would make long lines alike) are cut into blocks; two hashes at most
 ``MAX_HAMMING`` bits apart agree in so many whole blocks that they share a
 key.  Pairs within the distance whose edit similarity is high enough are
 links, and one occurrence of each connected group stays.
@@ -71,8 +72,9 @@ def _lines(min_words: int, chunk: int = 1 << 16):
                 w = line_words(line)
                 if len(w) < min_words:
                     continue
-                rows.append((doc_id, th, no, xxhash.xxh3_128_digest(b" ".join(w)), len(w)))
-                words += w
+                features = set(w)
+                rows.append((doc_id, th, no, xxhash.xxh3_128_digest(b" ".join(w)), len(features)))
+                words += features
                 if len(words) >= chunk:
                     yield out()
                     rows, words = [], []
@@ -94,6 +96,51 @@ def _wanted(batches) -> Iterator[pa.RecordBatch]:
                                          names=["lid", "norm"])
 
 
+def within_edits(a: str, b: str, limit: int) -> bool:
+    """Whether at most ``limit`` insertions, deletions and substitutions turn
+    ``a`` into ``b``: common ends are cut off, the rest is computed with one
+    bit per character (Myers)."""
+    if abs(len(a) - len(b)) > limit:
+        return False
+    head, short = 0, min(len(a), len(b))
+    while head < short and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < short - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b) <= limit
+    m, at = len(a), {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    more, less, distance = every, 0, m
+    for j, c in enumerate(b):
+        here = at.get(c, 0)
+        level = (((here & more) + more) ^ more) | here | less
+        up, down = less | (every & ~(level | more)), more & level
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        if distance - (len(b) - 1 - j) > limit:
+            return False
+        up = (up << 1 | 1) & every
+        less, more = level & up, ((down << 1) & every) | (every & ~(level | up))
+    return distance <= limit
+
+
+def _similar(edit_percent: int):
+    """Pairs of lines whose edit similarity is high enough."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [within_edits(x, y, max(len(x), len(y)) * (100 - edit_percent) // 100)
+                    for x, y in rows_of([batch], "ta", "tb")]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def block_plan(n: int, max_hamming: int = MAX_HAMMING) -> tuple[int, int]:
     """(blocks, equal blocks) of the join keys for ``n`` lines: as many equal
     blocks as give 8 times more keys than lines.  Every plan finds all pairs
@@ -152,13 +199,12 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int =
         texts = materialize(texts, "line-texts")
         both = near.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a") \
             .join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
-        limit = F.floor(F.greatest(F.length("ta"), F.length("tb")) * (100 - edit_percent) / 100).cast("int")
-        return materialize(both.withColumn("room", limit)
-                           .filter(F.expr("levenshtein(ta, tb, room)") >= 0).select("a", "b"), "line-links")
+        return materialize(in_arrow(both.select("a", "b", "ta", "tb"), _similar(edit_percent), "a long, b long"),
+                           "line-links")
 
     comp = materialize(linked_components(
         keys, links, distinct.select(F.col("lid").alias("id"), "sim"),
-        lambda a, b: F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= max_hamming), "line-components")
+        lambda a, b: F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= max_hamming, chain_rounds=0), "line-components")
     grouped = distinct.join(comp, F.col("lid") == F.col("id"), "left").filter(F.col("id").isNotNull() | (F.col("n") > 1)) \
         .select("norm", "first", F.coalesce("comp", "lid").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))

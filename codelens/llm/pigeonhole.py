@@ -11,12 +11,12 @@ from ..session import materialize
 from .common import components
 
 
-CHAIN_ROUNDS = 3
+CHAIN_ROUNDS = 2
 
 
 def linked_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame,
                       close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-                      known: DataFrame | None = None) -> DataFrame:
+                      known: DataFrame | None = None, chain_rounds: int = CHAIN_ROUNDS) -> DataFrame:
     """``(id, comp)`` for every id that has a link.
 
     ``keys`` holds ``(key, id)``; two linked ids have at least one key in
@@ -26,13 +26,14 @@ def linked_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame],
     of two ids that holds for every link.
 
     First, every member of a key's group is paired with the smallest id of the
-    group.  Then, for a few rounds, the members of groups that still lie in
+    group.  Then, for ``chain_rounds`` rounds, the members of groups that still lie in
     several components are put in a pseudo-random order and neighbours from
     different components are paired.  Both give fewer pairs than members, and
     a large group of similar members is one component after them.  Last, the
     members of different components that share a key and are close are
     verified, all of them: pairs inside one component cannot change the
-    result, so no link that matters is lost."""
+    result, so no link that matters is lost.  (Where ``close`` is as sharp as
+    the link itself, the last step needs no chains before it.)"""
     w = Window.partitionBy("key").orderBy("id")
     groups = (keys.select("key", "id", F.first("id").over(w).alias("head"), F.row_number().over(w).alias("r"),
                           F.lead("id", 1).over(w).alias("n1"), F.lead("id", 2).over(w).alias("n2"))
@@ -46,13 +47,13 @@ def linked_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame],
         edges = known.union(edges)
     comp = materialize(components(edges), "pigeonhole-components")
     rest = groups.filter("three").select("key", F.col("id").alias("member"))
-    for chain in range(CHAIN_ROUNDS + 1):
+    for chain in range(chain_rounds + 1):
         placed = rest.join(comp, F.col("member") == F.col("id"), "left") \
             .select("key", "member", F.coalesce("comp", "member").alias("comp"))
         split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
             .filter("lo != hi").select("key")
         rest = materialize(placed.join(split, "key", "left_semi").distinct(), "pigeonhole-rest")
-        if chain == CHAIN_ROUNDS or rest.isEmpty():
+        if chain == chain_rounds or rest.isEmpty():
             break
         w = Window.partitionBy("key").orderBy(F.xxhash64("member", F.lit(chain)), "member")
         pairs = rest.select(F.lag("member").over(w).alias("p"), "member", F.lag("comp").over(w).alias("cp"), "comp") \

@@ -189,7 +189,7 @@ def brute_lines(rows):
             if len(w) >= fuzzy_lines.MIN_WORDS:
                 key = b" ".join(w)
                 occ[key].append((d is None, d, no))
-                sim[key] = int(fuzzy_lines.simhashes(hasher(w), np.array([len(w)]))[0])
+                sim[key] = int(fuzzy_lines.simhashes(hasher(sorted(set(w))), np.array([len(set(w))]))[0])
     keys = list(occ)
 
     def distance(a, b):
@@ -210,7 +210,7 @@ def brute_lines(rows):
     group = union_find(range(len(keys)), links)
     first = {}
     for i, k in enumerate(keys):
-        first[group[i]] = min([first[group[i]]] * (group[i] in first) + occ[k])
+        first[group[i]] = min(([first[group[i]]] if group[i] in first else []) + occ[k])
     return {(d, no) for i, k in enumerate(keys) for _, d, no in occ[k] if (d is None, d, no) != first[group[i]]}, len(links)
 
 
