@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed; a run found at more than
-one place stays at its first place, and at every other place the sentences
-that it covers go.
+Every run of one to three consecutive sentences with enough words is looked
+for; a run found at more than one place stays at its first place, and at every
+other place the sentences that it covers go.
 """
 
 from __future__ import annotations
@@ -40,10 +40,31 @@ def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
+def shortest_runs(words: list[int], run: int, min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest run with ``min_words`` words from every
+    sentence on and up to every sentence, of at most ``run`` sentences.
+
+    They stand for all runs of 1 to ``run`` sentences with that many words:
+    each sentence of such a run lies in one of the shortest runs inside it,
+    and these are repeated wherever the longer run is."""
+    found = set()
+    for step in (1, -1):
+        for i in range(len(words)):
+            n, j = 0, i
+            while 0 <= j < len(words) and abs(j - i) < run:
+                n += words[j]
+                if n >= min_words:
+                    found.add((min(i, j), max(i, j)))
+                    break
+                j += step
+    return sorted(found)
+
+
 def _runs(run: int, min_words: int, flush: int = 1 << 15):
-    """One row per run: 128-bit hash, document, number of the run, offsets."""
-    names = ["h1", "h2", "doc_id", "th", "run", "start", "stop"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    """One row per run: 128-bit hash, document, numbers of the first and the
+    last sentence, offsets."""
+    names = ["h1", "h2", "doc_id", "th", "run", "last", "start", "stop"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
@@ -52,12 +73,10 @@ def _runs(run: int, min_words: int, flush: int = 1 << 15):
         rows = []
         for doc_id, th, text in rows_of(batches, "doc_id", "th", "text"):
             s = sentences(text) if text else []
-            for i in range(len(s) - run + 1):
-                part = s[i:i + run]
-                if sum(x[3] for x in part) < min_words:
-                    continue
+            for i, j in shortest_runs([x[3] for x in s], run, min_words):
+                part = s[i:j + 1]
                 h = xxhash.xxh3_128_intdigest(b"\n".join([x[2] for x in part]))
-                rows.append((signed(h >> 64), signed(h & (1 << 64) - 1), doc_id, th, i, part[0][0], part[-1][1]))
+                rows.append((signed(h >> 64), signed(h & (1 << 64) - 1), doc_id, th, i, j, part[0][0], part[-1][1]))
             if len(rows) >= flush:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                 rows = []
@@ -69,10 +88,10 @@ def _runs(run: int, min_words: int, flush: int = 1 << 15):
 def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """Maximal spans to remove: ``doc_id, th, start, stop, first_doc_id``.
 
-    A run of ``run`` sentences with at least ``min_words`` words is repeated
-    when it occurs at several places; the place with the smallest (doc_id,
-    number of the run) is the first one, rows without an id come last.
-    Overlapping and touching spans are one; ``first_doc_id`` is the smallest
+    A run of 1 to ``run`` sentences with at least ``min_words`` words is
+    repeated when it occurs at several places; the place with the smallest
+    (doc_id, number of its first sentence) is the first one, rows without an
+    id come last.  Overlapping and touching spans are one; ``first_doc_id`` is the smallest
     document that holds the first copy of one of its runs.  ``th`` tells
     texts that share an id apart.  Null, empty and short texts have no runs,
     equal rows have equal spans, an empty table gives no rows.
@@ -83,17 +102,17 @@ def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .withColumn("th", F.xxhash64("text"))
     runs = in_arrow(docs, _runs(run, min_words),
-                           "h1 long, h2 long, doc_id long, th long, run int, start int, stop int")
+                           "h1 long, h2 long, doc_id long, th long, run int, last int, start int, stop int")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "run")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")) \
         .filter(F.col("first") != F.col("last")).select("h1", "h2", "first")
     firsts = materialize(firsts, "span-firsts")
     hits = runs.join(firsts, ["h1", "h2"]).filter(place != F.col("first")) \
-        .select("doc_id", "th", "start", "stop", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    w = Window.partitionBy("doc_id", "th").orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    # a gap of more than white space cannot lie between touching sentences of one document
-    islands = hits.withColumn("new", (reach.isNull() | (F.col("start") > reach + 1)).cast("int")) \
+        .select("doc_id", "th", "run", "last", "start", "stop", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    w = Window.partitionBy("doc_id", "th").orderBy("run", "last")
+    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # between a sentence and the next one there is only white space
+    islands = hits.withColumn("new", (reach.isNull() | (F.col("run") > reach + 1)).cast("int")) \
         .withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("doc_id", "th", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id")) \

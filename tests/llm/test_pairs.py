@@ -306,3 +306,35 @@ def test_sentence_spans(spark):
     # every passage is left whole in one place
     assert all(sum(p in (x or "") for x in clean.values()) == 1 for p in passages)
     assert sentence_spans.repeated_spans(df.limit(0)).count() == 0
+
+
+def test_short_runs_of_sentences(spark):
+    """Passages of one and two sentences, passages cut at both ends, and whole
+    texts of fewer than three sentences."""
+    rng = random.Random(10)
+    words = lambda n: " ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(n))
+    one, two = words(60) + ".", f"{words(52)}. {words(8)}."
+    inner = f"{words(16)}. {words(18)}."
+    rows = [(1, f"{words(9)}. {one} {words(7)}."), (2, f"{words(5)}.  {one}  {words(8)}."),
+            (3, f"{words(6)}. {two} {words(9)}."), (4, f"{words(9)}.\n{two}\n{words(6)}."),
+            (5, f"{words(4)} {(cut := words(9))}. {inner} {(rest := words(9))} {words(5)}."),
+            (6, f"{words(3)} {cut}. {inner} {rest} {words(2)}."),
+            (7, (bare := words(55))), (8, bare), (9, (whole := f"{words(9)}. {words(8)}.")), (10, whole),
+            (11, (few := words(14))), (12, few)]
+    got = {r.doc_id: (r.start, r.stop, r.first_doc_id) for r in sentence_spans.repeated_spans(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    want = {d: (text[d].index(x), text[d].index(x) + len(x), d - 1)
+            for d, x in ((2, one), (4, two), (6, inner), (8, bare), (10, whole))}
+    assert got == want
+
+
+def test_shortest_runs_stand_for_all_runs():
+    rng = random.Random(11)
+    for _ in range(300):
+        n = [rng.randint(1, 20) for _ in range(rng.randint(0, 7))]
+        shortest = sentence_spans.shortest_runs(n, 3, 15)
+        for i in range(len(n)):
+            for j in range(i, min(i + 3, len(n))):
+                if sum(n[i:j + 1]) >= 15:
+                    assert {x for a, b in shortest if i <= a and b <= j for x in range(a, b + 1)} == set(range(i, j + 1))
