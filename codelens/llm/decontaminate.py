@@ -3,7 +3,7 @@
 The benchmark is the small side: its items are read in shards of bounded size,
 each shard is an inverted index that is broadcast, and every passage of every
 training text is a query against it.  Items above the score threshold are
-verified by question, answer and shingle overlap.
+verified by question and answer overlap and by their words' order.
 """
 
 from __future__ import annotations
@@ -56,6 +56,31 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set:
     return set(zip(*[words[j:] for j in range(k)])) if len(words) >= k else {tuple(words)} if words else set()
 
 
+def edits_inside(part: list[bytes], passage: list[bytes]) -> int:
+    """Fewest words to insert, delete or change that turn ``part`` into some
+    stretch of ``passage`` (Myers, one bit per word)."""
+    if not part:
+        return 0
+    at: dict = {}
+    for i, w in enumerate(part):
+        at[w] = at.get(w, 0) | 1 << i
+    every, top = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    more, less, distance, best = every, 0, len(part), len(part)
+    for w in passage:
+        here = at.get(w, 0)
+        level = (((here & more) + more) ^ more) | here
+        up, down = less | (every & ~(level | more)), more & level
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+            best = min(best, distance)
+        kept = here | less
+        up, down = (up << 1) & every, (down << 1) & every
+        more, less = down | (every & ~(kept | up)), up & kept
+    return best
+
+
 def document_frequencies(benchmark: DataFrame) -> DataFrame:
     """(word, df) over all items, by the same word rule as :func:`words_of`."""
     clean = F.regexp_replace(F.translate(F.col("text"), ascii_uppercase, ascii_lowercase),
@@ -69,7 +94,7 @@ def document_frequencies(benchmark: DataFrame) -> DataFrame:
 class Shard:
     """BM25 index of a block of items, scores as shares of the item's own."""
     ids: list
-    parts: list          # (question words, answer words, shingles) as sets
+    parts: list          # (question words, answer words, shingles)
     vocabulary: dict     # word -> term number
     postings: list       # term -> [(item, share)], item order
     block_max: list      # term -> {item // _BLOCK: largest share}
@@ -91,7 +116,7 @@ class Shard:
                     tf + K1 * (1 - B + B * length / mean_length))
             total = sum(own.values())
             q, a = question_and_answer(text)
-            ids.append(item_id), parts.append((set(q), set(a), shingles(words)))
+            ids.append(item_id), parts.append((q, a, shingles(words)))
             contributions.append({t: s / total for t, s in own.items()})
         per_super = max(1, -(-len(ids) // _SUPERBLOCKS))
         bounds = np.zeros((len(vocabulary) + 1, -(-max(1, len(ids)) // per_super)), np.float32)
@@ -184,11 +209,26 @@ class Shard:
             for item, share in self.wand(term[heads[row]:ends[row]].tolist(), low, low + self.per_super, theta):
                 question, answer, grams = self.parts[item]
                 have = set(passage)
-                q = len(question & have) / len(question) if question else 1.0
-                a = len(answer & have) / len(answer) if answer else 1.0
-                if min(q, a) * 100 >= overlap and 100 * len(grams & shingles(passage)) >= overlap * len(grams):
+                q = len(have.intersection(question)) / len(set(question)) if question else 1.0
+                a = len(have.intersection(answer)) / len(set(answer)) if answer else 1.0
+                if min(q, a) * 100 >= overlap and self.in_order(item, passage, overlap):
                     yield d, item, share, start, q, a
 
+    def in_order(self, item: int, passage: list[bytes], overlap: int) -> bool:
+        """Whether the passage has the item's words in its order: enough of
+        its shingles, which are as long as an item of fewer than ``SHINGLE``
+        words, or, of a longer one, question and answer with few enough words
+        changed."""
+        question, answer, grams = self.parts[item]
+        n = len(question) + len(answer)
+        if 100 * len(grams & shingles(passage, min(SHINGLE, n))) >= overlap * len(grams):
+            return True
+        if n < SHINGLE:
+            return False
+        room = n * (100 - overlap) // 100
+        used = edits_inside(question, passage)
+        return used <= room and used + edits_inside(answer, passage) <= room
+
 
 def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
     """Indexes of consecutive blocks of items, each of at most ``shard_chars``

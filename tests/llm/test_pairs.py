@@ -338,3 +338,39 @@ def test_shortest_runs_stand_for_all_runs():
             for j in range(i, min(i + 3, len(n))):
                 if sum(n[i:j + 1]) >= 15:
                     assert {x for a, b in shortest if i <= a and b <= j for x in range(a, b + 1)} == set(range(i, j + 1))
+
+
+def test_leaks_of_short_and_changed_items(spark):
+    """Items of fewer than five words inside longer texts, and items of 5 to
+    28 words with one word changed."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=8))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    items = [(n, filler(n)) for n in [*range(2, 5), *range(9, 29)]]
+    docs, want = [], set()
+    for n, text in items:
+        t = text.split(" ")
+        if n >= 9:
+            t[n // 3] = "changed"
+        docs.append((n, f"{filler(40)} {' '.join(t)} {filler(60)}"))
+        want.add((n, n))
+        docs.append((100 + n, f"{filler(9)} {' '.join(f'{x} {filler(2)}' for x in t)} {filler(9)}"))
+    # the answer some words behind the question
+    items.append((90, "\n".join((question := filler(9), answer := filler(2)))))
+    docs.append((90, f"{filler(20)} {question} {filler(6)} {answer} {filler(20)}"))
+    want.add((90, 90))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_edits_inside_equals_table():
+    rng = random.Random(13)
+    for _ in range(300):
+        part, passage = rng.choices(range(6), k=rng.randint(0, 9)), rng.choices(range(6), k=rng.randint(0, 20))
+        row = [0] * (len(passage) + 1)
+        for i, x in enumerate(part, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(passage, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert decontaminate.edits_inside(part, passage) == min(row)
