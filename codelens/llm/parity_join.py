@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import byte_words, in_arrow
+from .common import byte_words, fresh, in_arrow
 from .hashing import U64, WordHasher, mix64, rows_of, shingle_hashes
 from .pigeonhole import linked_components
 
@@ -273,10 +273,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
 def distinct_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
-    id, all columns unchanged.  Rows that share an id are one document, of
-    which one row stays; rows without an id have no component and all stay."""
-    comp = jaccard_components(docs, k, percent)
-    gone = comp.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
-    named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter(F.col("doc_id").isNull()))
+    id, all columns unchanged.  A document is an id with a text: of rows that
+    share both one stays, rows that share an id alone are linked only if
+    their texts are.  Rows without an id have no component and all stay."""
+    v, low = fresh(docs, "vertex"), fresh(docs, "kept")
+    named = docs.withColumn(v, F.when(F.col("doc_id").isNotNull(), F.xxhash64(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"))))
+    comp = jaccard_components(named.select(F.col(v).alias("doc_id"), "text"), k, percent) \
+        .filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("vertex"), "component_id").distinct()
+    ids = named.filter(F.col(v).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(v).alias("vertex")).distinct()
+    kept = ids.join(comp, "vertex").groupBy("component_id") \
+        .agg(F.min(F.struct("id", "vertex"))["vertex"].alias(low)).select(low)
+    left = named.join(kept, F.col(v) == F.col(low), "left_semi").dropDuplicates([v])
+    return left.unionByName(named.filter(F.col(v).isNull())).drop(v)

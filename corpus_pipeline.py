@@ -31,8 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each component stays."""
-    return distinct_documents(docs)
+    """Operator 3 on shingles of five words, Jaccard >= 0.8: one document of
+    each component stays."""
+    return distinct_documents(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
