@@ -39,7 +39,9 @@ INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em fon
 ruby s samp small span strike strong sub sup time tt u var wbr""".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head template svg math object select button option datalist canvas audio video map".split()) | RAW
+HIDDEN = frozenset("head template select button option datalist canvas audio video map".split()) | RAW
+# Start tags that leave an open head open; any other one, and text, ends it.
+IN_HEAD = frozenset("base head link meta noscript script style template title".split())
 # Start tags that end an open element of the given kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"),
           "th": ("td", "th"), "thead": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead"),
@@ -123,6 +125,8 @@ def parse(html: str) -> Page:
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at:m.start() if m else end]
+        if page.tag[stack[-1]] == "head" and text.strip("\ufeff \t\r\n\f"):
+            close(len(stack) - 1)
         if text and not hidden:
             parts.append(text)
             if in_link:
@@ -133,6 +137,8 @@ def parse(html: str) -> Page:
         if not (name := m[2] or m[5]):
             continue
         closing, tag, attributes = m[1] or m[4], name.lower(), m[3] or m[6] or ""
+        if page.tag[stack[-1]] == "head" and not closing and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in INLINE:
             in_link = (not closing) if tag == "a" else in_link
             continue

@@ -190,3 +190,18 @@ def test_evidence_beyond_the_text(spark):
     none = language.identify(language.evidence_rows(pages=df), *language.train(labelled.limit(0))).collect()
     assert len(none) == len(rows) and {r.lang for r in none} == {None}
     assert language.identify(language.evidence_rows(pages=df.limit(0)), *language.train(labelled)).count() == 0
+
+
+def test_html_open_head_and_embedded_text():
+    """A head without its end tag ends at the body, at the first element of
+    the page or at its first text; formulas, drawings and objects have text."""
+    model = html_text.Model({})
+    story = "The first sentence of the story is here, and it is long. The second one follows at once, as it should."
+    for start in ("<html><head><title>T</title><meta charset=utf-8><body><article>", "<head><title>T</title><article>",
+                  "<head><style>p {}</style></head><body><article>", "<head><link rel=x><b>Bold</b><article>"):
+        text = model.text(f"{start}<p>{story}</p><p>{story}</p></article>")
+        assert text.endswith(f"{story}\n\n{story}") and "T" not in text.replace("The", ""), start
+    text = model.text(f"<body><article><p>{story}</p><math><mi>energy</mi></math><svg><text>drawing</text></svg>"
+                      f"<object>instead</object><p>{story}</p><script>no()</script><select><option>never</select></article>")
+    assert [x for x in ("energy", "drawing", "instead") if x not in text] == []
+    assert "never" not in text and "no()" not in text
