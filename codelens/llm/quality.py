@@ -93,7 +93,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         kept_chars("A-Z").alias("n_upper"), kept_chars("0-9").alias("n_digits"), kept_chars("!").alias("n_exclaim"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
-    d = _repeated_words(d, "w", "n_repeat_words").drop("w")
+    d = _repeated_words(d, "w", "n_repeat_words")
+    # The counts leave this step as one value that no filter may be pushed
+    # below: a caller's filter on a verdict would rebuild every array in it.
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_digits",
+                      "n_exclaim", "n_distinct", "n_repeat_words")
+    d = d.select("doc_id", F.when(F.monotonically_increasing_id() >= 0, counts).alias("c")).select("doc_id", "c.*")
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return d.select(

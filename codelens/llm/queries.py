@@ -79,9 +79,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang", "confidence", "text_lang", "declared", "host")
 
 
+def op11_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from .simhash_copies import near_copies
+    return near_copies(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join, op4_decontaminate, op5_fuzzy_lines,
                                    op6_mix_sources, op7_sentence_spans, op8_html_text, op9_context_mixing,
-                                   op10_language)}
+                                   op10_language, op11_simhash_copies)}
 
 # Words as in the contracts: runs of anything but the ASCII blanks.
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

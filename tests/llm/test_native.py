@@ -129,6 +129,18 @@ def test_quality_counts_on_documents(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_filters_stay_above_the_arrays(spark):
+    """A caller's filter must not be pushed into the array steps, where it
+    would rebuild each array once per element."""
+    docs = spark.createDataFrame([(i, "a b c d " * 20 if i % 2 else f"w{i} x y") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    judged = quality.quality_rules(docs, labels)
+    for condition in ("kept", "base_failed", "rule IS NULL", "n_repeat_words > 3 OR n_dup_lines > 1"):
+        plan = judged.filter(condition)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("xxhash64(") <= 1 and plan.count("split(") <= 2, condition
+    assert judged.filter("n_repeat_words > 3").count() == 20
+
+
 def test_learned_rules_generalise(spark):
     rng = random.Random(2)
 
