@@ -6,13 +6,12 @@ its word shingles.  Fingerprints within ``MAX_HAMMING`` bits link.  Cut into
 whole blocks, so they share one of the keys made of ``e`` blocks each.
 
 The graph is built on distinct fingerprints: equal ones are one point, however
-many documents have them.  A key's points are first compared with a few heads
-of the key (one pair per point and head).  Keys whose points still lie in
-several components are then either small, and all their points from different
-components are compared, or large, and their points go on to a finer key with
-more equal blocks.  The finest key fixes 52 of the 64 bits, which at most
-4,096 distinct fingerprints can share.  Every step finds all links among the
-points it takes, so none is lost.
+many documents have them.  The points of a small key are all compared.  Those
+of a large one are compared with a few heads (one pair per point and head);
+where they still lie in several components, they go on to finer keys with more
+equal blocks.  The finest key fixes 52 of the 64 bits, which at most 4,096
+distinct fingerprints can share.  A linked pair thus meets in a small key, in
+a finer one, or inside one component: no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ SHINGLE = 3
 MAX_HAMMING = 3
 SEED = 42
 # Points of one key that are compared with each other directly.
-SMALL_KEY = 64
+SMALL_KEY = 32
 # Equal blocks of the keys that follow the first one.
 FINER = (5, 13)
 # Shingles whose hashes are held at a time.
@@ -113,7 +112,7 @@ def hamming_components(points: DataFrame, max_hamming: int = MAX_HAMMING, small:
 
     left = points.select("point", "weight")
     first = first_equal(left.count(), max_hamming)
-    edges = comp = None
+    comp = None
     for same in [first, *[e for e in FINER if e > first]]:
         keyed = left.select("point", "weight", F.explode(block_keys(F.col("point"), max_hamming, same)).alias("key"))
         heads = (keyed.groupBy("key").agg(
@@ -122,27 +121,25 @@ def hamming_components(points: DataFrame, max_hamming: int = MAX_HAMMING, small:
             F.min(F.struct(F.xxhash64("point", F.lit(same)).alias("r"), F.col("point").alias("p")))["p"].alias("h2"))
             .filter("n > 1"))
         shared = materialize(keyed.join(heads, "key"), "simhash-shared")
-        found = shared.select("point", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("head")) \
-            .filter((F.col("point") != F.col("head")) & close("point", "head")) \
-            .select(F.least("point", "head").alias("a"), F.greatest("point", "head").alias("b")).distinct()
-        edges = materialize(found if edges is None else edges.union(found), "simhash-links")
-        comp = materialize(components(edges), "simhash-components")
-        placed = shared.select("key", "point", "weight", "n").join(comp, F.col("point") == F.col("id"), "left") \
-            .select("key", "point", "weight", "n", F.coalesce("comp", "point").alias("comp"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .filter("lo != hi").select("key")
-        placed = materialize(placed.join(split, "key", "left_semi"), "simhash-split")
         last = same == FINER[-1]
-        few = placed if last else placed.filter(F.col("n") <= small)
-        side = lambda x: few.select("key", F.col("point").alias(x), F.col("comp").alias(f"c{x}"))  # noqa: E731,B023
-        found = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                                        & close("a", "b")).select("a", "b").distinct()
-        found = materialize(found, "simhash-links")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            comp = materialize(components(edges), "simhash-components")
-        left = placed.filter(F.col("n") > small).select("point", "weight").distinct()
-        if last or left.isEmpty():
+        few = F.lit(True) if last else F.col("n") <= small
+        side = lambda x: shared.filter(few).select("key", F.col("point").alias(x))  # noqa: E731,B023
+        links = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & close("a", "b")).select("a", "b")
+        many = shared.filter(~few)
+        links = links.union(
+            many.select("point", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("head"))
+            .filter((F.col("point") != F.col("head")) & close("point", "head")).select("point", "head"))
+        if comp is not None:
+            # what is known already, as one edge per point
+            links = links.union(comp.filter("id != comp").select("id", "comp"))
+        comp = materialize(components(links), "simhash-components")
+        if last:
+            break
+        placed = many.join(comp, F.col("point") == F.col("id"), "left") \
+            .select("key", "point", "weight", F.coalesce("comp", "point").alias("comp"))
+        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+        left = materialize(placed.join(split, "key", "left_semi").select("point", "weight").distinct(), "simhash-left")
+        if left.isEmpty():
             break
     return comp
 
