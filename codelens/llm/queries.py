@@ -85,9 +85,15 @@ def op11_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive of the embeddings."""
+    from .hard_negatives import hard_negatives
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join, op4_decontaminate, op5_fuzzy_lines,
                                    op6_mix_sources, op7_sentence_spans, op8_html_text, op9_context_mixing,
-                                   op10_language, op11_simhash_copies)}
+                                   op10_language, op11_simhash_copies, op12_hard_negatives)}
 
 # Words as in the contracts: runs of anything but the ASCII blanks.
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -130,6 +136,21 @@ _MIX_SQL = f"""WITH d AS (SELECT doc_id, source, {_SIZE} AS size,
     SELECT doc_id, cast(size AS BIGINT) AS size, cast(source_size AS BIGINT) AS source_size, target,
         cast(copies * size AS BIGINT) AS taken, cast(copies AS BIGINT) AS copies FROM a"""
 
+_NEGATIVES_SQL = """WITH f AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    a AS (SELECT * FROM f WHERE vec_id % 50 = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, f.vec_id, f.label,
+        cast(list_dot_product(a.v, f.v) AS BIGINT) AS score FROM a, f WHERE a.vec_id != f.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, cast(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+        positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+    WHERE s.label != s.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+    QUALIFY row_number() OVER w <= 3
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)"""
+
 # The other operators have no SQL form: hashed sketches, learned models and
 # graph components are tested against brute force (tests/llm).
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": _MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": _MIX_SQL, "op12_hard_negatives": _NEGATIVES_SQL}
