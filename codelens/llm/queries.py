@@ -91,9 +91,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of two and three words, the first 2000 per language."""
+    from .phrases import phrases
+    return phrases(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_parity_join, op4_decontaminate, op5_fuzzy_lines,
                                    op6_mix_sources, op7_sentence_spans, op8_html_text, op9_context_mixing,
-                                   op10_language, op11_simhash_copies, op12_hard_negatives)}
+                                   op10_language, op11_simhash_copies, op12_hard_negatives,
+                                   op13_phrases)}
 
 # Words as in the contracts: runs of anything but the ASCII blanks.
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -148,9 +155,38 @@ _NEGATIVES_SQL = """WITH f AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (lab
     SELECT anchor_id, positive_id, cast(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
         positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
     WHERE s.label != s.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
-    QUALIFY row_number() OVER w <= 3
-    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)"""
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+    QUALIFY row_number() OVER w <= 3"""
+
+_PHRASES_SQL = """WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+    p AS (SELECT lang, d, unnest(range(len(pieces))) AS i, unnest(pieces) AS piece FROM t),
+    e AS (SELECT lang, d, i, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    x AS (SELECT lang, d, i, unnest(range(len(w))) AS j, unnest(w) AS w1 FROM e),
+    y AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM x
+        WINDOW o AS (PARTITION BY d, i ORDER BY j)),
+    g AS (SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM y GROUP BY 1, 3
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM y WHERE w2 IS NOT NULL GROUP BY 1, 3
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM y WHERE w3 IS NOT NULL GROUP BY 1, 3),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
+    c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m >= 2 AND f >= 10),
+    k AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:m], ' ') AS rp
+        FROM c, (VALUES (1), (2)) s(k) WHERE k < m),
+    s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.f AS l, y.f AS r,
+        (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score FROM k
+        JOIN g x ON x.lang = k.lang AND x.phrase = k.lp AND x.m = k.k
+        JOIN g y ON y.lang = k.lang AND y.phrase = k.rp AND y.m = k.m - k.k),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    o AS (SELECT lang, part, max(a) AS around FROM
+        (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE m = 3)
+        GROUP BY 1, 2),
+    r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+        LEFT JOIN o ON o.lang = b.lang AND o.part = b.phrase AND b.m = 2 WHERE o.around IS NULL OR 100 * o.around < 50 * b.a)
+    SELECT r.lang, rank, phrase, a, l, r AS r, n.n, cast(score AS BIGINT) AS score
+    FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
 
 # The other operators have no SQL form: hashed sketches, learned models and
 # graph components are tested against brute force (tests/llm).
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": _MIX_SQL, "op12_hard_negatives": _NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": _MIX_SQL, "op12_hard_negatives": _NEGATIVES_SQL,
+                              "op13_phrases": _PHRASES_SQL}
