@@ -47,14 +47,23 @@ SPREAD = 8
 # Largest bitmap of frequent n-grams, in bits.
 BITMAP_BITS = 1 << 27
 
-_PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+# All separators become one: it can't be part of a word.
+_MARK = b"."
+_PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", _MARK * 9)
 _ID_BITS = 21
 
 
 def tokens(text) -> list[bytes]:
-    """Words, A-Z lower-cased, with ``\\n`` between the pieces."""
-    flat = text.encode("utf-8", "surrogatepass").lower().translate(_PIECES)
-    return [w for w in flat.replace(b"\n", b" \n ").split(b" ") if w]
+    """Words, A-Z lower-cased, with marks between the pieces."""
+    return text.encode("utf-8", "surrogatepass").lower().translate(_PIECES).replace(_MARK, b" . ").split()
+
+
+class _Numbers(dict):
+    """Words in order of appearance; the mark is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class CountAutomaton:
@@ -74,19 +83,17 @@ class CountAutomaton:
         """From distinct ``grams`` (rows of word numbers) in sorted order."""
         prefix = grams[:, :-1]
         heads = np.append(0, np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1)) + 1) if len(grams) else np.empty(0, int)
-        stops = np.append(heads[1:], len(grams)).astype(np.int64)
-        labels, counts = grams[:, -1].astype(np.uint32), weights.astype(np.int64)
-        register: dict[tuple, int] = {}
-        state, starts, keep = np.empty(len(heads), np.int64), [0], []
-        for i, (a, b) in enumerate(zip(heads.tolist(), stops.tolist())):
-            arcs = labels[a:b].tobytes(), counts[a:b].tobytes()
-            s = register.setdefault(arcs, len(register))
-            state[i] = s
-            if s == len(starts) - 1:
-                starts.append(starts[-1] + b - a)
-                keep.append((a, b))
-        chosen = np.concatenate([np.arange(a, b) for a, b in keep]) if keep else np.empty(0, int)
-        return cls(words, prefix[heads], state, np.array(starts), labels[chosen], counts[chosen])
+        n = np.diff(np.append(heads, len(grams))).astype(np.int64)
+        arcs = np.column_stack([grams[:, -1], weights]).astype(np.int64)
+        raw, register, state = arcs.tobytes(), {}, []
+        for a, b in zip((16 * heads).tolist(), (16 * (heads + n)).tolist()):
+            state.append(register.setdefault(raw[a:b], len(register)))
+        # a state's arcs are those of the first prefix that leads to it
+        first = np.unique(state, return_index=True)[1] if state else np.empty(0, int)
+        chosen = np.zeros(len(heads), bool)
+        chosen[first] = True
+        arcs = arcs[np.repeat(chosen, n)]
+        return cls(words, prefix[heads], np.array(state, np.int64), np.append(0, np.cumsum(n[chosen])), arcs[:, 0], arcs[:, 1])
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """All n-grams as rows of word numbers, and their weights."""
@@ -163,15 +170,13 @@ class _Shard:
     """Tokens of one language until the shard is full."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {b"\n": 0}
+        self.number = _Numbers({_MARK: 0})
         self.ids: list[np.ndarray] = []
         self.new: list[np.ndarray] = []
 
     def add(self, words: list[bytes], n_old: int = 0) -> None:
         """``n_old``: leading words that an earlier shard has counted."""
-        number = self.number
-        self.ids += [np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words)),
-                     np.zeros(1, np.int64)]
+        self.ids += [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
         self.new.append(np.arange(len(words) + 1) >= n_old)
 
     def slices(self, lang: str, sizes: list[int], n_ranges: int, frequent) -> Iterator[tuple]:
@@ -280,9 +285,8 @@ def _unite(min_count: int, flush: int = 1 << 16, merge_at: int = 1 << 22):
         rows, weights = rows[often], weights[often]
         hashes = _hash_words(words)
         hashed = gram_hash(lang, [hashes[c] for c in rows.T]).astype(np.int64).tolist() if len(rows) else []
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
         for row, f, h in zip(rows.tolist(), weights.tolist(), hashed):
-            yield lang, size, " ".join([texts[i] for i in row]), f, h
+            yield lang, size, b" ".join([words[i] for i in row]).decode("utf-8", "surrogatepass"), f, h
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         key, parts, arcs, rows = None, [], 0, []

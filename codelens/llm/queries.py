@@ -144,9 +144,9 @@ _MIX_SQL = f"""WITH d AS (SELECT doc_id, source, {_SIZE} AS size,
         cast(copies * size AS BIGINT) AS taken, cast(copies AS BIGINT) AS copies FROM a"""
 
 _NEGATIVES_SQL = """WITH f AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
         WHERE label IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     a AS (SELECT * FROM f WHERE vec_id % 50 = 0),
     s AS (SELECT a.vec_id AS anchor_id, a.label AS own, f.vec_id, f.label,
         cast(list_dot_product(a.v, f.v) AS BIGINT) AS score FROM a, f WHERE a.vec_id != f.vec_id),
