@@ -1,11 +1,17 @@
 """Retrieval: exact vector top-k, BM25 index / score / top-n,
 reciprocal-rank fusion and hybrid search, for a whole table of queries.
 
-Exact kNN never forms a query x corpus cross join.  Queries and corpus rows
-are hashed into blocks of bounded bytes; each (query block, corpus block) pair
-meets in one ``cogroup`` task that computes the distances tile by tile with
-numpy and emits only the k best rows per query.  A final ``row_number() <= k``
-merges at most ``k x corpus blocks`` rows per query.
+Exact kNN never forms a query x corpus cross join.  Corpus rows belong to the
+cell of their nearest centre; a query first searches the nearest cells that
+hold k rows, which bounds its kth distance, and then only the cells that the
+triangle inequality leaves in reach.  Queries meet the rows of a cell in
+``cogroup`` tasks of bounded size that compute the distances tile by tile with
+numpy and emit only the k best rows per query.  A final ``row_number() <= k``
+merges them.
+
+BM25 top-n scores only documents that can reach the list: a first pass over
+each query's strongest term sets a score to beat, and a second one scores the
+blocks of documents whose largest term impacts add up to it.
 """
 
 from __future__ import annotations
@@ -35,6 +41,17 @@ HYBRID_LIMIT = 8
 KNN_BLOCK_BYTES = 32 << 20
 KNN_MIN_CORPUS_BLOCK = 512
 _TILE_BYTES = 16 << 20
+# Up to so many (query, row) pairs cells are not worth their jobs.
+KNN_DIRECT_PAIRS = 1 << 17
+# Bound on the centres that tasks hold (count, and bytes as float64).
+KNN_MAX_CELLS = 1024
+KNN_CENTRE_BYTES = 16 << 20
+
+# BM25: documents of one block, and the postings from which blocks are used.
+BM25_BLOCK_DOCS = 64
+BM25_BOUND_POSTINGS = 1 << 16
+# Slack of bounds against rounding of sums in another order.
+_SLACK = 1e-9
 
 
 # ---------------------------------------------------------------------------
@@ -99,8 +116,9 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     either side.  ``exclude_self`` drops corpus rows whose id equals the query
     id.
 
-    Queries and corpus rows are hashed into blocks of at most about
-    ``KNN_BLOCK_BYTES``; each pair of blocks meets in one task.
+    Few pairs are compared block by block; beyond ``KNN_DIRECT_PAIRS`` the
+    corpus is cut into cells (:class:`Cells`) and only (query, cell) pairs
+    that the triangle inequality cannot rule out are compared.
     """
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv")).filter(F.col("_qv").isNotNull())
@@ -117,21 +135,135 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
         return spark.createDataFrame([], out_schema).withColumn(rank_col, F.lit(1))
     dim = dim or sizes[1]["_dim"]
     q, c = q.filter(valid_vector("_qv", dim)), c.filter(valid_vector("_cv", dim))
+    nq, nc = sizes[0]["_n"], sizes[1]["_n"]
+    if nq * nc <= KNN_DIRECT_PAIRS:
+        partial = _all_blocks(q, c, nq, nc, dim, _knn_block_fn(k, exclude_self), out_schema)
+    else:
+        partial = Cells(c, nc, dim).nearest(q, k, exclude_self, out_schema)
+    ranked = top_k(partial, ["query_id"], [F.col("dist"), F.col("id")], k, rank_col)
+    return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
+
+
+def _all_blocks(q: DataFrame, c: DataFrame, nq: int, nc: int, dim: int, fn, schema) -> DataFrame:
+    """Every pair of a query block and a corpus block, each of at most about
+    ``KNN_BLOCK_BYTES``, in one task."""
     block = max(1, KNN_BLOCK_BYTES // (8 * max(dim, 1)))
-    qb = max(1, math.ceil(sizes[0]["_n"] / block))
+    qb = max(1, math.ceil(nq / block))
     # at least one corpus block per core, of no fewer rows than worth a task
-    cb = max(math.ceil(sizes[1]["_n"] / block),
-             min(max(1, spark.sparkContext.defaultParallelism // qb), math.ceil(sizes[1]["_n"] / KNN_MIN_CORPUS_BLOCK)), 1)
+    cb = max(math.ceil(nc / block), min(max(1, q.sparkSession.sparkContext.defaultParallelism // qb),
+                                        math.ceil(nc / KNN_MIN_CORPUS_BLOCK)), 1)
 
     def place(df, own, n_own, other, n_other, key):
         """Own block by hash, one copy per block of the other side."""
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("long")) \
             .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-    partial = place(q, "_qb", qb, "_cb", cb, "_qid").groupBy("_qb", "_cb") \
-        .cogroup(place(c, "_cb", cb, "_qb", qb, "_cid").groupBy("_qb", "_cb")) \
-        .applyInPandas(_knn_block_fn(k, exclude_self), out_schema)
-    ranked = top_k(partial, ["query_id"], [F.col("dist"), F.col("id")], k, rank_col)
-    return ranked.withColumnRenamed("query_id", query_id) if query_id != "query_id" else ranked
+    return place(q, "_qb", qb, "_cb", cb, "_qid").groupBy("_qb", "_cb") \
+        .cogroup(place(c, "_cb", cb, "_qb", qb, "_cid").groupBy("_qb", "_cb")).applyInPandas(fn, schema)
+
+
+class Cells:
+    """Corpus vectors by nearest centre.
+
+    The centres are a bounded sample of the rows (lowest hash of the id), so
+    tasks can hold them.  ``rows`` is written once with ``cell`` and ``r``,
+    the distance to the centre; a cell knows how many rows it holds and
+    between which distances (at most ``KNN_MAX_CELLS`` summary rows).  A row
+    at distance r from the centre and a query at distance d are at least
+    ``|d - r|`` apart."""
+
+    def __init__(self, corpus: DataFrame, n: int, dim: int) -> None:
+        most = max(1, min(KNN_MAX_CELLS, KNN_CENTRE_BYTES // (8 * max(dim, 1)), math.isqrt(max(n, 1))))
+        finite = ~F.exists("_cv", lambda x: F.abs(x) == float("inf"))
+        drawn = corpus.filter(finite).orderBy(F.xxhash64("_cid"), "_cid").limit(most).select("_cv").collect()
+        self.dim = dim
+        self.centres = np.array([r["_cv"] for r in drawn], np.float64).reshape(len(drawn), dim) \
+            if drawn else np.zeros((1, dim))
+        centres, schema = self.centres, T.StructType([*corpus.schema.fields, T.StructField("cell", T.IntegerType()),
+                                                      T.StructField("r", T.DoubleType())])
+
+        def assign(batches):
+            for part in batches:
+                d = _distances(np.stack(part["_cv"].to_numpy()).astype(np.float64), centres) if len(part) else np.empty((0, 1))
+                # a vector without a distance to any centre is in reach of every query
+                d = np.where(np.isnan(d), np.inf, d)
+                cell = d.argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), r=d[np.arange(len(part)), cell])
+        self.rows = materialize(corpus.mapInPandas(assign, schema), "cells")
+        self.summary = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r_min"),
+                                                     F.max("r").alias("r_max")).orderBy("cell").collect()
+
+    def pairs(self, queries: DataFrame, k: int, exclude_self: bool, bounds: DataFrame | None = None) -> DataFrame:
+        """``(_qid, _qv, cell)``: without ``bounds`` the nearest cells of every
+        query until they hold k rows (one more where a query may find
+        itself); with ``bounds(_qid, bound)`` the other cells within the bound."""
+        cell, n, r_min, r_max = (np.array([r[c] for r in self.summary]) for c in ("cell", "n", "r_min", "r_max"))
+        centres, need, first = self.centres[cell], k + bool(exclude_self), bounds is None
+        qid, qv = queries.schema["_qid"], queries.schema["_qv"]
+        schema = T.StructType([qid, qv, T.StructField("cell", T.IntegerType())])
+
+        def choose(batches):
+            for part in batches:
+                if not len(part):
+                    continue
+                d = _distances(np.stack(part["_qv"].to_numpy()).astype(np.float64), centres)
+                order = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")
+                before = np.cumsum(n[order], axis=1) - n[order]
+                home = np.zeros(d.shape, bool)
+                np.put_along_axis(home, order, before < need, axis=1)
+                if first:
+                    chosen = home
+                else:
+                    with np.errstate(invalid="ignore"):
+                        least = np.maximum(np.maximum(d - r_max, r_min - d), 0)
+                    bound = part["bound"].to_numpy(np.float64)[:, None]
+                    # not "least <= bound": an unknown distance is in reach
+                    chosen = ~home & ~(least > bound * (1 + _SLACK) + _SLACK)
+                at, j = np.nonzero(chosen)
+                yield pd.DataFrame({"_qid": part["_qid"].to_numpy()[at], "_qv": part["_qv"].to_numpy()[at],
+                                    "cell": cell[j].astype(np.int32)})
+        asked = queries if first else queries.join(bounds, "_qid")
+        return asked.mapInPandas(choose, schema)
+
+    def _compare(self, pairs: DataFrame, function, schema) -> DataFrame:
+        """Queries meet the rows of their cells.  Both sides of a cell are cut
+        into blocks of bounded bytes, so a hot cell is many tasks."""
+        block = max(1, KNN_BLOCK_BYTES // (8 * max(self.dim, 1)))
+        per_cell = pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nq"))
+        grid = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nc")).join(per_cell, "cell")
+
+        def cut(df, key, own, n_own, other, n_other):
+            every = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
+            return df.join(grid, "cell").withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int")) \
+                .withColumn(other, every).drop("_nq", "_nc")
+        left, right = cut(pairs, "_qid", "_qb", "_nq", "_cb", "_nc"), cut(self.rows, "_cid", "_cb", "_nc", "_qb", "_nq")
+        return left.groupBy("cell", "_qb", "_cb").cogroup(right.groupBy("cell", "_qb", "_cb")).applyInPandas(function, schema)
+
+    def nearest(self, queries: DataFrame, k: int, exclude_self: bool, schema) -> DataFrame:
+        """``(query_id, id, dist)``, among them the k nearest of each query."""
+        if not self.summary:
+            return queries.sparkSession.createDataFrame([], schema)
+        fn = _knn_block_fn(k, exclude_self)
+        near = self._compare(self.pairs(queries, k, exclude_self), fn, schema)
+        near = materialize(top_k(near, ["query_id"], [F.col("dist"), F.col("id")], k, "_r").drop("_r"), "nearest")
+        # k distances bound the kth; with fewer every cell stays in reach
+        bounds = near.groupBy(F.col("query_id").alias("_qid")).agg(
+            F.sqrt(F.max("dist")).alias("bound"), F.count(F.lit(1)).alias("n"))
+        bounds = queries.select("_qid").distinct().join(bounds, "_qid", "left").select(
+            "_qid", F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
+        return near.unionByName(self._compare(materialize(
+            self.pairs(queries, k, exclude_self, bounds), "knn-pairs"), fn, schema))
+
+
+def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances, computed in tiles of differences: the shorter
+    form by inner products would lose digits that bounds rely on."""
+    out = np.empty((len(rows), len(centres)))
+    step = max(1, _TILE_BYTES // (8 * max(centres.size, 1)))
+    with np.errstate(invalid="ignore"):
+        for s in range(0, len(rows), step):
+            diff = rows[s:s + step, None, :] - centres[None]
+            out[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -183,11 +315,30 @@ class BM25Index:
                 "idf_raw", F.ln(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)),
                 "terms")
         self._raw_terms = terms
-        mean = terms.agg(F.avg("idf_raw")).first()[0]
+        mean, total = terms.agg(F.avg("idf_raw"), F.sum("df")).first()
         self.mean_idf = float(mean) if mean is not None else 0.0
+        self.n_postings = int(total or 0)
+        self._blocks = None
         self.terms = terms.withColumn(
             "idf", F.when(F.col("idf_raw") < 0, F.lit(BM25_EPSILON * self.mean_idf)).otherwise(F.col("idf_raw")))
 
+    def impact(self, k1: float = BM25_K1, b: float = BM25_B):
+        """What a posting adds to a score, per unit of query weight."""
+        tf = F.col("tf").cast("double")
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(self.avgdl)))
+
+    def blocks(self, k1: float = BM25_K1, b: float = BM25_B) -> tuple[DataFrame, DataFrame]:
+        """Postings ``(term, block, id, impact)`` and ``(term, block, top)``,
+        the largest impact of a term in a block of about ``BM25_BLOCK_DOCS``
+        documents; written once per index and parameters."""
+        if self._blocks is None or self._blocks[0] != (k1, b):
+            n = max(1, self.n_docs // BM25_BLOCK_DOCS)
+            rows = materialize(self.postings.select(
+                "term", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), "id", self.impact(k1, b).alias("impact")), "blocked")
+            tops = materialize(rows.groupBy("term", "block").agg(F.max("impact").alias("top")), "block-tops")
+            self._blocks = (k1, b), rows, tops
+        return self._blocks[1:]
+
     def save(self, path: str) -> None:
         """Persist the index tables (``postings/``, ``terms/``) under ``path``."""
         self._written.write.mode("errorifexists").parquet(f"{path}/postings")
@@ -223,15 +374,47 @@ def bm25_scores(index: BM25Index, queries: DataFrame, query_id: str = "query_id"
     """
     qt = query_terms(queries, query_id, text_col)
     joined = qt.join(index.terms.select("term", "idf"), "term").join(index.postings, "term")
-    tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / \
-        (tf + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    part = F.col("qtf") * F.col("idf") * index.impact(k1, b)
     return joined.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 # ---------------------------------------------------------------------------
 # BM25 top-n with zero-score fill
 # ---------------------------------------------------------------------------
+def bounded_scores(index: BM25Index, queries: DataFrame, n: int, query_id: str = "query_id",
+                   text_col: str = "query", k1: float = BM25_K1, b: float = BM25_B,
+                   slack: float = _SLACK) -> tuple[DataFrame, DataFrame]:
+    """``(scores, blocks)``: exact scores ``(query_id, id, score)`` of every
+    document that can be among a query's n best with a score above 0, and
+    the ``(query_id, block)`` pairs that were scored for it.
+
+    Pass 1 takes the n documents in which the query's strongest term has most
+    impact and scores them in full; their nth score is the one to beat.  A
+    block's bound is the sum of its terms' largest impacts; a block below the
+    score to beat holds none of the n best.  ``slack`` is how far scores may
+    be rounded."""
+    rows, tops = index.blocks(k1, b)
+    weights = materialize(query_terms(queries, query_id, text_col).join(index.terms.select("term", "idf"), "term")
+                          .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "query-weights")
+    highest = tops.join(weights.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("top").alias("most"))
+    strongest = weights.filter("weight > 0").join(highest, "term").groupBy("query_id") \
+        .agg(F.max(F.struct((F.col("weight") * F.col("most")).alias("reach"), "term"))["term"].alias("term"))
+    first = top_k(strongest.join(rows, "term"), ["query_id"], [F.col("impact").desc(), F.col("id")], n, "_r") \
+        .select("query_id", "id", "block")
+    score = F.sum(F.col("weight") * F.col("impact")).alias("score")
+    seen = first.join(weights, "query_id").join(rows, ["term", "block", "id"]).groupBy("query_id", "id").agg(score)
+    beat = seen.groupBy("query_id").agg(F.min("score").alias("beat"), F.count(F.lit(1)).alias("k")) \
+        .filter(F.col("k") >= n).select("query_id", "beat")
+    reach = weights.filter("weight > 0").join(tops, "term").groupBy("query_id", "block") \
+        .agg(F.sum(F.col("weight") * F.col("top")).alias("reach"))
+    open_blocks = materialize(
+        reach.join(beat, "query_id", "left").filter(
+            F.col("beat").isNull() | (F.col("reach") >= F.col("beat") - slack - _SLACK * F.abs("beat")))
+        .select("query_id", "block"), "open-blocks")
+    scored = open_blocks.join(weights, "query_id").join(rows, ["term", "block"]).groupBy("query_id", "id").agg(score)
+    return scored, open_blocks
+
+
 def bm25_topk(index: BM25Index, queries: DataFrame, n: int, query_id: str = "query_id",
               text_col: str = "query", score_digits: int | None = None,
               rank_col: str = "rank") -> DataFrame:
@@ -244,11 +427,18 @@ def bm25_topk(index: BM25Index, queries: DataFrame, n: int, query_id: str = "que
     among the first ``m + nonzero_count`` documents by id, so only that many
     candidates are generated, joined on a global document position.
     """
-    def scores(some: DataFrame) -> DataFrame:
-        out = bm25_scores(index, some, query_id, text_col)
+    def rounded(out: DataFrame) -> DataFrame:
         return out if score_digits is None else out.withColumn("score", F.round("score", score_digits))
+
+    def scores(some: DataFrame) -> DataFrame:
+        return rounded(bm25_scores(index, some, query_id, text_col))
+    if index.n_postings < BM25_BOUND_POSTINGS:
+        able = scores(queries)
+    else:
+        slack = _SLACK if score_digits is None else 10.0 ** -score_digits
+        able = rounded(bounded_scores(index, queries, n, query_id, text_col, slack=slack)[0])
     # at most n rows per query leave the scoring and are written
-    best = top_k(scores(queries).filter(F.col("score") > 0), ["query_id"],
+    best = top_k(able.filter(F.col("score") > 0), ["query_id"],
                  [F.col("score").desc(), F.col("id")], n, "_r").drop("_r")
     best = materialize(best, "scores")
     qids = queries.select(F.col(query_id).alias("query_id")).distinct()

@@ -401,8 +401,14 @@ def oracle_sql() -> dict[str, str]:
          (SELECT q.vec_id AS query_id, c.vec_id, {_sqdist('q.embedding', 'c.embedding')} AS dist
           FROM embeddings q, embeddings c)) WHERE rank <= {KNN_K}"""
     doc_corpus = "SELECT doc_id AS id, text FROM documents"
-    s["bm25_stats"] = _with([], _bm25_stat_ctes(doc_corpus)) + \
-        """SELECT term, cast(df AS bigint) AS df, round(idf_raw, 6) AS idf_raw, round(idf, 6) AS idf FROM c_idf"""
+    # one pass over the texts: only how many documents hold a term matters
+    s["bm25_stats"] = f"""WITH t AS MATERIALIZED (SELECT unnest(list_distinct({_tokens('text')})) AS term FROM documents),
+        f AS MATERIALIZED (SELECT term, count(*) AS df FROM t GROUP BY term),
+        n AS (SELECT count(*) AS n FROM documents),
+        r AS MATERIALIZED (SELECT term, df, ln(n.n - df + 0.5) - ln(df + 0.5) AS idf_raw FROM f, n),
+        m AS (SELECT avg(idf_raw) AS m FROM r)
+        SELECT term, cast(df AS bigint) AS df, round(idf_raw, 6) AS idf_raw,
+            round(CASE WHEN idf_raw < 0 THEN 0.25 * m.m ELSE idf_raw END, 6) AS idf FROM r, m"""
     s["bm25_score"] = _with(["v_queries"], _bm25_ctes(doc_corpus, "SELECT query_id, query FROM v_queries")) + \
         "SELECT query_id, id AS doc_id, round(score, 6) AS score FROM c_scores"
     s["bm25_topk"] = _with(["v_queries"], _bm25_topn_ctes(doc_corpus, "SELECT query_id, query FROM v_queries",

@@ -178,3 +178,78 @@ def test_hybrid_search_with_repeated_ids(spark):
     assert [(r.id, r.ordinal, r.rank) for r in got][0] == ("a.py:m", 1, 1)
     assert len({(r.id, r.ordinal) for r in got}) == len(got) == 2
     assert abs(got[0].score - 2 / 61) < 1e-9
+
+
+def test_knn_cells_skip_most_distances(spark, monkeypatch):
+    """Clustered vectors: the result is exact, few (query, row) pairs are
+    compared; one cell is hot, and vectors repeat."""
+    monkeypatch.setattr(search, "KNN_DIRECT_PAIRS", 0)
+    monkeypatch.setattr(search, "KNN_BLOCK_BYTES", 8 * 6 * 64)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 6)) * 20
+    own = np.where(rng.random(3000) < 0.3, 0, rng.integers(0, 40, 3000))
+    vecs = np.round(centres[own] + rng.normal(size=(3000, 6)), 3)
+    vecs[10:20] = vecs[9]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vector array<double>")
+    queries = corpus.filter("id % 7 = 2").withColumnRenamed("id", "query_id")
+    for excl in (False, True):
+        got = {}
+        for r in search.knn_topk(queries, corpus, 5, exclude_self=excl).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.id
+        for q in range(2, 3000, 7):
+            d = ((vecs - vecs[q]) ** 2).sum(axis=1)
+            want = sorted((i for i in range(3000) if not (excl and i == q)), key=lambda i: (d[i], i))[:5]
+            assert [got[q][j] for j in range(1, 6)] == want
+    cells = search.Cells(corpus.select(F.col("id").alias("_cid"), F.col("vector").alias("_cv")), 3000, 6)
+    q = queries.select(F.col("query_id").alias("_qid"), F.col("vector").alias("_qv"))
+    size = {r["cell"]: r["n"] for r in cells.summary}
+    bound = spark.createDataFrame([(int(i), float(np.sort(((vecs - vecs[i]) ** 2).sum(1))[4] ** 0.5)) for i in range(2, 3000, 7)],
+                                  "_qid long, bound double")
+    compared = sum(size[r.cell] for p in (cells.pairs(q, 5, False), cells.pairs(q, 5, False, bound)) for r in p.collect())
+    assert compared < 0.35 * 3000 * q.count()
+
+
+def test_knn_cells_on_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "KNN_DIRECT_PAIRS", 0)
+    inf = float("inf")
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [float("nan"), 0.0]), (5, [inf, 0.0]),
+                                    (6, [1.0]), (7, [3.0, 3.0])], "id long, vector array<float>")
+    q = spark.createDataFrame([(9, [0.1, 0.1]), (10, [inf, 0.0]), (11, None)], "query_id long, vector array<float>")
+    got = [(r.query_id, r.rank, r.id) for r in search.knn_topk(q, corpus, 16).orderBy("query_id", "rank").collect()]
+    assert got == [(9, 1, 1), (9, 2, 2), (9, 3, 7)]
+    only = corpus.filter("id = 5")
+    assert search.knn_topk(q, only, 2).count() == 0
+
+
+def test_bm25_topk_by_bounds(spark, monkeypatch):
+    """The same lists as scoring every pair, from far fewer joined rows."""
+    monkeypatch.setattr(search, "BM25_BOUND_POSTINGS", 0)
+    monkeypatch.setattr(search, "BM25_BLOCK_DOCS", 8)
+    rnd = random.Random(11)
+    words, weights = [f"w{i}" for i in range(600)], [1 / (i + 1) for i in range(600)]
+    texts = [" ".join(rnd.choices(words, weights, k=rnd.randint(0, 60))) for _ in range(1500)] + ["", "w1"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    qs = [(i, " ".join([f"w{rnd.randrange(200, 600)}", *rnd.choices(words, weights, k=4)])) for i in range(25)]
+    qs += [(100, ""), (101, "unknown"), (102, "w0 w0 w1"), (103, None)]
+    queries = spark.createDataFrame(qs, "query_id long, query string")
+    index = search.BM25Index(docs)
+    for digits in (None, 3):
+        every = search.bm25_scores(index, queries)
+        if digits:
+            every = every.withColumn("score", F.round("score", digits))
+        scores = {}
+        for r in every.collect():
+            scores.setdefault(r.query_id, {})[r.id] = r.score
+        got = {}
+        for r in search.bm25_topk(index, queries, 10, score_digits=digits).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.id, r.score)
+        for q, _ in qs:
+            s = scores.get(q, {})
+            order = sorted(range(len(texts)), key=lambda d: (-round(s.get(d, 0.0), 9), d))[:10]
+            assert [got[q][i][0] for i in range(1, 11)] == order
+            assert all(abs(got[q][i + 1][1] - s.get(d, 0.0)) < 1e-9 for i, d in enumerate(order))
+    before = search.query_terms(queries).join(index.postings, "term").count()
+    scored, blocks = search.bounded_scores(index, queries, 10)
+    rows = index.blocks()[0]
+    after = blocks.join(search.query_terms(queries), "query_id").join(rows, ["term", "block"]).count()
+    assert after < 0.5 * before
