@@ -301,17 +301,18 @@ class BM25Index:
         docs = materialize(written.groupBy("id").agg(F.max("dl").cast("long").alias("dl")), "documents")
         self._init_from(written, docs)
 
-    def _init_from(self, written: DataFrame, docs: DataFrame, terms: DataFrame | None = None) -> None:
+    def _init_from(self, written: DataFrame, docs: DataFrame, terms: DataFrame | None = None,
+                   totals: tuple[int, int] | None = None) -> None:
         self._written = written
         self.postings = written.filter(F.col("term").isNotNull())
         self.docs = docs
         self.doc_ids = docs.select("id")
-        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).first()
-        self.n_docs = int(stats["n"])
-        self.avgdl = float(stats["t"] or 0) / self.n_docs if self.n_docs else 0.0
+        self.n_docs, length = totals or docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        self.avgdl = float(length) / self.n_docs if self.n_docs else 0.0
         if terms is None:
-            df_ = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            terms = materialize(df_.withColumn(
+            terms = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if "idf_raw" not in terms.columns:
+            terms = materialize(terms.withColumn(
                 "idf_raw", F.ln(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)),
                 "terms")
         self._raw_terms = terms
@@ -345,6 +346,14 @@ class BM25Index:
         self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
         self._raw_terms.write.mode("errorifexists").parquet(f"{path}/terms")
 
+    @classmethod
+    def of_tables(cls, postings: DataFrame, docs: DataFrame, terms: DataFrame, n_docs: int, length: int) -> "BM25Index":
+        """From tables kept elsewhere: ``postings(id, term, tf, dl)``,
+        ``docs(id, dl)``, ``terms(term, df)`` and the corpus totals."""
+        idx = cls.__new__(cls)
+        idx._init_from(postings, docs, terms, (n_docs, length))
+        return idx
+
     @classmethod
     def load(cls, spark, path: str) -> "BM25Index":
         """Open an index written by :meth:`save` without touching the corpus."""

@@ -2,9 +2,11 @@
 
 ``files`` -> content hash -> anti-join against the previous state (before
 any Python) -> symbol extraction (one ``mapInPandas``) -> chunk table,
-embeddings, upsert into a new version of the vector table -> symbol rows
-kept per file so the graph is re-resolved over the whole corpus -> next hash
-state.  Every output is a new version folder; no input path is overwritten.
+embeddings, upsert into the vector table -> symbol rows kept per file so the
+graph is re-resolved over the whole corpus -> next hash state.  The vector and
+symbol tables are cut into buckets of the path, and a run writes only the
+buckets of the files it touched (:mod:`codelens.sources.bucketed`); the other
+outputs are new version folders; no input path is overwritten.
 """
 
 from __future__ import annotations
@@ -19,16 +21,11 @@ from ..operators.embed import hash_embed
 from ..session import materialize
 from ..sources import files as src
 from ..sources import sinks
-from ..sources.versioned import latest_version, write_next_version
+from ..sources.bucketed import read_bucketed, upsert_bucketed
 
 DEFAULT_DIM = 768
 
 
-def _read_latest(spark, base: str, schema) -> DataFrame:
-    path = latest_version(spark, base)
-    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
-
-
 def index_corpus(files: DataFrame, root: str, entity: str, dim: int = DEFAULT_DIM,
                  embed=None, full_listing: bool = True) -> dict:
     """Index ``files(path, content)`` under ``root`` (a shared folder).
@@ -66,19 +63,15 @@ def index_corpus(files: DataFrame, root: str, entity: str, dim: int = DEFAULT_DI
     else:
         with_vec = embed(keyed)
     new_rows = delta.drop_bad_vectors(with_vec, dim).select(*[f.name for f in schemas.VECTOR_TABLE.fields])
-    old_rows = _read_latest(spark, table_base, schemas.VECTOR_TABLE)
-    table = delta.upsert_chunks(old_rows, new_rows, gone.union(todo.select("path")))
-    table_path = write_next_version(table, table_base)
+    replaced = gone.select("path").union(todo.select("path"))
+    buckets = upsert_bucketed(table_base, schemas.VECTOR_TABLE, materialize(new_rows, "vectors"), replaced)
     # Symbol rows of every file: earlier rows of untouched files + this run's.
-    old_sym = _read_latest(spark, symbols_base, symbols.EXTRACT_SCHEMA)
-    replaced = todo.select(F.col("path").alias("file_path")).union(gone.select(F.col("path").alias("file_path")))
-    all_sym = old_sym.join(replaced, "file_path", "left_anti").unionByName(extracted)
-    sym_path = write_next_version(all_sym, symbols_base)
-    nodes, edges = symbols.build_graph(spark.read.parquet(sym_path))
+    upsert_bucketed(symbols_base, symbols.EXTRACT_SCHEMA, extracted, replaced)
+    nodes, edges = symbols.build_graph(read_bucketed(spark, symbols_base, symbols.EXTRACT_SCHEMA))
     graph_root = sinks.save_graph(nodes, edges, graph_base, entity)
     state = delta.next_state(cur, prev, chunks)
     if not full_listing:
         state = prev.join(cur.select("path"), "path", "left_anti").unionByName(state)
     state_path = sinks.write_state(state, state_base)
-    return {"vectors": table_path, "symbols": sym_path, "graph": graph_root, "state": state_path,
-            "processed_files": todo.count(), "errors": symbols.extraction_errors(extracted).count()}
+    return {"vectors": table_base, "symbols": symbols_base, "graph": graph_root, "state": state_path,
+            "touched_buckets": buckets, "processed_files": todo.count(), "errors": symbols.extraction_errors(extracted).count()}

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as tx
+from .bucketed import read_bucketed
 from .versioned import latest_version, list_versions
 
 
@@ -84,10 +85,12 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_vector_table(spark: SparkSession, path: str) -> DataFrame:
-    """The vector table with its fixed schema, its newest complete version
-    if it is kept in versions; empty when absent."""
+    """The vector table with its fixed schema, its current buckets or its
+    newest complete version if it is kept in such; empty when absent."""
     if not _exists(spark, path):
         return empty(spark, schemas.VECTOR_TABLE)
+    if _exists(spark, f"{path}/manifest"):
+        return read_bucketed(spark, path, schemas.VECTOR_TABLE)
     if list_versions(spark, path, complete=False):
         path = latest_version(spark, path)
         if path is None:

@@ -3,7 +3,17 @@
 import os
 import tempfile
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from codelens.operators import search
+from codelens.operators.delta import delta_classify, with_hash
+from codelens.operators.index_runs import IndexRuns
 from codelens.plans.indexing import index_corpus
+from codelens.schemas import FILE_STATE
+from codelens.sources import bucketed
 from codelens.sources import files as src
 from codelens.sources import sinks
 from codelens.streaming.indexing import start_index_stream
@@ -17,7 +27,7 @@ def test_batch_index_twice(spark):
     files = spark.createDataFrame([("m/a.py", A), ("m/b.py", B), ("m/c.py", "x = 1\n")], "path string, content string")
     r1 = index_corpus(files, root, "SalesInvoice", dim=16)
     assert r1["processed_files"] == 3
-    table = spark.read.parquet(r1["vectors"])
+    table = src.open_vector_table(spark, r1["vectors"])
     assert table.count() == 4 and all(len(v.vector) == 16 for v in table.collect())
     state = {r.path for r in src.read_state(spark, f"{root}/state").collect()}
     assert state == {"m/a.py", "m/b.py"}  # chunkless c.py is retried next run
@@ -26,7 +36,7 @@ def test_batch_index_twice(spark):
                                    "path string, content string")
     r2 = index_corpus(files2, root, "SalesInvoice", dim=16)
     assert r2["processed_files"] == 1
-    table2 = {(r.file_path, r.symbol_name) for r in spark.read.parquet(r2["vectors"]).collect()}
+    table2 = {(r.file_path, r.symbol_name) for r in src.open_vector_table(spark, r2["vectors"]).collect()}
     assert table2 == {("m/a.py", "SalesInvoice"), ("m/a.py", "validate"), ("m/a.py", "helper"),
                       ("m/b.py", "other"), ("m/b.py", "more")}
     nodes, edges = sinks.load_graph(spark, f"{root}/graph", "SalesInvoice")
@@ -50,3 +60,84 @@ def test_stream_picks_up_new_files(spark):
     q = start_index_stream(spark, srcdir, f"{base}/idx", f"{base}/ckpt", "SalesInvoice", dim=8)
     q.awaitTermination(120)
     assert {r.path for r in src.read_state(spark, f"{base}/idx/state").collect()} == {"a.py", "b.py"}
+
+
+def files_under(path):
+    return {os.path.relpath(os.path.join(d, f), path) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_bucketed_upsert_leaves_other_buckets_alone(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="codelens-bkt-", dir="/tmp")
+    schema = spark.createDataFrame([], "file_path string, n int").schema
+    rows = {f"f{i}": [i, -i] for i in range(40)}
+
+    def df(d):
+        return spark.createDataFrame([(p, n) for p, ns in d.items() for n in ns], schema)
+
+    def table():
+        out = {}
+        for r in bucketed.read_bucketed(spark, base, schema).collect():
+            out.setdefault(r.file_path, []).append(r.n)
+        return {p: sorted(ns) for p, ns in out.items()}
+    assert bucketed.read_bucketed(spark, base, schema).count() == 0
+    bucketed.upsert_bucketed(base, schema, df(rows), buckets=16)
+    assert table() == {p: sorted(ns) for p, ns in rows.items()}
+    before = files_under(f"{base}/data")
+    # one file changed, one new, one gone, one kept without rows
+    gone = spark.createDataFrame([("f3",), ("f7",)], "path string")
+    touched = bucketed.upsert_bucketed(base, schema, df({"f1": [100], "new": [5]}), gone, buckets=16)
+    want = {**{p: sorted(ns) for p, ns in rows.items() if p not in ("f3", "f7")}, "f1": [100], "new": [5]}
+    assert table() == want
+    written = {int(f.split("bucket=")[1].split("/")[0]) for f in files_under(f"{base}/data") - before}
+    assert written <= set(touched) and len(touched) <= 4 and before <= files_under(f"{base}/data")
+    # a run that dies after some of its files, before its manifest
+    monkeypatch.setattr(bucketed, "_filled", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        bucketed.upsert_bucketed(base, schema, df({"f1": [7], "f20": [7]}), buckets=16)
+    monkeypatch.undo()
+    assert table() == want
+    bucketed.upsert_bucketed(base, schema, df({"f1": [8]}), buckets=16)
+    assert table() == {**want, "f1": [8]}
+    # a bucket that becomes empty
+    every = spark.createDataFrame([(p,) for p in want], "path string")
+    bucketed.upsert_bucketed(base, schema, df({"f1": [9]}), every, buckets=16)
+    assert table() == {"f1": [9]}
+    assert bucketed.upsert_bucketed(base, schema, df({}), buckets=16) == []
+
+
+def test_bm25_index_runs_equal_a_fresh_index(spark):
+    """Three runs of random changes, then a compaction: statistics and scores
+    are those of an index built at once."""
+    rng = random.Random(6)
+    runs = IndexRuns(spark, tempfile.mkdtemp(prefix="codelens-runs-", dir="/tmp"))
+    text = lambda: " ".join(f"w{min(int(rng.expovariate(0.3)), 30)}" for _ in range(rng.randint(0, 15)))
+    files, state = {f"f{i}": text() for i in range(30)}, spark.createDataFrame([], FILE_STATE)
+    queries = spark.createDataFrame([(0, "w0 w3 w3"), (1, "w9 w1"), (2, "w30 none")], "query_id long, query string")
+    for step in range(4):
+        if step:
+            for p in rng.sample(sorted(files), 8):
+                files[p] = text()
+            for p in rng.sample(sorted(files), 4):
+                del files[p]
+            files.update({f"g{step}-{i}": text() for i in range(5)})
+        table = spark.createDataFrame(sorted(files.items()), "path string, content string")
+        # two chunks of one file
+        docs = table.withColumn("id", F.concat(F.col("path"), F.lit("#0"))).unionByName(
+            table.filter("path like 'f1%'").withColumn("id", F.concat(F.col("path"), F.lit("#1"))))
+        current = with_hash(table).select("path", "content_hash")
+        if step == 3:
+            runs.compact()
+        runs.update(delta_classify(current, state), docs)
+        state = spark.createDataFrame(current.collect(), FILE_STATE)
+        kept, fresh = runs.index(), search.BM25Index(docs)
+        assert (kept.n_docs, kept.avgdl) == (fresh.n_docs, fresh.avgdl)
+        df = lambda i: {r.term: r.df for r in i.terms.collect()}
+        assert df(kept) == df(fresh)
+        scores = lambda i: {(r.query_id, r.id): round(r.score, 9) for r in search.bm25_scores(i, queries).collect()}
+        assert scores(kept) == scores(fresh)
+        top = lambda i: sorted((r.query_id, r.rank, r.id) for r in search.bm25_topk(i, queries, 5, score_digits=6).collect())
+        assert top(kept) == top(fresh)
+    assert len(runs._paths()) == 2
+    # the same run again changes nothing
+    runs.update(delta_classify(current, spark.createDataFrame([], FILE_STATE)), docs)
+    assert df(runs.index()) == df(fresh) and runs.index().n_docs == fresh.n_docs
