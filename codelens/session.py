@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -79,22 +82,53 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+# Folders written inside the open scratch() blocks of a thread, innermost last.
+_scratch = threading.local()
+
+
 def materialize(df, label: str = "table"):
     """Write ``df`` as Parquet into a fresh folder under the shared checkpoint
     folder and return a DataFrame reading it back.
 
     This cuts lineage like ``checkpoint()`` but the copy is columnar: later
     reads prune columns and push filters, and the files survive the loss of
-    any executor.
+    any executor.  Inside a :func:`scratch` block the table lives until its
+    end.
     """
-    import uuid
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/codelens-{label}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "blocks", None):
+        _scratch.blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that :func:`materialize` writes inside the block are deleted at
+    its end.  The block gets ``keep(df, label)``, which writes a table that
+    lives on (until the end of an enclosing block): what an operator returns
+    must read only such tables and its inputs."""
+    blocks = _scratch.__dict__.setdefault("blocks", [])
+    mine, kept = [], []
+    blocks.append(mine)
+
+    def keep(df, label: str = "table"):
+        out = materialize(df, label)
+        kept.append(blocks[-1].pop())
+        return out
+    try:
+        yield keep
+    finally:
+        blocks.pop()
+        if blocks:
+            blocks[-1].extend(kept)
+        for path in mine:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

@@ -209,3 +209,28 @@ def test_graph_xml_export_reads_back(spark):
     sinks.export_gexf_parts(nodes, edges, d)
     back = spark.read.format("xml").option("rowTag", "node").load(f"{d}/nodes_xml")
     assert {r.node_id for r in back.collect()} == {"a", "a:f"}
+
+
+def test_scratch_tables_live_until_the_end_of_their_block(spark):
+    from codelens.session import materialize, scratch
+    df = spark.range(5)
+    exists = lambda t: os.path.exists(t.inputFiles()[0].removeprefix("file://"))
+    outside = materialize(df)
+    with scratch(spark) as keep_outer:
+        with scratch(spark) as keep:
+            a, b = materialize(df), keep(df)
+        assert b.count() == 5 and exists(outside) and not exists_path(a)
+        c = keep_outer(b.filter("id > 2"))
+    assert c.count() == 2 and not exists_path(b) and exists(outside)
+    try:
+        with scratch(spark):
+            d = materialize(df)
+            1 / 0
+    except ZeroDivisionError:
+        pass
+    assert not exists_path(d)
+
+
+def exists_path(table):
+    """Whether the files that a read table names are still there."""
+    return any(os.path.exists(f.removeprefix("file://")) for f in table.inputFiles())
