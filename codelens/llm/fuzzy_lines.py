@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import fresh, in_arrow
 from .hashing import U64, WordHasher, rows_of
 from .pigeonhole import linked_components
@@ -143,10 +143,11 @@ def _similar(edit_percent: int):
 
 def block_plan(n: int, max_hamming: int = MAX_HAMMING) -> tuple[int, int]:
     """(blocks, equal blocks) of the join keys for ``n`` lines: as many equal
-    blocks as give 8 times more keys than lines.  Every plan finds all pairs
-    within the distance; it only sets how many others share a key."""
+    blocks as give 64 times more keys than lines, so that lines that share one
+    by chance stay few.  Every plan finds all pairs within the distance; it
+    only sets how many others share a key."""
     same = 2
-    while same < 8 and 64 * same / (max_hamming + same) < np.log2(max(n, 1)) + 3:
+    while same < 8 and 64 * same / (max_hamming + same) < np.log2(max(n, 1)) + 6:
         same += 1
     return max_hamming + same, same
 
@@ -214,10 +215,12 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int =
 
 def removed_lines(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, th, removed)``: sorted numbers of the lines that go."""
-    lines, keep = line_groups(docs, **options)
-    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "line")
-    return lines.join(keep, "norm").filter(me != F.col("first")) \
-        .groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    with scratch(docs.sparkSession) as written:
+        lines, keep = line_groups(docs, **options)
+        me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "line")
+        removed = lines.join(keep, "norm").filter(me != F.col("first")) \
+            .groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        return written(removed, "lines-removed")
 
 
 def dedup_lines(docs: DataFrame, counts: tuple[str, str, str] | None = None, **options) -> DataFrame:

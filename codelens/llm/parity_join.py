@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import byte_words, fresh, in_arrow
 from .hashing import U64, WordHasher, mix64, rows_of, shingle_hashes
 from .pigeonhole import linked_components
@@ -80,11 +80,14 @@ class Sketch:
         return mix64(folded * U64(0x9E3779B97F4A7C15) ^ place ^ parity)
 
     def compact(self) -> bytes:
-        """16 bits per block, each the XOR of four parity bits: its Hamming
-        distance is at most that of the sketch."""
-        p = _put(self.parity, self.block, self.n_blocks)
-        p = p ^ (p >> U64(32))
-        return ((p ^ (p >> U64(16))) & U64(0xFFFF)).astype(np.uint16).tobytes()
+        """4 bits per block, each the XOR of 16 parity bits: its Hamming
+        distance is at most that of the sketch.  A block holds about four
+        shingles, so unrelated sets still differ in twice the bound."""
+        p = _put(self.parity, self.block, self.n_blocks + self.n_blocks % 2)
+        for shift in (32, 16, 8, 4):
+            p = p ^ (p >> U64(shift))
+        p &= U64(15)
+        return (p[::2] << U64(4) | p[1::2]).astype(np.uint8).tobytes()
 
 
 def _put(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -153,7 +156,7 @@ def _within_bound(percent: int):
             keep = []
             for ba, oa, la, bb, ob, lb in rows_of([batch], "ba", "oa", "la", "bb", "ob", "lb"):
                 x, y = (oa, ob) if ba == bb else (la, ob) if ba > bb else (oa, lb)
-                distance = np.bitwise_count(np.frombuffer(x, np.uint16) ^ np.frombuffer(y, np.uint16)).sum()
+                distance = np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum()
                 keep.append(bool(distance <= bound_of(min(ba, bb), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
@@ -210,8 +213,14 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that are links, written once."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, traits: DataFrame, close, k: int,
+              percent: int) -> DataFrame:
+    """The candidate pairs ``(a, b)`` that are links, written once: first the
+    short traits decide, then the sketches, last the words."""
+    for x in "ab":
+        pairs = pairs.join(traits.select(F.col("id").alias(x), *[
+            F.col(c).alias(f"{x}_{c}") for c in traits.columns if c != "id"]), x)
+    pairs = pairs.filter(close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b").distinct()
     side = lambda x: sets.select(
         F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("band").alias(f"b{x}"),
         F.col("own").alias(f"o{x}"), F.col("below").alias(f"l{x}"))
@@ -242,21 +251,17 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
     Candidates come from :func:`pigeonhole.linked_components`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(_joined(docs, k, percent), "parity-joined")
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets = materialize(in_arrow(docs, _sets(k, percent), _SETS), "parity-sets")
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     firsts = known.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
     same = materialize(known.join(firsts, ["n_shingles", "sig1", "sig2"]).select("doc_id", "rep").distinct(),
                        "parity-same")
     copies = same.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Candidates on representatives of equal sets, verified."""
-        one = pairs.join(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a") \
-            .join(same.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-        one = one.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a != b").distinct()
-        return _verified(one, docs, sets, k, percent)
-
-    keys = in_arrow(docs, _keys(k, percent), "key long, id long")
     traits = known.select(F.col("doc_id").alias("id"), "n_shingles", *_SHORT).dropDuplicates(["id", *_SHORT])
 
     def close(a, b):
@@ -266,6 +271,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         return (100 * na >= percent * nb) & (100 * nb >= percent * na) \
             & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
+    def links(pairs: DataFrame) -> DataFrame:
+        """Candidates on representatives of equal sets, verified."""
+        one = pairs.join(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a") \
+            .join(same.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+        one = one.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a != b").distinct()
+        return _verified(one, docs, sets, traits, close, k, percent)
+
+    keys = in_arrow(docs, _keys(k, percent), "key long, id long")
     comp = materialize(linked_components(keys, links, traits, close, copies), "parity-components")
     return sets.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))

@@ -99,7 +99,7 @@ def test_sketch_bounds():
         delta = len(np.setxor1d(a, b))
         for x, y in zip(parity_join.sketches(a, 85), parity_join.sketches(b, 85)):
             if x.band == y.band:
-                far = np.bitwise_count(np.frombuffer(x.compact(), np.uint16) ^ np.frombuffer(y.compact(), np.uint16)).sum()
+                far = np.bitwise_count(np.frombuffer(x.compact(), np.uint8) ^ np.frombuffer(y.compact(), np.uint8)).sum()
                 assert far <= delta
                 if delta <= x.bound:
                     assert set(x.keys().tolist()) & set(y.keys().tolist())
