@@ -69,9 +69,15 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int,
     return per_row.select(F.col("_id").alias(id_col), vec.alias(out_col))
 
 
+# I5 (fixed value): texts per call of an embedding model.
+EMBED_BATCH = 64
+
+
 def embed_with_model(df: DataFrame, text_col: str, model: Callable[[list[str]], np.ndarray],
-                     dim: int, out_col: str = "vector", prefix: str | None = None) -> DataFrame:
-    """Apply a user embedding model batch-wise (Arrow batches per task).
+                     dim: int, out_col: str = "vector", prefix: str | None = None,
+                     batch_size: int = EMBED_BATCH) -> DataFrame:
+    """Apply a user embedding model to batches of at most ``batch_size`` texts
+    (each Arrow batch of a task is cut into such).
 
     ``model(texts) -> array (len(texts), dim)``.  Rows whose vector has the
     wrong length come back null (dropped later by ``valid_vector``), so one
@@ -81,7 +87,7 @@ def embed_with_model(df: DataFrame, text_col: str, model: Callable[[list[str]],
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = s.fillna("").tolist()
-            vecs = model(texts)
+            vecs = [v for i in range(0, len(texts), batch_size) for v in model(texts[i:i + batch_size])]
             out = [np.asarray(v, dtype=np.float32).tolist() if v is not None and len(v) == dim
                    else None for v in vecs]
             yield pd.Series(out)

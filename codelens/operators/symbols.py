@@ -164,7 +164,7 @@ def extraction_errors(extracted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Graph
 # ---------------------------------------------------------------------------
-def _graph_rows(extracted: DataFrame) -> DataFrame:
+def graph_rows(extracted: DataFrame) -> DataFrame:
     """Node rows with node ids (§1 grammar) and a corpus-wide order key."""
     s = extracted.filter(F.col("kind").isin("file", "symbol"))
     is_class = F.col("symbol_type") == "class"
@@ -192,7 +192,7 @@ def build_graph(extracted: DataFrame, source_suffix: str = ".py") -> tuple[DataF
     kept as parallel edges) and one CALLS edge per resolved call site.
     """
     ex = extracted.filter(F.col("file_path").endswith(source_suffix))
-    rows = _graph_rows(ex)
+    rows = graph_rows(ex)
     order = F.struct("file_path", "ordinal")
     nodes = build_nodes(rows.withColumn("_ord", order), order_col="_ord")
     sym = rows.filter(F.col("kind") == "symbol")

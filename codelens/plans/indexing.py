@@ -2,11 +2,11 @@
 
 ``files`` -> content hash -> anti-join against the previous state (before
 any Python) -> symbol extraction (one ``mapInPandas``) -> chunk table,
-embeddings, upsert into the vector table -> symbol rows kept per file so the
-graph is re-resolved over the whole corpus -> next hash state.  The vector and
-symbol tables are cut into buckets of the path, and a run writes only the
-buckets of the files it touched (:mod:`codelens.sources.bucketed`); the other
-outputs are new version folders; no input path is overwritten.
+embeddings, upsert into the vector table -> calls of the touched names
+resolved against the whole corpus -> next hash state.  The vector table and
+the graph store are cut into buckets, and a run writes only the buckets of
+what it touched (:mod:`codelens.sources.bucketed`); the other outputs are new
+version folders; no input path is overwritten.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from .. import schemas
 from ..functions import text as tx
 from ..operators import delta, symbols
 from ..operators.embed import hash_embed
+from ..operators.graph_runs import GraphRuns
+from ..operators.search import valid_vector
 from ..session import materialize
 from ..sources import files as src
 from ..sources import sinks
-from ..sources.bucketed import read_bucketed, upsert_bucketed
+from ..sources.bucketed import upsert_bucketed
 
 DEFAULT_DIM = 768
 
@@ -62,16 +64,19 @@ def index_corpus(files: DataFrame, root: str, entity: str, dim: int = DEFAULT_DI
         with_vec = keyed.join(vecs, "_key")
     else:
         with_vec = embed(keyed)
-    new_rows = delta.drop_bad_vectors(with_vec, dim).select(*[f.name for f in schemas.VECTOR_TABLE.fields])
+    # the embedder runs once; a vector that is rejected is counted, not lost
+    checked = materialize(with_vec.withColumn("_valid", F.coalesce(valid_vector("vector", dim), F.lit(False))), "vectors")
+    new_rows = checked.filter("_valid").select(*[f.name for f in schemas.VECTOR_TABLE.fields])
     replaced = gone.select("path").union(todo.select("path"))
-    buckets = upsert_bucketed(table_base, schemas.VECTOR_TABLE, materialize(new_rows, "vectors"), replaced)
-    # Symbol rows of every file: earlier rows of untouched files + this run's.
-    upsert_bucketed(symbols_base, symbols.EXTRACT_SCHEMA, extracted, replaced)
-    nodes, edges = symbols.build_graph(read_bucketed(spark, symbols_base, symbols.EXTRACT_SCHEMA))
+    buckets = upsert_bucketed(table_base, schemas.VECTOR_TABLE, new_rows, replaced)
+    store = GraphRuns(spark, symbols_base)
+    store.update(extracted, replaced)
+    nodes, edges = store.graph()
     graph_root = sinks.save_graph(nodes, edges, graph_base, entity)
     state = delta.next_state(cur, prev, chunks)
     if not full_listing:
         state = prev.join(cur.select("path"), "path", "left_anti").unionByName(state)
     state_path = sinks.write_state(state, state_base)
     return {"vectors": table_base, "symbols": symbols_base, "graph": graph_root, "state": state_path,
-            "touched_buckets": buckets, "processed_files": todo.count(), "errors": symbols.extraction_errors(extracted).count()}
+            "touched_buckets": buckets, "rejected_vectors": checked.filter("NOT _valid").count(),
+            "processed_files": todo.count(), "errors": symbols.extraction_errors(extracted).count()}

@@ -61,7 +61,8 @@ def upsert_bucketed(base: str, schema: T.StructType, new: DataFrame, replaced: D
     run = f"{int(manifest.rsplit('=', 1)[1]):06d}"
     while _taken(spark, f"{base}/data/run={run}"):  # left by a run that died before its manifest
         run += "r"
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{base}/data/run={run}")
+    # together by bucket, a hot bucket cut into several files
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{base}/data/run={run}")
     filled = _filled(spark, f"{base}/data/run={run}")
     now = {**{b: r for b, r in before.items() if b not in touched}, **{b: run for b in filled}}
     spark.createDataFrame(sorted(now.items()), _MANIFEST).coalesce(1).write.parquet(manifest)

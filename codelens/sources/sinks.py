@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import delta
 from ..operators.graph import MERMAID_HEADER
-from .files import _exists
+from .files import NODE_TITLES, _exists
 from .versioned import latest_version, mark_complete, next_version, write_next_version
 
 
@@ -42,12 +42,85 @@ def load_graph(spark: SparkSession, base: str, entity: str):
     return None if path is None else (spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
-def export_gexf_parts(nodes: DataFrame, edges: DataFrame, base: str) -> None:
-    """K5 XML export: nodes and edges as XML with the built-in writer."""
-    nodes.write.mode("overwrite").format("xml").option("rootTag", "nodes").option("rowTag", "node") \
-        .save(f"{base}/nodes_xml")
-    edges.write.mode("overwrite").format("xml").option("rootTag", "edges").option("rowTag", "edge") \
-        .save(f"{base}/edges_xml")
+# The GEXF 1.2 frame; numbers are the attribute ids.
+GEXF_HEAD = """<?xml version='1.0' encoding='utf-8'?>
+<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">
+  <graph defaultedgetype="directed" mode="static" name="">
+    <attributes mode="static" class="edge">
+      <attribute id="5" title="networkx_key" type="long" />
+    </attributes>
+    <attributes mode="static" class="node">
+%s
+    </attributes>
+    <nodes>"""
+GEXF_BETWEEN = "    </nodes>\n    <edges>"
+GEXF_FOOT = "    </edges>\n  </graph>\n</gexf>"
+
+
+def _xml_text(column):
+    """A value inside a double-quoted XML attribute; characters that XML 1.0
+    cannot hold become U+FFFD."""
+    out = F.regexp_replace(F.col(column).cast("string"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "\uFFFD")
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"),
+                         ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    return out
+
+
+def _attvalues(columns: list[tuple[int, str]]):
+    """The attributes that are not null."""
+    each = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<attvalue for="{i}" value="'), _xml_text(c), F.lit('" />')))
+            for i, c in columns]
+    return F.concat(F.lit("<attvalues>"), F.concat_ws("", *each), F.lit("</attvalues>"))
+
+
+def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part, ord, line`` rows of one GEXF 1.2 document: frame, nodes by id,
+    frame, edges by (src, dst, key, type), frame."""
+    spark = nodes.sparkSession
+    titles = [(i, c) for i, c in enumerate(NODE_TITLES) if c in nodes.columns]
+    declared = "\n".join(f'      <attribute id="{i}" title="{c}" type="string" />' for i, c in titles)
+    frame = spark.createDataFrame([(0, "", GEXF_HEAD % declared), (2, "", GEXF_BETWEEN), (4, "", GEXF_FOOT)],
+                                  "part int, ord string, line string")
+    ident = _xml_text("node_id")
+    body = nodes.select(F.lit(1).alias("part"), F.col("node_id").alias("ord"), F.concat(
+        F.lit('      <node id="'), ident, F.lit('" label="'), ident, F.lit('">'), _attvalues(titles),
+        F.lit("</node>")).alias("line"))
+    order = F.concat_ws("\x01", "src", "dst", F.lpad(F.col("key").cast("string"), 12, "0"), "type")
+    number = F.monotonically_increasing_id().cast("string")
+    arcs = edges.select(F.lit(3).alias("part"), order.alias("ord"), F.concat(
+        F.lit('      <edge source="'), _xml_text("src"), F.lit('" target="'), _xml_text("dst"), F.lit('" id="'), number,
+        F.lit('" type="'), _xml_text("type"), F.lit('">'), _attvalues([(5, "key")]), F.lit("</edge>")).alias("line"))
+    return frame.unionByName(body).unionByName(arcs)
+
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """K5: the graph as one GEXF file at ``path``, which
+    :func:`codelens.sources.files.read_gexf` reads back.
+
+    Tasks render and write the lines, range-partitioned in document order,
+    into a folder beside it; their files are then joined as byte streams, so
+    neither rows nor files pass through Python or the driver's memory.  The
+    document appears under its name only when it is whole."""
+    spark = nodes.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop
+    parts, whole, target = (hadoop.fs.Path(f"{path}{x}") for x in (".parts", ".joined", ""))
+    fs = target.getFileSystem(conf)
+    lines = gexf_lines(nodes, edges).repartitionByRange("part", "ord").sortWithinPartitions("part", "ord")
+    lines.select("line").write.mode("overwrite").text(f"{path}.parts")
+    out = fs.create(whole, True)
+    try:
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(parts)):
+            if name.startswith("part-"):
+                hadoop.io.IOUtils.copyBytes(fs.open(hadoop.fs.Path(parts, name)), out, conf, False)
+    finally:
+        out.close()
+    fs.delete(parts, True)
+    fs.delete(target, False)
+    if not fs.rename(whole, target):
+        raise OSError(f"cannot rename {whole} to {target}")
 
 
 # Title and sentence of the diagram document.

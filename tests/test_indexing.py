@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelens.operators import search
+from codelens.operators import symbols
 from codelens.operators.delta import delta_classify, with_hash
+from codelens.operators.graph_runs import GraphRuns
 from codelens.operators.index_runs import IndexRuns
 from codelens.plans.indexing import index_corpus
 from codelens.schemas import FILE_STATE
@@ -141,3 +143,56 @@ def test_bm25_index_runs_equal_a_fresh_index(spark):
     # the same run again changes nothing
     runs.update(delta_classify(current, spark.createDataFrame([], FILE_STATE)), docs)
     assert df(runs.index()) == df(fresh) and runs.index().n_docs == fresh.n_docs
+
+
+def test_graph_runs_equal_a_full_build(spark):
+    """Random changes of files that share names: the stored graph is the one
+    that a full build gives, and untouched buckets keep their files."""
+    rng = random.Random(8)
+    base = tempfile.mkdtemp(prefix="codelens-graph-", dir="/tmp")
+    store, names = GraphRuns(spark, base), [f"fn{i}" for i in range(12)]
+
+    def module():
+        out = []
+        for name in rng.sample(names, rng.randint(0, 4)):
+            calls = "".join(f"    {c}()\n" for c in rng.choices(names + ["nobody"], k=rng.randint(1, 3)))
+            out.append(f"def {name}():\n{calls}" if rng.random() < 0.7 else
+                       f"class C{name}:\n    def {name}(self):\n" + calls.replace("    ", "        "))
+        return "\n".join(out) + "\n"
+    files = {f"m/f{i}.py": module() for i in range(10)}
+    changed, gone = dict(files), []
+    for step in range(3):
+        if step:
+            changed, gone = {p: module() for p in rng.sample(sorted(files), 2)}, rng.sample(sorted(files), 1)
+            changed = {p: t for p, t in changed.items() if p not in gone}
+            changed[f"m/new{step}.py"] = module()
+            files = {p: t for p, t in {**files, **changed}.items() if p not in gone}
+        df = lambda d: spark.createDataFrame(sorted(d.items()), "path string, content string")
+        before = files_under(base)
+        touched = store.update(symbols.extract_symbols(df(changed)),
+                               spark.createDataFrame([(p,) for p in [*changed, *gone]], "path string"))
+        written = {(f.split("/")[0], int(f.split("bucket=")[1].split("/")[0])) for f in files_under(base) - before if "bucket=" in f}
+        assert all(b in touched[t] for t, b in written) and before <= files_under(base)
+        nodes, edges = store.graph()
+        want_nodes, want_edges = symbols.build_graph(symbols.extract_symbols(df(files)))
+        key = lambda r: tuple((x is None, str(x)) for x in r)
+        rows = lambda t: sorted(map(tuple, t.collect()), key=key)
+        assert rows(nodes.select(want_nodes.columns)) == rows(want_nodes)
+        assert rows(edges) == rows(want_edges)
+    # an unchanged corpus touches nothing
+    assert store.update(symbols.extract_symbols(df(files).limit(0)),
+                        spark.createDataFrame([], "path string"))["calls"] == []
+
+
+def test_embedding_model_gets_batches_of_the_asked_size(spark):
+    import numpy as np
+    from codelens.operators.embed import EMBED_BATCH, embed_with_model
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(150)], "id long, text string").coalesce(1)
+
+    def model(batch):
+        # the vector tells how large the batch was; one row is bad
+        return [np.array([len(batch), 0.0]) if t != "t7" else np.array([1.0]) for t in batch]
+    sizes = {r.id: r.vector and int(r.vector[0]) for r in embed_with_model(texts, "text", model, 2).collect()}
+    assert max(s for s in sizes.values() if s) == EMBED_BATCH == 64 and sizes[7] is None and sizes[149] == 150 - 2 * 64
+    small = embed_with_model(texts, "text", model, 2, batch_size=10).collect()
+    assert {int(r.vector[0]) for r in small if r.vector} == {10}

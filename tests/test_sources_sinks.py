@@ -206,9 +206,33 @@ def test_graph_xml_export_reads_back(spark):
     d = _tmp()
     nodes = spark.createDataFrame([("a", "file", "a"), ("a:f", "function", "f")], "node_id string, type string, name string")
     edges = spark.createDataFrame([("a", "a:f", "CONTAINS", 0)], "src string, dst string, type string, key int")
-    sinks.export_gexf_parts(nodes, edges, d)
-    back = spark.read.format("xml").option("rowTag", "node").load(f"{d}/nodes_xml")
-    assert {r.node_id for r in back.collect()} == {"a", "a:f"}
+    sinks.write_gexf(nodes, edges, f"{d}/g.gexf")
+    assert {r.node_id for r in src.read_gexf(spark, f"{d}/g.gexf")[0].collect()} == {"a", "a:f"}
+
+
+def test_gexf_document_round_trip(spark):
+    """One file, written by many tasks, read back as the same tables."""
+    d = _tmp()
+    odd = ['q"uote', "a<b>&c", "é　ß", "x" * 500, "t\tab", "new\nline", "semi;colon"]
+    nodes = [(f"f{i % 9}.py:{odd[i % 7]}{i}", ["file", "class", "function"][i % 3], odd[i % 7],
+              None if i % 2 else "doc", "P" if i % 5 else None, "hook" if i % 4 else None) for i in range(300)]
+    edges = [(nodes[i][0], nodes[i * 7 % 300][0], "CALLS" if i % 3 else "CONTAINS", i % 4) for i in range(300)] * 2
+    n = spark.createDataFrame(nodes, "node_id string, type string, name string, doctype string, parent_class string, hook_type string")
+    e = spark.createDataFrame(edges, "src string, dst string, type string, key int")
+    for _ in range(2):  # the second run replaces the first
+        sinks.write_gexf(n.repartition(5), e.repartition(4), f"{d}/g.gexf")
+    assert sorted(os.listdir(d)) in (["g.gexf"], [".g.gexf.crc", "g.gexf"], [".g.gexf.joined.crc", "g.gexf"])
+    back_n, back_e = src.read_gexf(spark, f"{d}/g.gexf")
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, back_n.select(n.columns).collect()), key=key) == sorted(nodes, key=key)
+    assert sorted(map(tuple, back_e.select("src", "dst", "type", "key").collect())) == sorted(edges)
+    assert back_e.select("edge_id").distinct().count() == 600
+    # nodes in order of their ids, between header and footer
+    with open(f"{d}/g.gexf", encoding="utf-8") as f:
+        text = f.read()
+    assert text.startswith("<?xml") and text.rstrip().endswith("</gexf>") and text.index("</nodes>") < text.index("<edges>")
+    sinks.write_gexf(n.limit(0), e.limit(0), f"{d}/empty.gexf")
+    assert open(f"{d}/empty.gexf").read().count("<node ") == 0
 
 
 def test_scratch_tables_live_until_the_end_of_their_block(spark):
