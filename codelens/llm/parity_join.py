@@ -11,9 +11,10 @@ lies in one band or in two neighbouring ones, and every document is sketched
 for its own band and for the one below.  Equal blocks are candidates; those
 within the Hamming bound are verified on the words.
 
-A block's key is the XOR of the full hashes behind its bits.  Blocks of fewer
-than two shingles say little and are left out wherever a document has fewer
-than ``m - D`` of them, as an equal block with more is then certain.
+A block's key is the XOR of the full hashes behind its bits.  Blocks of few
+shingles say little: with all blocks in one fixed order, full ones first, two
+documents that share ``m - D`` blocks share one among the first ``D + 1`` of
+each, so only these give keys.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from .pigeonhole import linked_components
 
 SHINGLE = 4
 PERCENT = 85
+# Blocks beyond the bound, in per cent of it: so many of the emptiest blocks
+# give no key.
+SPARE = 29
 
 
 @lru_cache(maxsize=8)
@@ -67,15 +71,15 @@ class Sketch:
     folded: np.ndarray
 
     def keys(self) -> np.ndarray:
-        """One key per block that may be the equal one."""
-        block, parity, folded = self.block, self.parity, self.folded
-        rich = self.size >= 2
-        if self.n_blocks - rich.sum() < self.n_blocks - self.bound:
-            block, parity, folded = block[rich], parity[rich], folded[rich]
-        elif len(block) < self.n_blocks:
+        """One key per block that may be the first equal one: blocks in order
+        of their size (largest first) and content, ``bound + 1`` of them."""
+        block, size, parity, folded = self.block, self.size, self.parity, self.folded
+        if len(block) <= self.bound:
             every = np.arange(self.n_blocks)
-            spread = lambda x: _put(x, self.block, self.n_blocks)
-            block, parity, folded = every, spread(parity), spread(folded)
+            spread = lambda x: _put(x, block, self.n_blocks)
+            block, size, parity, folded = every, spread(size.astype(U64)).astype(np.int64), spread(parity), spread(folded)
+        first = np.lexsort((block, folded, -size))[:self.bound + 1]
+        block, parity, folded = block[first], parity[first], folded[first]
         place = mix64(block.astype(U64) + (U64(self.band) << U64(44)))
         return mix64(folded * U64(0x9E3779B97F4A7C15) ^ place ^ parity)
 
@@ -105,7 +109,7 @@ def sketches(hashes: np.ndarray, percent: int) -> list[Sketch]:
     out, bits, mixed = [], U64(1) << (hashes & U64(63)), mix64(hashes)
     for band in ((own, own - 1) if own else (own,)):
         bound = bound_of(band, percent)
-        m = bound + 1 + -(-8 * bound // 100)
+        m = bound + 1 + -(-SPARE * bound // 100)
         block = (((hashes >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
         heads = np.append(0, np.flatnonzero(block[1:] != block[:-1]) + 1)
         out.append(Sketch(band, bound, m, block[heads], np.append(heads[1:], len(block)) - heads,
