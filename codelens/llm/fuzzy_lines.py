@@ -1,16 +1,18 @@
 """Fuzzy line deduplication by SimHash.
 
 Lines are normalised (ASCII letters lower-cased, digits 0, punctuation and
-blanks one space).  Equal normalised lines are one group from the start.  The
-64-bit SimHashes of the distinct lines (over each line's distinct words: with
-repeats, common words alone would make long lines alike) are cut into blocks; two hashes at most
-``MAX_HAMMING`` bits apart agree in so many whole blocks that they share a
-key.  Pairs within the distance whose edit similarity is high enough are
-links, and one occurrence of each connected group stays.
+blanks one space).  Equal normalised lines are one group from the start.  A
+line's fingerprint is cut into blocks by its features: the hash of a word
+names the block that it takes part in, and each block is the 64-bit SimHash of
+its own words.  A changed word so touches at most two blocks, wherever it
+stands, and the others stay equal; lines that share enough equal blocks are
+candidates.  Those whose edit similarity is high enough are links, and one
+occurrence of each connected group stays.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,15 +24,17 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
 from .common import fresh, in_arrow
-from .hashing import U64, WordHasher, rows_of
+from .hashing import U64, WordHasher, mix64, rows_of
 from .pigeonhole import linked_components
 
+# Lines of fewer words are repeats only if they are equal.
 MIN_WORDS = 5
-MAX_HAMMING = 3
 EDIT_PERCENT = 90
+# Words that the blocks of a key must hold.
+KEY_WORDS = 3
 
 _KEEP = bytes(range(256)).translate(bytes(
-    ord("0") if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c
+    10 if c == 10 else ord("0") if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c
     for c in range(256)))
 # byte -> eight counters of one byte each, holding the byte's bits
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=U64)
@@ -43,11 +47,15 @@ def line_words(line: str) -> list[bytes]:
 
 def simhashes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit SimHash of consecutive runs of word hashes (every run > 0)."""
+    lanes = _LANES[words.view(np.uint8).reshape(-1, 8)]
+    if lengths.max() < 256:
+        starts = np.cumsum(lengths) - lengths
+        counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64)
+        return np.packbits(counts > (lengths >> 1)[:, None], axis=1, bitorder="little").view(U64).ravel()
     # runs longer than 255 words are summed in pieces: a counter has one byte
     pieces = np.concatenate([[255] * (n // 255) + ([n % 255] if n % 255 else []) for n in lengths.tolist()]) \
         .astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(pieces)[:-1]])
-    lanes = _LANES[words.view(np.uint8).reshape(-1, 8)]
     sums = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)
     per_run = np.array([-(-n // 255) for n in lengths.tolist()], dtype=np.int64)
     counts = np.add.reduceat(sums, np.concatenate([[0], np.cumsum(per_run)[:-1]]), axis=0)
@@ -55,29 +63,98 @@ def simhashes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(U64).ravel()
 
 
-def _lines(min_words: int, chunk: int = 1 << 16):
-    """(doc_id, th, line, norm, sim) for every line with enough words."""
+def block_plan(n: int) -> tuple[int, int]:
+    """(blocks, equal blocks of a key) for a line of ``n`` distinct words:
+    blocks of 4 to 20 words, so that a changed word in twenty leaves some
+    equal, while few unrelated lines share one.  In lines of fewer than 10
+    words every word is a block, and all but one must be equal: (0, 0)."""
+    for least, blocks, same in ((10, 0, 0), (20, 5, 2), (40, 5, 1), (80, 7, 1), (160, 12, 1), (320, 20, 1)):
+        if n < least:
+            return blocks, same
+    return 32 << (n // 320).bit_length() - 1, 1
+
+
+def plans_of(n: int) -> set[tuple[int, int]]:
+    """Plans of a line of ``n`` distinct words: its own, and that of a line
+    which is a tenth longer (the longer one has only its own)."""
+    return {block_plan(n), block_plan(-(-n * 10 // 9))}
+
+
+def block_keys(plan: tuple[int, int], words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, key)`` of consecutive lines of ``sizes`` distinct word hashes."""
+    blocks, same = plan
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    if not blocks:
+        # all words, and all but each one
+        own = mix64(words)
+        total = np.add.reduceat(own, np.cumsum(sizes) - sizes)
+        return (np.concatenate([np.arange(len(sizes)), line]),
+                mix64(np.concatenate([total, np.repeat(total, sizes) - own])))
+    cell = line * blocks + ((words >> U64(32)) * U64(blocks) >> U64(32)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cells, counts = np.unique(cell[order], return_counts=True)
+    sims = simhashes(words[order], counts)
+    if same == 1:
+        some = counts >= KEY_WORDS
+        at = cells[some]
+        return at // blocks, mix64(sims[some] ^ mix64((at % blocks + (blocks << 32)).astype(U64)))
+    sim, held = np.zeros(len(sizes) * blocks, dtype=U64), np.zeros(len(sizes) * blocks, dtype=np.int64)
+    sim[cells], held[cells] = sims, counts
+    sim, held = sim.reshape(-1, blocks), held.reshape(-1, blocks)
+    lines, keys = [], []
+    for j, chosen in enumerate(combinations(range(blocks), same)):
+        some = np.flatnonzero(held[:, chosen].sum(axis=1) >= KEY_WORDS)
+        key = np.full(len(some), j + (blocks << 32) + (same << 16), dtype=U64)
+        for c in chosen:
+            key = mix64(key) ^ sim[some, c]
+        lines.append(some), keys.append(mix64(key))
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+def _lines(min_words: int, chunk: int = 1 << 18):
+    """(doc_id, th, line, norm, size, keys) of every line with a word; keys
+    are null where a line of the same chunk gives them."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        rows, words = [], []
+        rows, groups, number, n_words = [], defaultdict(lambda: ([], [], [])), {}, 0
 
         def out():
-            sims = simhashes(hasher(words), np.array([r[4] for r in rows]))
+            at, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+            for plan, (ids, sizes, words) in groups.items():
+                line, key = block_keys(plan, hasher(words), np.array(sizes))
+                at.append(np.array(ids)[line]), keys.append(key)
+            at, keys = np.concatenate(at), np.concatenate(keys)
+            ends = np.cumsum(np.bincount(at, minlength=len(rows)))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+                pa.array(keys[np.argsort(at, kind="stable")].view(np.int64)),
+                mask=pa.array([r[5] for r in rows], pa.bool_()))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in rows], t) for j, t in enumerate(
-                    (pa.int64(), pa.int64(), pa.int32(), pa.binary()))] + [pa.array(sims.astype(np.int64))],
-                names=["doc_id", "th", "line", "norm", "sim"])
+                    (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()))] + [lists],
+                names=["doc_id", "th", "line", "norm", "size", "keys"])
         for doc_id, th, text in rows_of(batches, "doc_id", "th", "text"):
-            for no, line in enumerate(text.split("\n") if text else ()):
-                w = line_words(line)
-                if len(w) < min_words:
+            for no, line in enumerate(text.encode("utf-8", "surrogatepass").translate(_KEEP).split(b"\n") if text else ()):
+                w = line.split()
+                if not w:
                     continue
-                features = set(w)
-                rows.append((doc_id, th, no, xxhash.xxh3_128_digest(b" ".join(w)), len(features)))
-                words += features
-                if len(words) >= chunk:
+                norm = b" ".join(w)
+                digest = xxhash.xxh3_128_digest(norm)
+                again = digest in number
+                if not again:
+                    number[digest] = len(norm.decode("utf-8", "replace"))
+                    if len(w) >= min_words:
+                        features = set(w)
+                        for plan in plans_of(len(features)):
+                            ids, sizes, words = groups[plan]
+                            ids.append(len(rows)), sizes.append(len(features))
+                            words += features
+                        n_words += len(features)
+                rows.append((doc_id, th, no, digest, number[digest], again))
+                if n_words >= chunk or len(rows) >= chunk:
                     yield out()
-                    rows, words = [], []
+                    rows, number, n_words = [], {}, 0
+                    groups.clear()
         if rows:
             yield out()
     return run
@@ -141,53 +218,34 @@ def _similar(edit_percent: int):
     return run
 
 
-def block_plan(n: int, max_hamming: int = MAX_HAMMING) -> tuple[int, int]:
-    """(blocks, equal blocks) of the join keys for ``n`` lines: as many equal
-    blocks as give 64 times more keys than lines, so that lines that share one
-    by chance stay few.  Every plan finds all pairs within the distance; it
-    only sets how many others share a key."""
-    same = 2
-    while same < 8 and 64 * same / (max_hamming + same) < np.log2(max(n, 1)) + 6:
-        same += 1
-    return max_hamming + same, same
-
-
-def block_keys(sim, blocks: int, same: int):
-    """Array of one key per choice of ``same`` of the ``blocks``."""
-    ends = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << ends[i + 1]) - (1 << ends[i])) for i in range(blocks)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return F.array(*[F.xxhash64(F.lit(j), sim.bitwiseAND(F.lit(signed(sum(c))).cast("long")))
-                     for j, c in enumerate(combinations(masks, same))])
-
-
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .withColumn("th", F.xxhash64("text"))
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int = MAX_HAMMING,
-                edit_percent: int = EDIT_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(lines, keep)``: every line ``(doc_id, th, line, norm, sim)`` and,
-    for lines that belong to a group of two or more occurrences, ``(norm,
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, edit_percent: int = EDIT_PERCENT) \
+        -> tuple[DataFrame, DataFrame]:
+    """``(lines, keep)``: every line ``(doc_id, th, line, norm, size, keys)``
+    and, for lines that belong to a group of two or more occurrences, ``(norm,
     first)`` with the occurrence that stays: the smallest
     ``(id is null, doc_id, th, line)`` of the connected group."""
     docs = _identified(docs)
     lines = materialize(in_arrow(
-        docs, _lines(min_words), "doc_id long, th long, line int, norm binary, sim long"), "lines")
+        docs, _lines(min_words), "doc_id long, th long, line int, norm binary, size int, keys array<long>"), "lines")
     occurrence = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "line")
     distinct = materialize(
         lines.groupBy("norm").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"),
-                                  F.first("sim").alias("sim"))
+                                  F.first("size").alias("size"), F.first("keys", ignorenulls=True).alias("keys"))
         .withColumn("lid", F.monotonically_increasing_id()), "line-groups")
-    blocks, same = block_plan(distinct.count(), max_hamming)
-    keys = distinct.select(F.col("lid").alias("id"), F.explode_outer(block_keys(F.col("sim"), blocks, same)).alias("key"))
+    keys = distinct.select(F.col("lid").alias("id"), F.explode_outer("keys").alias("key")).filter(F.col("key").isNotNull())
+
+    def fits(a, b):
+        return F.abs(a - b) <= F.floor(F.greatest(a, b) * (100 - edit_percent) / 100)
 
     def links(pairs: DataFrame) -> DataFrame:
         side = lambda x: distinct.select(
-            F.col("lid").alias(x), F.col("sim").alias(f"sim_{x}"), F.col("first").alias(f"at_{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b") \
-            .filter(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= max_hamming)
+            F.col("lid").alias(x), F.col("size").alias(f"size_{x}"), F.col("first").alias(f"at_{x}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits(F.col("size_a"), F.col("size_b")))
         near = materialize(near.select("a", "at_a", "b", "at_b"), "line-pairs")
         if near.isEmpty():
             return near.select("a", "b")
@@ -204,8 +262,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int =
                            "line-links")
 
     comp = materialize(linked_components(
-        keys, links, distinct.select(F.col("lid").alias("id"), "sim"),
-        lambda a, b: F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= max_hamming, chain_rounds=0), "line-components")
+        keys, links, distinct.select(F.col("lid").alias("id"), "size"),
+        lambda a, b: fits(a("size"), b("size"))), "line-components")
     grouped = distinct.join(comp, F.col("lid") == F.col("id"), "left").filter(F.col("id").isNotNull() | (F.col("n") > 1)) \
         .select("norm", "first", F.coalesce("comp", "lid").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
@@ -226,7 +284,8 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
 def dedup_lines(docs: DataFrame, counts: tuple[str, str, str] | None = None, **options) -> DataFrame:
     """``docs`` with all columns, ``text`` without the repeated fuzzy lines.
 
-    Lines of fewer than ``min_words`` words stay; null text stays null; rows
+    Lines of fewer than ``min_words`` words go only if an equal one stays,
+    lines without words stay; null text stays null; rows
     with equal id and text are one document; rows without an id come after
     all others; an empty table gives no rows.  ``counts`` names three more
     columns: number of lines, of removed lines, and the array of these."""

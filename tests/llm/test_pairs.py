@@ -180,33 +180,31 @@ def test_wand_equals_exhaustive_scores():
             assert {i for i, _ in shard.wand(terms, 0, 50, theta)} == want
 
 
-def brute_lines(rows):
-    """Groups of lines by the operator's definition, over all pairs."""
-    hasher, occ, sim = WordHasher(), defaultdict(list), {}
+def brute_lines(rows, min_words=fuzzy_lines.MIN_WORDS):
+    """All pairs by edit distance alone, without fingerprints."""
+    occ = defaultdict(list)
     for d, t in rows:
-        for no, line in enumerate((t or "").split("\n") if t else ()):
-            w = fuzzy_lines.line_words(line)
-            if len(w) >= fuzzy_lines.MIN_WORDS:
-                key = b" ".join(w)
-                occ[key].append((d is None, d, no))
-                sim[key] = int(fuzzy_lines.simhashes(hasher(sorted(set(w))), np.array([len(set(w))]))[0])
+        for no, line in enumerate((t or "").split("\n")):
+            if w := fuzzy_lines.line_words(line):
+                occ[b" ".join(w).decode()].append((d is None, d, no))
     keys = list(occ)
 
-    def distance(a, b):
+    def within(a, b, room):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             last, row[0] = row[0], i
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+            if min(row) > room:
+                return False
+        return row[-1] <= room
     links = []
     for i, a in enumerate(keys):
         for j in range(i):
             b = keys[j]
-            if bin(sim[a] ^ sim[b]).count("1") <= fuzzy_lines.MAX_HAMMING:
-                room = max(len(a), len(b)) * (100 - fuzzy_lines.EDIT_PERCENT) // 100
-                if distance(a, b) <= room:
-                    links.append((i, j))
+            room = max(len(a), len(b)) * (100 - fuzzy_lines.EDIT_PERCENT) // 100
+            if min(a.count(" "), b.count(" ")) >= min_words - 1 and within(a, b, room):
+                links.append((i, j))
     group = union_find(range(len(keys)), links)
     first = {}
     for i, k in enumerate(keys):
@@ -241,16 +239,29 @@ def test_fuzzy_lines(spark):
     assert fuzzy_lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_block_plans_find_every_close_pair(spark):
+def shares_key(a, b):
+    found = []
+    for words in (set(a), set(b)):
+        h = WordHasher()([w.encode() for w in words])
+        found.append({k for plan in fuzzy_lines.plans_of(len(h))
+                      for k in fuzzy_lines.block_keys(plan, h, np.array([len(h)]))[1].tolist()})
+    return bool(found[0] & found[1])
+
+
+def test_near_lines_share_a_key():
     rng = random.Random(8)
-    sims = [rng.getrandbits(64) for _ in range(30)]
-    sims += [s ^ sum(1 << b for b in rng.sample(range(64), 3)) for s in sims]
-    signed = [s - (1 << 64) if s >> 63 else s for s in sims]
-    for n in (1, 1 << 30, 1 << 40):
-        blocks, same = fuzzy_lines.block_plan(n)
-        keys = {r.s: set(r.k) for r in spark.createDataFrame([(s,) for s in signed], "s long").select(
-            "s", fuzzy_lines.block_keys(F.col("s"), blocks, same).alias("k")).collect()}
-        assert all(keys[signed[i]] & keys[signed[i + 30]] for i in range(30))
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 9)))
+    for n in (5, 9, 10, 19, 20, 39, 40, 80, 160, 400, 3000):
+        hits = {"changed": 0, "inserted": 0, "twentieth": 0, "other": 0}
+        for _ in range(100):
+            a = [word() for _ in range(n)]
+            i = rng.randrange(n)
+            hits["changed"] += shares_key(a, a[:i] + [a[i] + "x"] + a[i + 1:])
+            hits["inserted"] += shares_key(a, a[:i] + [word()] + a[i:])
+            some = set(rng.sample(range(n), max(1, n // 20)))
+            hits["twentieth"] += shares_key(a, [w + "x" if j in some else w for j, w in enumerate(a)])
+            hits["other"] += shares_key(a, [word() for _ in range(n)])
+        assert min(hits["changed"], hits["inserted"], hits["twentieth"]) >= 90 and not hits["other"], (n, hits)
 
 
 def brute_spans(rows, k=sentence_spans.RUN, least=sentence_spans.MIN_WORDS):
