@@ -242,28 +242,29 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, edit_percent: int =
     def fits(a, b):
         return F.abs(a - b) <= F.floor(F.greatest(a, b) * (100 - edit_percent) / 100)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        side = lambda x: distinct.select(
-            F.col("lid").alias(x), F.col("size").alias(f"size_{x}"), F.col("first").alias(f"at_{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits(F.col("size_a"), F.col("size_b")))
-        near = materialize(near.select("a", "at_a", "b", "at_b"), "line-pairs")
-        if near.isEmpty():
-            return near.select("a", "b")
-        at = near.select(F.col("a").alias("lid"), F.col("at_a").alias("at")) \
-            .union(near.select("b", "at_b")).distinct()
-        per_doc = at.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t")) \
-            .agg(F.collect_list(F.struct("lid", F.col("at.line").alias("line"))).alias("wanted"))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+        per_doc = distinct.select("lid", "first").join(ids, "lid", "left_semi") \
+            .groupBy(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")) \
+            .agg(F.collect_list(F.struct("lid", F.col("first.line").alias("line"))).alias("wanted"))
         asked = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-        texts = in_arrow(asked.select("text", "wanted"), _wanted, "lid long, norm string").dropDuplicates(["lid"])
-        texts = materialize(texts, "line-texts")
-        both = near.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a") \
-            .join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
-        return materialize(in_arrow(both.select("a", "b", "ta", "tb"), _similar(edit_percent), "a long, b long"),
+        return materialize(in_arrow(asked.select("text", "wanted"), _wanted, "lid long, norm string")
+                           .dropDuplicates(["lid"]), "line-texts")
+
+    texts = []
+
+    def links(pairs: DataFrame) -> DataFrame:
+        # the first pairs name every line that shares a key: texts are read once
+        if not texts:
+            texts.append(texts_of(pairs))
+        side = lambda x: texts[0].select(F.col("lid").alias(x), F.col("norm").alias(f"t{x}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits(F.length("ta"), F.length("tb")))
+        return materialize(in_arrow(near.select("a", "b", "ta", "tb"), _similar(edit_percent), "a long, b long"),
                            "line-links")
 
     comp = materialize(linked_components(
         keys, links, distinct.select(F.col("lid").alias("id"), "size"),
-        lambda a, b: fits(a("size"), b("size"))), "line-components")
+        lambda a, b: fits(a("size"), b("size")), chain_rounds=1), "line-components")
     grouped = distinct.join(comp, F.col("lid") == F.col("id"), "left").filter(F.col("id").isNotNull() | (F.col("n") > 1)) \
         .select("norm", "first", F.coalesce("comp", "lid").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
