@@ -48,24 +48,35 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "t
           "tfoot": ("td", "th", "tr", "tbody")}
 SCOPES = frozenset("ul ol dl table body div section article main aside nav".split())
 
-# Prior evidence for tags and names, as log odds of content.
+# Elements that hold one paragraph of several.
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd".split())
+# Tags that the markup language itself sets apart from the main text.
+APART = frozenset("nav footer header aside form menu dialog fieldset".split())
+# First words of a name that says what its element has or lacks ("has-sidebar").
+STATE = frozenset("has have no not non without with is hide hides show shows".split())
+# Last words that only say that something is held ("comment-list").
+HOLDER = frozenset("""area bar block body box button buttons card cell col column container field group holder icon icons
+inner item items label left link links list module outer panel placeholder region right root row section slot text title
+top unit wrap wrapper""".split())
+# Prior evidence for tags and names, as log odds of content: a name weighs
+# less than an article's tag, or than a name and all that children can say.
 PRIOR = {
     **dict.fromkeys(("tag:article", "tag:main"), 8.0),
     **dict.fromkeys(("tag:p", "tag:h1", "tag:h2", "tag:h3", "tag:blockquote", "tag:pre"), 0.5),
-    **dict.fromkeys(("tag:nav", "tag:footer", "tag:header", "tag:aside", "tag:form", "tag:menu", "tag:dialog",
-                     "tag:fieldset"), -40.0),
+    **dict.fromkeys((f"tag:{x}" for x in APART), -12.0),
     **dict.fromkeys(("name:articlebody", "name:article", "name:story", "name:post", "name:entry"), 1.5),
     **dict.fromkeys(("name:content", "name:main", "name:text", "name:body"), 1.0),
     **dict.fromkeys((f"name:{x}" for x in """ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha
 comment comments consent cookie cookies disclaimer discussion donate footer form gdpr header login masthead menu modal
 nav navbar navigation newsletter notice notices notification pagination paywall popup promo promotion recommended
 related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags
-toolbar widget widgets""".split()), -40.0),
+toolbar widget widgets""".split()), -7.0),
 }
+PART = 0.3           # share of a word's prior where another word follows it ("share-price")
 # What training can add at most: a text's looks must not outweigh its place.
-LIMIT = {"tag:": 1.0, "name:": 3.0, "text:": 1.5}
-MOST_PUSH = 1e8      # bound on what all children together tell their parent
-LEAST = 0.01         # below it a page has no article
+LIMIT = {"tag:": 1.0, "name:": 7.0, "part:": 2.0, "text:": 1.5}
+MOST_PUSH = 400.0    # bound on what all children together tell their parent
+LEAST = 0.02         # odds below which an element whose names speak against it is no article
 STAY = 0.97          # prior share of children that share their parent's label
 STAY_COUNT = 40.0    # its weight in observations
 OPEN = {"article": 0.8, "main": 0.8, "section": 0.1, "div": 0.1, "td": 0.1, "body": 0.1}
@@ -74,7 +85,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^><]*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.!?,;:…。，]")
 
 
@@ -94,6 +105,33 @@ class Page:
         return len(self.tag) - 1
 
 
+def names_of(attributes: str) -> tuple[str, ...]:
+    """Evidence in the names of an element: ``name:`` with the word that a
+    name is about (the last one that is no holder), ``part:`` with the words
+    before it, ``name:`` with the whole of a name of a state."""
+    found = set()
+    for value in _NAMES.findall(attributes):
+        for name in "".join(value).split():
+            words = [x.lower() for x in _SPLIT.split(name) if x]
+            if len(words) > 1 and words[0] in STATE:
+                found.add("name:" + "-".join(words))
+                continue
+            while len(words) > 1 and words[-1] in HOLDER:
+                words.pop()
+            found.update(f"part:{x}" for x in words[:-1])
+            found.update(f"name:{x}" for x in words[-1:])
+    return tuple(sorted(found))
+
+
+def prior_of(e: str) -> float:
+    """Log odds of content before training; of a text by its length, its
+    share of links and whether it has stops."""
+    if e.startswith("text:"):
+        n, links, stops = map(int, e.split(":")[1:])
+        return -1.0 if links >= 2 else 1.0 if n >= 5 and stops else 0.0
+    return PART * PRIOR.get("name:" + e[5:], 0.0) if e.startswith("part:") else PRIOR.get(e, 0.0)
+
+
 def parse(html: str) -> Page:
     """Block tree of a page; any string is accepted."""
     page = Page()
@@ -167,10 +205,10 @@ def parse(html: str) -> Page:
             closer = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = html.find(">", closer.start()) + 1 or end if closer else end
             continue
-        names = tuple(sorted({x.lower() for v in _NAMES.findall(attributes) for x in _SPLIT.split("".join(v)) if x}))
         if tag == "html":
             continue
-        stack.append(page.add(stack[-1], tag, names))
+        # the names of a body are about the page as a whole
+        stack.append(page.add(stack[-1], tag, names_of(attributes) if tag != "body" else ()))
         hidden += tag in HIDDEN
     flush()
     return page
@@ -178,22 +216,24 @@ def parse(html: str) -> Page:
 
 def marked_labels(page: Page) -> list[int] | None:
     """1 for the nodes inside the marked article, 0 for all others; None if
-    the page marks none.  Inside it, elements that the prior rejects and all
-    below them are 0."""
-    label, found = [], False
+    the page marks none.  Inside it, elements set apart by their tag and all
+    below them are 0; elements whose names speak against it take the label
+    that the untrained model finds likelier, given the article."""
+    label: list[int] = []
+    p = None
     for i, tag in enumerate(page.tag):
         up = page.parent[i]
-        inside = up >= 0 and label[up] > 0
-        rejected = up >= 0 and label[up] < 0
-        prior = [PRIOR.get(f"tag:{tag}", 0)] + [PRIOR.get(f"name:{n}", 0) for n in page.names[i]]
-        if rejected or (tag != "#text" and min(prior) <= -3):
+        if up >= 0 and label[up] < 0 or tag in APART:
             label.append(-1)
-        elif inside or tag in ("article", "main") or "articlebody" in page.names[i]:
-            label.append(1)
-            found = True
+        elif up >= 0 and label[up] > 0:
+            if sum(map(prior_of, page.names[i])) <= -1:
+                p = p or UNTRAINED.marginals(page, label.index(1))
+                label.append(1 if p[i] >= 0.5 else -1)
+            else:
+                label.append(1)
         else:
-            label.append(0)
-    return [max(x, 0) for x in label] if found else None
+            label.append(int(tag in ("article", "main") or "name:articlebody" in page.names[i]))
+    return [max(x, 0) for x in label] if 1 in label else None
 
 
 def observations(page: Page, labels: list[int]) -> Counter:
@@ -210,7 +250,7 @@ def observations(page: Page, labels: list[int]) -> Counter:
 def evidence(page: Page, i: int) -> list[str]:
     if page.tag[i] == "#text":
         return [page.evidence[i]]
-    return [f"tag:{page.tag[i]}"] + [f"name:{n}" for n in page.names[i]]
+    return [f"tag:{page.tag[i]}", *page.names[i]]
 
 
 class Model:
@@ -218,15 +258,15 @@ class Model:
 
     def __init__(self, counts: dict[tuple, int]) -> None:
         total = {kind: [sum(n for (w, p, y), n in counts.items() if p < 0 and y == label and w.startswith(kind))
-                        for label in (0, 1)] for kind in ("tag:", "name:", "text:")}
-        self.odds = dict(PRIOR)
+                        for label in (0, 1)] for kind in LIMIT}
+        self.odds: dict[str, float] = {}
         for w in {w for w, p, _ in counts if p < 0}:
             n0, n1 = total[w[:w.index(":") + 1]]
             c0, c1 = counts.get((w, -1, 0), 0), counts.get((w, -1, 1), 0)
             seen, most = log((c1 + 0.5) / (n1 + 1.0)) - log((c0 + 0.5) / (n0 + 1.0)), LIMIT[w[:w.index(":") + 1]]
             seen = max(-most, min(most, seen))
             # the prior counts like ten observations, unless these only confirm it
-            prior = PRIOR.get(w, 0.0)
+            prior = prior_of(w)
             self.odds[w] = prior if prior * seen > 0 and abs(prior) > abs(seen) else (
                 (prior * 10 + seen * (c0 + c1)) / (10 + c0 + c1))
         self.turn: dict[str, tuple[float, float]] = {}
@@ -240,18 +280,20 @@ class Model:
         prior = STAY if parent else OPEN.get(tag, 1 - STAY)
         return (ones + STAY_COUNT * prior) / (ones + zeros + STAY_COUNT)
 
+    def odds_of(self, e: str) -> float:
+        return self.odds[e] if e in self.odds else prior_of(e)
+
     def _turn(self, page: Page, i: int, own: float) -> tuple[float, float]:
-        if own < -10:
+        if own < -4:
             # an advert or a menu says little about what it stands in
             return 0.01, 0.1
         return self.turn.get(f"under:{page.tag[i]}") or (self._share(page.tag[i], 0), self._share(page.tag[i], 1))
 
-    def marginals(self, page: Page, content: int | None = None) -> list[float]:
-        """P(content) of every node, given that node ``content`` is: messages
-        from the leaves to the root, then from the root to the leaves."""
+    def upward(self, page: Page, content: int | None = None) -> tuple[list, list, list]:
+        """Per node: odds content : not by its own evidence and all below it,
+        message to its parent, transition probabilities."""
         n = len(page.tag)
-        # odds content : not of a node by its own evidence, then with all below it
-        own = [sum(self.odds.get(e, 0.0) for e in evidence(page, i)) for i in range(n)]
+        own = [sum(map(self.odds_of, evidence(page, i))) for i in range(n)]
         below = [exp(max(-60.0, min(60.0, x))) for x in own]
         if content is not None:
             below[content] = 1e30
@@ -264,6 +306,13 @@ class Model:
             up = page.parent[i]
             push[up] = max(1 / MOST_PUSH, min(MOST_PUSH, push[up] * message[i]))
         below[0] *= push[0]
+        return below, message, turns
+
+    def marginals(self, page: Page, content: int | None = None) -> list[float]:
+        """P(content) of every node, given that node ``content`` is: messages
+        from the leaves to the root, then from the root to the leaves."""
+        n = len(page.tag)
+        below, message, turns = self.upward(page, content)
         out = [0.0] * n
         out[0] = below[0] * 0.01 / (1 + below[0] * 0.01)
         for i in range(1, n):
@@ -282,14 +331,27 @@ class Model:
             return ""
         page = parse(html)
         p = self.marginals(page)
-        elements = [i for i, t in enumerate(page.tag) if t != "#text"]
-        best = max(elements, key=p.__getitem__)
-        if LEAST <= p[best] < 0.5:
-            # an unknown layout: its likeliest element is taken as the article
-            p = self.marginals(page, best)
+        if not any(x >= 0.5 for x, t in zip(p, page.text) if t is None):
+            # an unknown layout: the element that its own evidence and all
+            # below it speak for most is taken as the article; if no text is
+            # in it but in elements with other names, the likeliest of those
+            odds, set_apart = self.upward(page)[0], [False] * len(p)
+            for i, tag in enumerate(page.tag):
+                set_apart[i] = tag in APART or i > 0 and set_apart[page.parent[i]]
+            holders = [i for i, tag in enumerate(page.tag)
+                       if not set_apart[i] and tag != "#text" and tag not in PARAGRAPH]
+            for among, least in ((holders, 0.0), (holders[1:], LEAST)):
+                best = max(among, key=odds.__getitem__, default=0)
+                if odds[best] >= least and among:
+                    p = self.marginals(page, best)
+                    if any(x >= 0.5 for x, t in zip(p, page.text) if t is not None):
+                        break
         return "\n\n".join(t for t, x in zip(page.text, p) if t is not None and x >= 0.5)
 
 
+UNTRAINED = Model({})
+
+
 def _observe(batches) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     for (html,) in rows_of(batches, "html"):
@@ -313,7 +375,7 @@ def train(pages: DataFrame, max_labelled: int = MAX_LABELLED, max_names: int = M
     some = sample.join(F.broadcast(lowest.distinct()), "h").select("html")
     counts = in_arrow(some, _observe, "what string, parent int, label int, n long") \
         .groupBy("what", "parent", "label").agg(F.sum("n").alias("n"))
-    kept = counts.orderBy(F.col("what").startswith("name:"), F.desc("n"), "what", "parent", "label") \
+    kept = counts.orderBy(F.col("what").rlike("^(name|part):"), F.desc("n"), "what", "parent", "label") \
         .limit(4 * max_names)
     return Model({(r["what"], r["parent"], r["label"]): r["n"] for r in kept.collect()})
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from codelens.llm import context_mixing as cm
@@ -66,13 +67,69 @@ def test_layouts_that_are_not_in_the_training_pages(spark):
     assert html_text.extract(df.limit(0), model).count() == 0
 
 
+A = "The storm reached the coast at dawn, and the harbour was closed to all ships for most of the day."
+B = "Nobody was hurt, the mayor said, but the old pier has lost its roof, and the market stays shut until Monday."
+C = "Fishermen had been warned in time, and they had tied up their boats in the inner harbour the night before."
+PS = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+NAV = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+FOOT = "<footer><p>Copyright, all rights reserved.</p></footer>"
+SIDE = '<div class="sidebar"><h3>More</h3><ul><li><a href=/c>Another story</a></li><li><a href=/d>One more</a></li></ul></div>'
+TALK = f'<div class="comment-list"><div class="comment"><p>I was there. {C}</p></div><div class="comment"><p>So was I. {B}</p></div></div>'
+LAYOUTS = {
+    "article has sidebar": f'{NAV}<article class="post has-sidebar">{PS}</article>{SIDE}{FOOT}',
+    "content no comments": f'{NAV}<div id="content" class="content no-comments">{PS}</div>{SIDE}{FOOT}',
+    "share price": f'{NAV}<article><p>{A}</p><p class="share-price">{B}</p><p>{C}</p></article>{FOOT}',
+    "neutral names": f'{NAV}<div class="x1"><div class="x2">{PS}</div></div>{SIDE}{FOOT}',
+    "no names": f'<div>{NAV}</div><div><div>{PS}</div></div>{FOOT}',
+    "body states": f'<body class="nav-open sidebar-visible no-ads">{NAV}<div class="entry">{PS}</div>{FOOT}</body>',
+    "article named widget": f'{NAV}<article class="widget">{PS}</article>{FOOT}',
+    "main named social": f'{NAV}<main id="social">{PS}</main>{SIDE}{FOOT}',
+    "div named widget": f'{NAV}<div class="widget">{PS}</div>{FOOT}',
+    "talk in the article": f'{NAV}<article>{PS}{TALK}</article>{FOOT}',
+    "talk beside it": f'{NAV}<div class="story-text">{PS}</div>{TALK}{FOOT}',
+    "share buttons": f'<article>{PS}<div class="share-buttons"><a href=/e>Tell a friend</a></div></article>{SIDE}',
+    "table layout": f'<table><tr><td class="menu"><a href=/a>Home</a> <a href=/b>News</a></td><td>{PS}</td></tr></table>',
+    "cookie law": f'<article><h2>x</h2>{PS}</article><div class="cookie-notice"><p>We use cookies.</p></div>'.replace("<h2>x</h2>", ""),
+    "reply card": f'{NAV}<article>{PS}<section id="respond"><p>Leave a reply, please.</p></section></article>{FOOT}',
+    "header photo": f'{NAV}<article><div class="header-photo"><p>{A}</p></div><p>{B}</p><p>{C}</p></article>{FOOT}',
+}
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rows = [(p["page_id"], p["url"], p["html"]) for p in table("pages")]
+    return html_text.train(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_names_do_not_decide_alone(trained, layout):
+    for model in (trained, html_text.UNTRAINED):
+        assert model.text(f"<html>{LAYOUTS[layout]}</html>") == f"{A}\n\n{B}\n\n{C}"
+
+
+def test_pages_without_an_article(trained):
+    for rest in (NAV + FOOT, NAV + SIDE + FOOT, NAV + '<div class="cookie-notice"><p>We use cookies.</p></div>' + FOOT,
+                 '<div class="comments"><p>I was there.</p><p>So was I.</p></div>', "<form><p>Your name</p></form>"):
+        assert [m.text(rest) for m in (trained, html_text.UNTRAINED)] == ["", ""], rest
+
+
+def test_training_outweighs_the_prior_of_a_name():
+    """Pages whose marked articles lie in paragraphs named "widget"."""
+    counts = Counter()
+    for i in range(200):
+        page = html_text.parse(f'{NAV}<article><p>{A}</p><p class="widget">{B} {C * (i % 3)}</p></article><div class="x">y</div>')
+        counts.update(html_text.observations(page, html_text.marked_labels(page)))
+    assert html_text.Model(counts).odds_of("name:widget") > -1 > html_text.UNTRAINED.odds_of("name:widget")
+    assert html_text.marked_labels(html_text.parse(f"<article>{PS}{TALK}</article>"))[-1] == 0
+
+
 def test_marginals_equal_enumeration():
     """Messages give the same marginals as summing over all label choices."""
     model = html_text.Model({("tag:p", -1, 1): 30, ("tag:p", -1, 0): 20, ("tag:div", -1, 0): 9, ("under:p", 1, 1): 20,
                              ("under:p", 0, 0): 9, ("text:3:0:0", -1, 1): 5, ("text:3:0:0", -1, 0): 2})
     page = html_text.parse("<div><p>one two three four</p><p>five</p></div><div class=content><p>six</p></div>")
     n = len(page.tag)
-    own = [sum(model.odds.get(e, 0.0) for e in html_text.evidence(page, i)) for i in range(n)]
+    own = [sum(map(model.odds_of, html_text.evidence(page, i))) for i in range(n)]
     weight = np.zeros(n)
     total = 0.0
     for code in range(1 << n):
