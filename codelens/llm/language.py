@@ -31,8 +31,6 @@ TEXT_WEIGHT = 40.0
 # Pseudo-counts: of a level's parent in the host priors, of a uniform choice
 # in the tables of declared languages and suffixes.
 HOST_WEIGHT, TABLE_WEIGHT = 5.0, 2.0
-# Every fifth labelled document is not trained on (for held-out accuracy).
-HELD_OUT = 5
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&[#\w]+;?", re.S | re.I)
@@ -206,9 +204,12 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
         .withColumn("text_lang", F.element_at(names, F.col("guess") + 1)).select(*out)
 
 
-def labelled_documents(docs: DataFrame) -> DataFrame:
-    """The rows to train on: four of five labelled documents."""
-    return docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) != 0).select("lang", "text")
+def labelled_documents(docs: DataFrame, held_out: int | None = None) -> DataFrame:
+    """The rows to train on: all labelled documents, or without one of
+    ``held_out`` by hash of the id (for held-out accuracy)."""
+    if held_out:
+        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) != 0)
+    return docs.select("lang", "text")
 
 
 def evidence_rows(docs: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:

@@ -219,14 +219,20 @@ def test_languages(spark):
     docs = {d["doc_id"]: d for d in table("documents")}
     pages = {p["page_id"]: p for p in table("pages")}
     assert sum(r.doc_id is not None for r in got) == len(docs) and sum(r.page_id is not None for r in got) == len(pages)
-    held = {r.doc_id for r in spark.createDataFrame([(i,) for i in docs], "doc_id long")
-            .filter(F.pmod(F.xxhash64("doc_id"), F.lit(language.HELD_OUT)) == 0).collect()}
-    right = [r.lang == docs[r.doc_id]["lang"] for r in got if r.doc_id in held]
-    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
     right = [r.lang == re.search(r"/(de|en|es|fr)/", pages[r.page_id]["url"])[1] for r in got if r.page_id is not None]
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_languages_of_held_out_documents(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    some = language.labelled_documents(df, held_out=5)
+    assert 0.6 * df.count() < some.count() < language.labelled_documents(df).count() == df.count()
+    held = {r.doc_id: r.lang for r in df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
+    got = language.identify(language.evidence_rows(df), *language.train(some)).collect()
+    right = [r.lang == held[r.id] for r in got if r.id in held]
+    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+
+
 def test_evidence_beyond_the_text(spark):
     rng = random.Random(3)
     say = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(30))
