@@ -121,6 +121,15 @@ def mermaid_lines(edges: DataFrame) -> DataFrame:
 
 
 # G11 -----------------------------------------------------------------------
+def _adjacency(edges: DataFrame, direction: str) -> DataFrame:
+    """Distinct ``(_from, _to)`` to follow."""
+    down = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
+    up = edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to"))
+    if direction not in ("down", "up", "both"):
+        raise ValueError(direction)
+    return (down.unionByName(up) if direction == "both" else down if direction == "down" else up).distinct()
+
+
 def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str = "down") -> DataFrame:
     """Nodes within k hops of the seeds: ``node_id, depth`` (min depth; seeds
     at 0).  ``direction`` is ``down`` (follow src->dst), ``up`` or ``both``.
@@ -131,17 +140,8 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str =
     plan of a round holds two joins whatever its number.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
-    if direction == "down":
-        adj = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
-    elif direction == "up":
-        adj = edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to"))
-    elif direction == "both":
-        adj = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).unionByName(
-            edges.select(F.col("dst").alias("_from"), F.col("src").alias("_to")))
-    else:
-        raise ValueError(direction)
     # The adjacency is read once per round: materialize it once.
-    adj = materialize(adj.distinct(), "adjacency")
+    adj = materialize(_adjacency(edges, direction), "adjacency")
     visited = seeds.select(F.col("node_id")).distinct().withColumn("depth", F.lit(0))
     frontier = visited.select("node_id")
     for d in range(1, k + 1):
@@ -151,3 +151,52 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, direction: str =
         frontier = materialize(nxt, "frontier")
         visited = visited.unionByName(frontier.withColumn("depth", F.lit(d)))
     return visited
+
+
+WORD_BITS = 64
+
+
+def khop_by_seed(edges: DataFrame, seeds: DataFrame, k: int, direction: str = "down") -> DataFrame:
+    """Nodes within k hops of each seed: ``seed_id, node_id, depth, previous``
+    (min depth; ``previous`` is the smallest node one hop nearer to the seed,
+    null at depth 0).  ``direction`` is as in ``khop_neighbors``.
+
+    All seeds walk together: 64 of them share a word, and a frontier row
+    ``(node_id, word, bits)`` says which of these have just reached the node.
+    A round joins the frontier to the adjacency once, unites the bits per node
+    in the map tasks and takes off what was reached before, so its joins and
+    its plan do not grow with the number of seeds.  Seeds that repeat or are
+    null count once or not at all; a seed without edges reaches itself."""
+    spark = seeds.sparkSession
+    ensure_checkpoint_dir(spark)
+    adj = materialize(_adjacency(edges, direction), "adjacency")
+    number = F.monotonically_increasing_id()
+    named = materialize(seeds.filter(F.col("node_id").isNotNull()).select(F.col("node_id").alias("seed_id")).distinct()
+                        .withColumn("number", number), "seeds")
+    place = [F.floor(F.col("number") / WORD_BITS).alias("word"), F.pmod("number", F.lit(WORD_BITS)).cast("int").alias("bit")]
+    named = named.select("seed_id", *place)
+    bit = F.expr("shiftleft(1L, bit)")
+    frontier = materialize(named.select(F.col("seed_id").alias("node_id"), "word", bit.alias("bits")), "seed-frontier")
+    seen, found = frontier, named.select("seed_id", F.col("seed_id").alias("node_id"), F.lit(0).alias("depth"),
+                                         F.lit(None).cast("string").alias("previous"))
+    places = F.array(*[F.lit(i) for i in range(WORD_BITS)])
+    for d in range(1, k + 1):
+        steps = frontier.join(adj, frontier.node_id == adj._from).select(F.col("_to").alias("node_id"), "_from", "word", "bits")
+        reached = steps.groupBy("node_id", "word").agg(F.bit_or("bits").alias("reached"))
+        before = seen.select("node_id", "word", F.col("bits").alias("before"))
+        new = reached.join(before, ["node_id", "word"], "left") \
+            .select("node_id", "word", F.col("reached").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0)))).alias("bits")) \
+            .filter("bits != 0")
+        new = materialize(new, "seed-frontier")
+        # who brought each bit: only the bits that are new
+        brought = steps.join(new.select("node_id", "word", F.col("bits").alias("new")), ["node_id", "word"]) \
+            .select("node_id", "word", "_from", F.col("bits").bitwiseAND(F.col("new")).alias("bits"))
+        brought = brought.select("node_id", "word", "_from", F.explode_outer(F.filter(
+            places, lambda i: F.getbit("bits", i) == 1)).alias("bit")).filter(F.col("bit").isNotNull())
+        hop = brought.groupBy("node_id", "word", "bit").agg(F.min("_from").alias("previous")).join(named, ["word", "bit"]) \
+            .select("seed_id", "node_id", F.lit(d).alias("depth"), "previous")
+        found = found.unionByName(materialize(hop, "seed-hop"))
+        if d < k:
+            seen = materialize(seen.unionByName(new).groupBy("node_id", "word").agg(F.bit_or("bits").alias("bits")), "seed-seen")
+            frontier = new
+    return found

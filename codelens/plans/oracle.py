@@ -369,6 +369,14 @@ def oracle_sql() -> dict[str, str]:
         ("walk", f"""SELECT node_id, 0 AS depth FROM v_nodes WHERE node_id = {_q(KHOP_SEED)}
             UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node_id WHERE w.depth < {KHOP_K}""")],
         recursive=True) + "SELECT node_id, cast(min(depth) AS bigint) AS depth FROM walk GROUP BY node_id"
+    s["khop_by_seed"] = _with(["v_contains", "v_calls", "v_nodes"], [
+        ("e", "SELECT DISTINCT src, dst FROM (" + EDGES_ALL + ")"), ("sel", sel_nodes),
+        ("walk", f"""SELECT node_id AS seed_id, node_id, 0 AS depth FROM sel
+            UNION SELECT w.seed_id, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node_id WHERE w.depth < {KHOP_K}"""),
+        ("near", "SELECT seed_id, node_id, min(depth) AS depth FROM walk GROUP BY seed_id, node_id")],
+        recursive=True) + """SELECT n.seed_id, n.node_id, cast(n.depth AS bigint) AS depth, min(p.node_id) AS previous
+        FROM near n LEFT JOIN e ON e.dst = n.node_id AND n.depth > 0
+        LEFT JOIN near p ON p.seed_id = n.seed_id AND p.node_id = e.src AND p.depth = n.depth - 1 GROUP BY 1, 2, 3"""
     s["delta_classify"] = _with(["v_cur", "v_prev_state"]) + classify
     s["delta_filter"] = _with(["v_cur", "v_prev_state"]) + f"SELECT doc_id, path, content_hash FROM ({changed})"
     s["next_state"] = _with(["v_cur", "v_prev_state"], [("changed", changed)]) + f"""SELECT path, content_hash FROM v_cur c

@@ -220,6 +220,14 @@ def q_khop_neighbors(spark, sf_dir):
     return out.select("node_id", F.col("depth").cast("long"))
 
 
+@query("khop_by_seed")
+def q_khop_by_seed(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    seeds = graph.select_nodes(v.v_nodes, SUBGRAPH_ENTITY).select("node_id")
+    out = graph.khop_by_seed(_all_edges(v), seeds, KHOP_K, "down")
+    return out.select("seed_id", "node_id", F.col("depth").cast("long"), "previous")
+
+
 # -- I1 .. I3, K1 .. K4 -------------------------------------------------------
 @query("delta_classify")
 def q_delta_classify(spark, sf_dir):

@@ -1,10 +1,13 @@
 """Extractor quirks (FIXTURES.md §2, source-file cases) and the graph built
 from extracted symbols."""
 
+import random
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
+from codelens.operators import graph
 from codelens.operators import symbols as sy
 
 A = textwrap.dedent('''\
@@ -137,3 +140,36 @@ def test_byte_order_mark_and_carriage_returns(spark):
     assert {(r.symbol_name, r.start_line, r.content) for r in got} == {
         ("a", 1, "def a():\n    pass"), ("b", 1, "def b():\r    pass"), ("c", 3, "def c():\r    b()"),
         ("d", 2, "def d():\r\n    pass")}
+
+
+def test_khop_of_many_seeds_equals_one_run_per_seed(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)] + [("hub", f"n{i}") for i in range(60)]
+    edges = spark.createDataFrame(pairs + pairs[:5], "src string, dst string")
+    names = sorted({x for p in pairs for x in p}) + ["alone"] + [f"only{i}" for i in range(70)]
+    seeds = spark.createDataFrame([(n,) for n in names + names[:3]] + [(None,)], "node_id string")
+    for direction in ("down", "up", "both"):
+        near = {}
+        for a, b in pairs:
+            for x, y in {"down": [(a, b)], "up": [(b, a)], "both": [(a, b), (b, a)]}[direction]:
+                near.setdefault(x, set()).add(y)
+        want = set()
+        for seed in names:
+            depth, layer = {seed: 0}, {seed}
+            want.add((seed, seed, 0, None))
+            for d in (1, 2, 3):
+                layer = {y for x in layer for y in near.get(x, ())} - set(depth)
+                want |= {(seed, y, d, min(x for x in depth if depth[x] == d - 1 and y in near.get(x, ()))) for y in layer}
+                depth.update(dict.fromkeys(layer, d))
+        got = graph.khop_by_seed(edges, seeds, 3, direction).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert graph.khop_by_seed(edges, seeds.limit(0), 2).count() == 0
+    with pytest.raises(ValueError):
+        graph.khop_by_seed(edges, seeds, 2, "sideways")
+
+
+def test_khop_plan_does_not_grow_with_the_seeds(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 400}") for i in range(400)], "src string, dst string")
+    plans = [graph.khop_by_seed(edges, edges.select(F.col("src").alias("node_id")).limit(n), 2)
+             ._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (2, 300)]
+    assert plans[0] == plans[1]
