@@ -10,7 +10,7 @@ lower one are generalised.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -34,6 +34,9 @@ _TERM = r"[\p{L}\p{M}\p{N}]+"
 
 CONTEXT_CHARS = 120
 MIN_CONTEXTS = 3
+# Contexts that a term must share with a group of entities or a whole kind:
+# these have many contexts, so three are soon met by chance.
+MIN_WIDE_CONTEXTS = 10
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 
@@ -42,16 +45,20 @@ def located(text: Column, pattern: str) -> Column:
     """Array of ``(s, v)``: code-point start and value of every match.
 
     The pieces between the matches give the offsets.  ``text`` must be a
-    plain column: it is used several times."""
+    plain column: it is used several times.  Matches are gathered in blocks,
+    so that a text with very many of them does not copy all at each one."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("v"))
-    none = F.array().cast("array<struct<s:int,v:string>>")
-    return F.aggregate(
-        zipped, F.struct(F.lit(0).alias("p"), none.alias("out")),
-        lambda a, x: F.struct(
+    one, many = (F.array().cast(t) for t in ("array<struct<s:int,v:string>>", "array<array<struct<s:int,v:string>>>"))
+
+    def step(a, x):
+        hit = F.array(F.struct((a["p"] + F.length(x["g"])).alias("s"), x["v"].alias("v")))
+        full = F.size(a["last"]) >= 256
+        return F.struct(
             (a["p"] + F.length(x["g"]) + F.coalesce(F.length(x["v"]), F.lit(0))).alias("p"),
-            F.when(x["v"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
-                (a["p"] + F.length(x["g"])).alias("s"), x["v"].alias("v"))))).alias("out")),
-        lambda a: a["out"])
+            F.when(x["v"].isNull(), a["last"]).when(full, hit).otherwise(F.concat(a["last"], hit)).alias("last"),
+            F.when(full & x["v"].isNotNull(), F.concat(a["done"], F.array(a["last"]))).otherwise(a["done"]).alias("done"))
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("p"), one.alias("last"), many.alias("done")), step,
+                       lambda a: F.flatten(F.concat(a["done"], F.array(a["last"]))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -112,48 +119,86 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.xxhash64("t").alias("th"), F.sort_array(F.concat(*found)).alias("base"))
 
 
+def _outside(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows whose ``[ts, te)`` meets no base span of their text: in the
+    order of positions, the spans that begin before a row's end reach no
+    further than to its start."""
+    base = spans.select("doc_id", "th", F.explode("base").alias("x")).select(
+        "doc_id", "th", F.col("x.e").alias("reach"), F.col("x.s").alias("pos"))
+    both = rows.withColumn("pos", F.col("te") - 1).withColumn("asks", F.lit(1)) \
+        .unionByName(base.withColumn("asks", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("doc_id", "th").orderBy("pos", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("reach", F.max("reach").over(w)) \
+        .filter((F.col("asks") == 1) & (F.coalesce("reach", F.lit(0)) <= F.col("ts"))).select(*rows.columns)
+
+
 def _contexts(spans: DataFrame) -> DataFrame:
     """Every term near a base span: (doc_id, th, entity, window, term, ts, te).
 
     The context is up to ``CONTEXT_CHARS`` code points on either side, cut to
     whole terms; terms inside another base span are not counted."""
     n = CONTEXT_CHARS
-    m = spans.select("doc_id", "th", "base", F.explode("base").alias("x"))
+    m = spans.select("doc_id", "th", F.explode("base").alias("x"))
     names = F.array(*map(F.lit, KINDS))
     m = m.select(
-        "doc_id", "th", "base", F.concat_ws(":", F.element_at(names, F.col("x.k") + 1), F.lower("x.v")).alias("entity"),
+        "doc_id", "th", F.concat_ws(":", F.element_at(names, F.col("x.k") + 1), F.lower("x.v")).alias("entity"),
         (F.col("x.s") - F.length("x.left")).alias("ls"), F.col("x.e").alias("rs"), F.col("x.size").alias("size"),
         F.col("x.left").alias("left"), F.col("x.right").alias("right"))
     sides = F.concat(F.transform(located(F.col("left"), _TERM), _placed("ls")),
                      F.transform(located(F.col("right"), _TERM), _placed("rs")))
-    m = m.select("doc_id", "th", "entity", F.xxhash64("left", "right").alias("window"), "base", "ls", "rs", "size",
+    m = m.select("doc_id", "th", "entity", F.xxhash64("left", "right").alias("window"), "ls", "rs", "size",
                  F.explode_outer(sides).alias("w")).filter(F.col("w").isNotNull())
-    inside = F.exists("base", lambda b: (F.col("w.ts") < b["e"]) & (F.col("w.te") > b["s"]))
     cut = ((F.col("w.ts") == F.col("ls")) & (F.col("ls") > 0)) \
         | ((F.col("w.te") == F.col("rs") + n) & (F.col("w.te") < F.col("size")))
-    return m.filter(~inside & ~cut).select("doc_id", "th", "entity", "window", "w.term", "w.ts", "w.te")
+    return _outside(m.filter(~cut).select("doc_id", "th", "entity", "window", "w.term", "w.ts", "w.te"), spans)
+
+
+def _levels(entity: Column) -> Column:
+    """The entity itself, its group and its kind: an address's domain, the
+    first two parts of an ip, the first six digits of a card, the first four
+    characters of a phone number."""
+    kind, value = F.substring_index(entity, ":", 1), F.expr("substr(entity, instr(entity, ':') + 1)")
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    group = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1))) \
+        .when(kind == "ip", F.concat(F.substring_index(value, ".", 2), F.lit(".*"))) \
+        .when(kind == "card", F.concat(F.substring(digits, 1, 6), F.lit("*"))) \
+        .otherwise(F.concat(F.substring(value, 1, 4), F.lit("*")))
+    wide = lambda x: F.struct(F.concat(kind, F.lit(" "), x).alias("entity"), F.lit(True).alias("wide"))
+    return F.array(F.struct(entity.alias("entity"), F.lit(False).alias("wide")), wide(group), wide(F.lit("*")))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row of each text (rows that repeat id and text all stay)."""
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(F.col("text").isNotNull())
+    first = d.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x")) \
+        .select(F.col("th").alias("_th"), F.col("x.doc_id").alias("_id"))
+    return d.join(first, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
-def disclosure(docs: DataFrame, contexts: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosure(docs: DataFrame, contexts: DataFrame, min_contexts: int = MIN_CONTEXTS,
+               min_wide: int = MIN_WIDE_CONTEXTS) -> DataFrame:
     """(entity, term, n_both, score) for terms seen near an entity in at least
-    ``min_contexts`` different contexts.
+    ``min_contexts`` different contexts, or near a group of entities or any of
+    a kind (their domain, network, issuer; see ``_levels``) in ``min_wide``.
 
     The corpus counts as ``M`` contexts of average length.  With ``n(t)``
     occurrences of the term in all texts, ``n(e)`` contexts of the entity and
     ``n(t,e)`` of both, score = PMI(t;e) / IC(e)
-    = 1 + log2(n(t,e) / n(t)) / log2(M / n(e)).  Copies of one context count
-    once in ``n(t,e)`` and ``n(e)``, while ``n(t)`` counts every occurrence,
-    so copies can only lower a score."""
-    seen = contexts.select("entity", "window", "term").distinct()
-    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")) \
-        .filter(F.col("n_both") >= min_contexts)
-    per_entity = contexts.select("entity", "window").distinct().groupBy("entity") \
-        .agg(F.count(F.lit(1)).alias("n_entity"))
-    length = contexts.groupBy("entity", "window").agg(F.count(F.lit(1)).alias("n")) \
+    = 1 + log2(n(t,e) / n(t)) / log2(M / n(e)).  Copies change nothing: equal
+    contexts and equal texts count once in every one of these numbers."""
+    wide = contexts.select("entity", "window", "term").distinct() \
+        .select(F.explode(_levels(F.col("entity"))).alias("x"), "window", "term") \
+        .select("x.entity", "x.wide", "window", "term")
+    seen = wide.distinct()
+    both = seen.groupBy("entity", "term", "wide").agg(F.count(F.lit(1)).alias("n_both")) \
+        .filter(F.col("n_both") >= F.when(F.col("wide"), min_wide).otherwise(min_contexts))
+    per_entity = seen.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    length = contexts.select("doc_id", "th", "entity", "window", "ts").groupBy("entity", "window", "doc_id", "th") \
+        .agg(F.countDistinct("ts").alias("n")).groupBy("entity", "window").agg(F.max("n").alias("n")) \
         .agg(F.avg("n").alias("per_context"))
     # counted in the map tasks first, joined after
-    terms = docs.select(F.explode_outer(F.regexp_extract_all(
-        F.lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0))).alias("term")) \
+    terms = distinct_texts(docs).select(F.explode_outer(F.regexp_extract_all(
+        F.lower("text"), F.lit(_TERM), F.lit(0))).alias("term")) \
         .filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     terms = materialize(terms, "pii-terms")
     total = terms.agg(F.sum("n_term").alias("n_all")).first()["n_all"] or 0
@@ -167,20 +212,30 @@ def disclosure(docs: DataFrame, contexts: DataFrame, min_contexts: int = MIN_CON
 
 def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row per input row: ``doc_id, th, spans`` where ``spans`` is the
-    sorted array of ``(s, k, e, remove)`` over base kinds and terms; a term is
-    marked in the contexts of the entity that it discloses.
+    sorted array of ``(s, k, e, remove)`` over base kinds and terms; a
+    disclosing term is marked wherever it occurs outside base spans.
 
     Null and empty texts have no spans; rows with equal id and text get equal
     results; null ids are kept; an empty table gives no rows."""
     docs = docs.select("doc_id", "text")
     spans = materialize(base_spans(docs), "pii-base")
     found = materialize(_contexts(spans), "pii-contexts")
-    disclosing = disclosure(docs, found).filter(F.col("score") >= generalise_at)
-    terms = found.join(disclosing.select("entity", "term", "score"), ["entity", "term"]) \
-        .groupBy("doc_id", "th", "ts", "te").agg(F.max("score").alias("score")) \
-        .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")) \
-        .agg(F.collect_list(F.struct(F.col("ts").alias("s"), F.lit(4).alias("k"), F.col("te").alias("e"),
-                                     (F.col("score") >= remove_at).alias("remove"))).alias("terms"))
+    disclosing = materialize(disclosure(docs, found).filter(F.col("score") >= generalise_at)
+                             .groupBy("term").agg(F.max("score").alias("score")), "pii-disclosing")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    held = d.select("doc_id", "th", F.explode_outer(F.array_distinct(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0))))
+                    .alias("v")).filter(F.col("v").isNotNull()).select("doc_id", "th", F.lower("v").alias("term"))
+    held = materialize(held.join(disclosing, "term").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+                       .agg(F.map_from_entries(F.collect_set(F.struct("term", "score"))).alias("scores")), "pii-held")
+    texts = d.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))) \
+        .dropDuplicates(["_id", "_th"])
+    marks = texts.select("doc_id", "th", "scores", F.explode_outer(F.filter(
+        located(F.col("t"), _TERM), lambda x: F.map_contains_key("scores", F.lower(x["v"])))).alias("w")) \
+        .filter(F.col("w").isNotNull())
+    marks = marks.select("doc_id", "th", F.col("w.s").alias("ts"), (F.col("w.s") + F.length("w.v")).alias("te"),
+                         (F.col("scores")[F.lower("w.v")] >= remove_at).alias("remove"))
+    terms = _outside(marks, spans).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct(
+        F.col("ts").alias("s"), F.lit(4).alias("k"), F.col("te").alias("e"), "remove")).alias("terms"))
     base = spans.select("doc_id", "th", F.transform("base", lambda b: F.struct(
         b["s"], b["k"], b["e"], F.lit(False).alias("remove"))).alias("base"))
     joined = base.join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")

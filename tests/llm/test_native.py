@@ -1,9 +1,11 @@
 """Operators 1, 2 and 6 against plain Python."""
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import duckdb
 import pyarrow.parquet as pq
@@ -93,6 +95,57 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert all(clean[i] == t for i, t in docs if i >= 100)
 
 
+def brute_scores(docs):
+    """term -> best score, from sets of contexts and distinct texts."""
+    near, texts = defaultdict(set), {t for _, t in docs if t}
+    total = Counter(w.lower() for t in texts for w in re.findall(r"\w+", t))
+    per, every = {}, defaultdict(set)
+    for _, t in docs:
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t or ""):
+            left, right = t[max(0, m.start() - 120):m.start()], t[m.end():m.end() + 120]
+            words = re.findall(r"\w+", left) + re.findall(r"\w+", right)
+            for e, least in ((m[0], 3), ("@" + m[0].split("@")[1], 10), ("*", 10)):
+                every[e, least].add((left, right))
+                for w in words:
+                    near[e, least, w.lower()].add((left, right))
+            per[m[0], left, right] = len(words)
+    size = sum(total.values()) / (sum(per.values()) / len(per))
+    best = {}
+    for (e, least, w), c in near.items():
+        rest = math.log2(size / len(every[e, least]))
+        if len(c) >= least and rest > 0:
+            best[w] = max(best.get(w, -9), 1 + math.log2(min(1, len(c) / total[w])) / rest)
+    return best
+
+
+def test_pii_scores_of_groups_and_copies(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    docs = [(i, f"{word()} the quorvex desk wrote as u{i}@desk.org {word()} {word()}") for i in range(12)]
+    docs += [(50 + i, f"{word()} from v{i}@other.net the {word()} {word()}") for i in range(20)]
+    docs += [(100 + i, " ".join(["the desk and the"] + [word() for _ in range(30)])) for i in range(200)]
+    docs += [(400, "Quorvex alone, far from any address"), (401, None), (402, "")]
+    copies = docs + [(1000 + i, docs[i % 40][1]) for i in range(400)]
+    best = brute_scores(docs)
+    want = {w for w, x in best.items() if x >= pii.GENERALISE_AT}
+    assert "quorvex" in want and "the" not in want
+    for rows in (docs, copies):
+        found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        by = dict(rows)
+        marked = {(r.doc_id, by[r.doc_id][x.s:x.e].lower()) for r in found for x in r.spans if x.k == 4}
+        assert {w for _, w in marked} == want
+        assert (400, "quorvex") in marked and {i for i, w in marked if w == "quorvex" and i < 400} == set(range(12))
+
+
+def test_pii_of_a_long_text_with_many_matches(spark):
+    one = "Call +49 30 1234567 now, zeta. "
+    df = spark.createDataFrame([(1, one * 8000)], "doc_id long, text string")
+    start = time.time()
+    spans = pii.find(df).first().spans
+    assert [x.s for x in spans if x.k == 3] == [5 + i * len(one) for i in range(8000)]
+    assert time.time() - start < 120
+
+
 def stats_of(text):
     text = text or ""
     w = WORD.findall(text)
