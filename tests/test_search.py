@@ -221,6 +221,34 @@ def test_knn_cells_on_odd_vectors(spark, monkeypatch):
     assert search.knn_topk(q, only, 2).count() == 0
 
 
+def test_knn_without_clusters_sends_a_query_once_per_shard(spark, monkeypatch):
+    """Vectors without clusters, far from the origin, where no cell can be
+    ruled out: the rows that are written for the tasks grow with the queries,
+    not with queries times cells, and the result is exact."""
+    monkeypatch.setattr(search, "KNN_DIRECT_PAIRS", 0)
+    rng = np.random.default_rng(8)
+    vecs = np.round(rng.normal(size=(1200, 24)) + 1e5, 4)
+    vecs[100:140] = vecs[99]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vector array<double>")
+    queries = corpus.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    written, write = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, label: written.setdefault(label, []).append(write(df, label)) or written[label][-1])
+    for excl in (False, True):
+        written.clear()
+        got = {}
+        for r in search.knn_topk(queries, corpus, 5, exclude_self=excl).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.id
+        for q in range(0, 1200, 3):
+            d = ((vecs - vecs[q]) ** 2).sum(axis=1)
+            want = sorted((i for i in range(1200) if not (excl and i == q)), key=lambda i: (d[i], i))[:5]
+            assert [got[q][j] for j in range(1, 6)] == want
+        assert sum(df.count() for label in ("knn-pairs", "knn-bounds") for df in written.get(label, [])) <= 6 * 400
+    cells = search.Cells(corpus.select(F.col("id").alias("_cid"), F.col("vector").alias("_cv")), 1200, 24)
+    shards, n = cells._shards(300), [r["n"] for r in cells.summary]
+    assert sorted(at for s in shards for at in s) == list(range(len(n)))
+    assert all(sum(n[at] for at in s) <= 300 for s in shards) and len(shards) <= 10
+
+
 def test_bm25_topk_by_bounds(spark, monkeypatch):
     """The same lists as scoring every pair, from far fewer joined rows."""
     monkeypatch.setattr(search, "BM25_BOUND_POSTINGS", 0)
