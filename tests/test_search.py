@@ -249,6 +249,32 @@ def test_knn_without_clusters_sends_a_query_once_per_shard(spark, monkeypatch):
     assert all(sum(n[at] for at in s) <= 300 for s in shards) and len(shards) <= 10
 
 
+def test_bm25_shuffles_texts_and_matched_postings_only(spark, monkeypatch):
+    """Neither one row per posting nor one per (query, document) is shuffled:
+    texts meet by id before they are cut, matched postings by document or
+    block before they meet the queries.  Rows of a repeated id add up."""
+    monkeypatch.setattr(search, "BM25_BOUND_POSTINGS", 0)
+    monkeypatch.setattr(search, "BM25_TASK_POSTINGS", 500)
+    plans, write = {}, search.materialize
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+    monkeypatch.setattr(search, "materialize", kept)
+    texts = _corpus(4, 300, 40, 20)
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7])], "id long, content string")
+    index = search.BM25Index(docs)
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w3 w3 w9")], "query_id long, query string")
+    hashed = lambda plan: plan.count("Exchange hashpartitioning(")
+    assert hashed(plans["postings"]) == 1
+    scores = search.bm25_scores(index, queries)
+    bounded = search.bounded_scores(index, queries, 5)[0]
+    for plan in (plans["open-blocks"], *(x._jdf.queryExecution().executedPlan().toString() for x in (scores, bounded))):
+        assert hashed(plan) > 0 and "hashpartitioning(query_id" not in plan
+    twice = index.postings.filter("id = 7").agg(F.sum("tf")).first()[0]
+    assert twice == 2 * len(texts[7].split())
+
+
 def test_bm25_topk_by_bounds(spark, monkeypatch):
     """The same lists as scoring every pair, from far fewer joined rows."""
     monkeypatch.setattr(search, "BM25_BOUND_POSTINGS", 0)
