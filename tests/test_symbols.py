@@ -173,3 +173,22 @@ def test_khop_plan_does_not_grow_with_the_seeds(spark):
     plans = [graph.khop_by_seed(edges, edges.select(F.col("src").alias("node_id")).limit(n), 2)
              ._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (2, 300)]
     assert plans[0] == plans[1]
+
+
+def test_equal_edges_are_found_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Many edges are dealt by their ends to tasks sized by the rows, before
+    any task collects distinct names; the results are the same."""
+    monkeypatch.setattr(graph, "EDGE_TASK_ROWS", 50)
+    rows = [(f"a{i % 7}", f"b{i % 11}" if i % 3 else "b0", "CALLS", i) for i in range(400)] + [(None, "b1", "CALLS", 400)] * 2
+    edges = spark.createDataFrame(rows, "src string, dst string, type string, o long")
+    dealt = graph.simple_edges(edges, rows=402)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(src") == 1 and "hashpartitioning(src" in plan and ", 9), REPARTITION_BY_NUM" in plan
+    plain = graph.simple_edges(edges)
+    assert sorted(dealt.collect(), key=str) == sorted(plain.collect(), key=str)
+    first = lambda n: sorted(graph.simple_edges(edges, "o", rows=n).collect(), key=str)
+    assert first(402) == first(None)
+    seeds = spark.createDataFrame([("a1",)], "node_id string")
+    for fn in (graph.khop_neighbors, graph.khop_by_seed):
+        for way in ("down", "both"):
+            assert sorted(fn(edges, seeds, 2, way, 402).collect(), key=str) == sorted(fn(edges, seeds, 2, way).collect(), key=str)
