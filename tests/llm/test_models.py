@@ -268,3 +268,14 @@ def test_html_open_head_and_embedded_text():
                       f"<object>instead</object><p>{story}</p><script>no()</script><select><option>never</select></article>")
     assert [x for x in ("energy", "drawing", "instead") if x not in text] == []
     assert "never" not in text and "no()" not in text
+
+
+def test_counts_hold_the_documents_that_the_mixer_is_fitted_on(spark, monkeypatch):
+    """Every training document is a fit document: the model still knows what
+    they say, and a held-out copy costs few bits."""
+    monkeypatch.setattr(cm, "FIT_SHARE", 1)
+    text = "the quick brown fox jumps over the lazy dog and runs into the dark wood"
+    docs = [(i, f"{text} {i % 5}") for i in range(60)]
+    got = cm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(-r.score / np.log10(2) < 0.5 * len(text) for r in held)
