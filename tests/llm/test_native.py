@@ -206,7 +206,7 @@ def test_mix_targets_and_taken(spark, seed):
 def test_oracle(spark, key):
     from tools.compare import table_hash
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[key](spark, SF)
     rel = con.sql(ORACLE_SQL[key])
