@@ -9,12 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from codelens.llm import context_mixing as cm
 from codelens.llm import html_text, language
+from codelens.llm.hashing import rows_of
 from codelens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -279,3 +281,40 @@ def test_counts_hold_the_documents_that_the_mixer_is_fitted_on(spark, monkeypatc
     got = cm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     held = [r for r in got if r.held_out]
     assert held and all(-r.score / np.log10(2) < 0.5 * len(text) for r in held)
+
+
+def test_context_counts_in_one_pass(monkeypatch):
+    """The fit documents are counted apart in the same pass over the rows,
+    also when repeated ids make them many."""
+    rng = random.Random(5)
+    rows = [(i % 40, "".join(rng.choices("abcd efg", k=300))) for i in range(200)]
+    fit = frozenset(range(0, 40, 7))
+    code = cm.Code(Counter(b for _, t in rows for b in t.encode()))
+    monkeypatch.setattr(cm, "TABLE_BITS", (12, 13, 13, 13, 13))
+    monkeypatch.setattr(cm, "_COUNTED", 5000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    got = [np.zeros((2, 2 << b), np.int64) for b in cm.TABLE_BITS]
+    parts = Counter()
+    for out in cm._context_counts(code, fit)([batch.slice(0, 150), batch.slice(150)]):
+        for k, block, data, is_fit in rows_of([out], "k", "block", "data", "fit"):
+            counts = np.frombuffer(cm.zstandard.ZstdDecompressor().decompress(data), np.int32)
+            got[k][is_fit, block * 2 * cm.BLOCK_SLOTS:][:len(counts)] += counts
+            parts[k, block, is_fit] += 1
+    assert max(parts.values()) > 1
+    for is_fit in (0, 1):
+        keys = cm.events([t.encode() for i, t in rows if (i in fit) == is_fit])[0]
+        n, path = code.decisions(keys & cm.SYMBOL)
+        for table_, slot in zip(got, cm.slots(code, keys, n, path)):
+            want = np.bincount(2 * slot + code.bit[path], minlength=table_.shape[1])
+            assert (table_[is_fit] == want).all()
+
+
+def test_equal_events_of_a_batch_are_scored_once(monkeypatch):
+    text = "the quick brown fox " * 50
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3500)), "held_out": [False] * 3500, "text": [text] * 3500})
+    calls = []
+    monkeypatch.setattr(cm, "score_texts", lambda code, tables, mixer, texts: calls.append(len(texts)) or np.zeros(len(texts)))
+
+    class Shared:
+        value = (None, None, None, {}, 0.0)
+    assert sum(b.num_rows for b in cm._score(Shared)([batch])) == 3500 and calls == [3500]
