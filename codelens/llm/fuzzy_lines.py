@@ -208,12 +208,101 @@ def within_edits(a: str, b: str, limit: int) -> bool:
     return distance <= limit
 
 
+def _band_within(longer: list[np.ndarray], shorter: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    """``within_edits`` for many pairs at a time, in step: one bit per cell of
+    a diagonal band (Hyyro), which lies in as many 64-bit words as the largest
+    limit needs.  No pair may differ in length by more than its limit."""
+    n, words = len(longer), int(2 * limits.max() + 1 + 63) // 64
+    wide = 64 * words
+    long, short = (np.array([len(x) for x in side]) for side in (longer, shorter))
+    steps, top = int(short.max()), U64(63)
+    # row i of the band begins ``limit`` characters after place i of the longer text
+    a = np.zeros((n, int(long.max()) + steps + wide), longer[0].dtype)
+    b = np.zeros((max(steps, 1), n), longer[0].dtype)
+    for i, (x, y) in enumerate(zip(longer, shorter)):
+        a[i, wide - 1 - limits[i]:][:len(x)] = x + 1
+        b[:len(y), i] = y + 1
+    # vertical differences +1 (up) and -1 (down) per word, lowest first
+    bit = np.arange(wide).reshape(words, 64)
+    first = (bit[:, None, :] >= (wide - 1 - limits)[None, :, None])
+    up = [np.packbits(x, axis=1, bitorder="little").view(U64).ravel() for x in first]
+    down = [np.zeros(n, U64) for _ in range(words)]
+    distance, bend = limits.copy(), long - limits
+    for j in range(steps):
+        same = np.packbits((a[:, j:j + wide] == b[j][:, None]).ravel(), bitorder="little").view(U64).reshape(n, words)
+        carry = np.zeros(n, U64)
+        diagonal, plus, minus = [], [], []
+        for w in range(words):
+            x = same[:, w]
+            masked = x & up[w]
+            total = masked + up[w]
+            over = total < masked
+            total += carry
+            carry = (over | (total < carry)).astype(U64)
+            d = (total ^ up[w]) | x | down[w]
+            diagonal.append(d)
+            plus.append(down[w] | ~(d | up[w]))
+            minus.append(d & up[w])
+        for w in range(words):
+            lower = diagonal[w] >> U64(1)
+            if w + 1 < words:
+                lower |= diagonal[w + 1] << top
+            up[w], down[w] = minus[w] | ~(lower | plus[w]), lower & plus[w]
+        # the cell followed runs down the band's last diagonal, then along the longer text's end
+        running = j < short
+        level = wide - 2 - (j - bend)
+        along = running & (j >= bend)
+        distance += running & (j < bend) & (diagonal[-1] >> top == 0)
+        if along.any():
+            at, place = level >> 6, (level & 63).astype(U64)
+            rows = np.flatnonzero(along)
+            for sign, side in ((1, plus), (-1, minus)):
+                cells = np.stack(side)[at[rows], rows] >> place[rows] & U64(1)
+                distance[rows] += sign * cells.astype(np.int64)
+    return distance <= limits
+
+
+# Pairs compared in step at least and at most, and the limit above which texts
+# are compared one by one.
+_STEP_LEAST, _STEP_MOST, _STEP_LIMIT = 64, 2048, 127
+
+
+def all_within_edits(pairs: list[tuple[str, str]], limits: list[int]) -> np.ndarray:
+    """:func:`within_edits` of every pair: those of like length together."""
+    keep, rest = np.zeros(len(pairs), bool), []
+    for i, ((x, y), limit) in enumerate(zip(pairs, limits)):
+        if x == y:
+            keep[i] = True
+        elif abs(len(x) - len(y)) > limit:
+            continue
+        elif limit > _STEP_LIMIT or min(len(x), len(y)) <= limit:
+            keep[i] = within_edits(x, y, limit)
+        else:
+            rest.append((not (x.isascii() and y.isascii()), limit // 32, max(len(x), len(y)), i))
+    rest.sort()
+    at = 0
+    while at < len(rest):
+        kind = rest[at][:2]
+        end = at + 1
+        while end < len(rest) and end - at < _STEP_MOST and rest[end][:2] == kind:
+            end += 1
+        some, at = [r[3] for r in rest[at:end]], end
+        if len(some) < _STEP_LEAST:
+            for i in some:
+                keep[i] = within_edits(*pairs[i], limits[i])
+            continue
+        code = ("utf-32-le", np.uint32) if kind[0] else ("ascii", np.uint8)
+        sides = [[np.frombuffer(x.encode(code[0]), code[1]) for x in sorted(pairs[i], key=len, reverse=True)] for i in some]
+        keep[some] = _band_within([x for x, _ in sides], [y for _, y in sides], np.array([limits[i] for i in some]))
+    return keep
+
+
 def _similar(edit_percent: int):
     """Pairs of lines whose edit similarity is high enough."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within_edits(x, y, max(len(x), len(y)) * (100 - edit_percent) // 100)
-                    for x, y in rows_of([batch], "ta", "tb")]
+            pairs = list(rows_of([batch], "ta", "tb"))
+            keep = all_within_edits(pairs, [max(len(x), len(y)) * (100 - edit_percent) // 100 for x, y in pairs])
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -264,7 +353,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, edit_percent: int =
 
     comp = materialize(linked_components(
         keys, links, distinct.select(F.col("lid").alias("id"), "size"),
-        lambda a, b: fits(a("size"), b("size")), chain_rounds=1), "line-components")
+        lambda a, b: fits(a("size"), b("size")), chain_rounds=4), "line-components")
     grouped = distinct.join(comp, F.col("lid") == F.col("id"), "left").filter(F.col("id").isNotNull() | (F.col("n") > 1)) \
         .select("norm", "first", F.coalesce("comp", "lid").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))

@@ -385,3 +385,23 @@ def test_edits_inside_equals_table():
             for j, y in enumerate(passage, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         assert decontaminate.edits_inside(part, passage) == min(row)
+
+
+def test_lines_are_compared_in_step():
+    """Many pairs at a time give what one pair at a time gives: limits above
+    one word of the band, other letters than ASCII, ends and empty texts."""
+    rng = random.Random(11)
+    pairs, limits = [("", ""), ("", "ab"), ("abc", "")], [0, 1, 3]
+    for _ in range(1500):
+        letters = "abcdé" if rng.random() < .3 else "abc "
+        a = "".join(rng.choices(letters, k=rng.choice([1, 20, 70, 330, 330, 700, 1500])))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 6 + 1)):
+            i, change = rng.randrange(len(b) + 1), rng.choice("sid")
+            b[i:i + (change != "i")] = rng.choice(letters) if change != "d" else ""
+        pairs.append((a, "".join(b)) if rng.random() < .5 else ("".join(b), a))
+        limits.append(max(len(a), len(b)) // 10)
+    want = [fuzzy_lines.within_edits(a, b, n) for (a, b), n in zip(pairs, limits)]
+    assert 300 < sum(want) < 1400
+    assert fuzzy_lines.all_within_edits(pairs, limits).tolist() == want
+    assert fuzzy_lines.all_within_edits([], []).tolist() == []
